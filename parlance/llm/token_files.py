@@ -2,8 +2,8 @@
 
 Layout below one folder, in ascending document order:
 
-* ``ids-<shard>.bin``: the ids of the shard's documents, back to back, little-endian unsigned 32-bit
-  (16-bit where ``dtype='u2'`` is asked for and every id fits);
+* ``ids-<shard>.bin``: the ids of the shard's documents, back to back, little-endian unsigned 16-bit
+  integers where the whole vocabulary fits, else 32-bit (``dtype`` in the manifest);
 * ``docs-<shard>.i64``: pairs of little-endian 64-bit integers, document id and place in the shard;
 * ``offsets-<shard>.i64``: the global 64-bit offset of each document and of the shard's end.
 
@@ -43,12 +43,13 @@ def _put(path: str, write) -> None:
     os.replace(own, path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, dtype: str = "u4", shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, dtype: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write the files; returns the manifest (shard, n_docs, n_ids, base)."""
     spark = docs.sparkSession
     ship(spark)
     folder = posix(folder or shared_dir(spark, "token-files"))
     os.makedirs(folder, exist_ok=True)
+    dtype = dtype or ("u2" if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "u4")
 
     def write(batches):
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
