@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 
@@ -20,9 +21,68 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.topk import exact_topk, quantised
+
+    rows = quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+    found = exact_topk(rows, rows.where("id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: The rules of the url query, fixed by contract: (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.url_filter import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op5_pii": op5_pii,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op10_near_dedup": op10_near_dedup,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+    """,
+    "op7_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+    """,
+}
