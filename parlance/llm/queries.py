@@ -29,6 +29,24 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.hpylm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.pii import find_pii
 
@@ -59,6 +77,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_lm_scores": op2_lm_scores,
+    "op3_pieces": op3_pieces,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,

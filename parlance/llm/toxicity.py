@@ -12,7 +12,7 @@ is the logistic function of a sum over the text; labels, lang, source and doc_id
 
 Defined results: null text counts as empty and gets the score of no evidence; a doc_id labelled twice
 counts with its larger label, null labels with none; repeated rows are judged alike; without labelled
-rows of both classes every score is 0; an empty table gives no rows; extra columns are ignored by
+rows of both classes every score is (nearly) 0; an empty table gives no rows; extra columns are ignored by
 ``toxicity`` and kept by ``drop_toxic``.
 """
 
