@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier over words and word beginnings.
 
 Features of a text: its words (lower-cased, outer punctuation and digits stripped) and their first 4 to 7
-letters, each with weight log(1 + occurrences). Training (driver, numpy) takes a bounded sample of
+letters, each with weight 1 + log(occurrences) / 2. Training (driver, numpy) takes a bounded sample of
 labelled rows (``max_positive`` toxic and ``max_negative`` other rows, those of smallest hash; whole
 texts), keeps the features whose presence tells the classes apart (likelihood-ratio statistic of at
 least ``min_g2``, at least ``min_df`` texts), and fits logistic regression. Counterfactual
@@ -68,11 +68,11 @@ def _matrix(bags: list[Counter], place: dict[str, int]) -> tuple[np.ndarray, np.
             if f in place:
                 row.append(i)
                 col.append(place[f])
-                val.append(np.log1p(n))
+                val.append(1 + 0.5 * np.log(n))
     return np.array(row, np.int64), np.array(col, np.int64), np.array(val, float)
 
 
-def fit(rows: list[tuple[str, int]], counterfactual: float = 5.0, l2: float = 2e-4, min_g2: float = 14.0, min_df: int = 4, steps: int = 400) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str, int]], counterfactual: float = 5.0, l2: float = 5e-5, min_g2: float = 14.0, min_df: int = 4, steps: int = 400) -> tuple[dict[str, float], float]:
     """Weights by feature and the bias."""
     templates = [(t.format(s=s, p=p), y) for t, y in TEMPLATES for s, p in zip(SINGULAR, PLURAL, strict=False)]
     real = len(rows)
@@ -151,7 +151,7 @@ class Scorer:
 
         feature, doc = flat[ranges(start[code], n[code])], np.repeat(doc, n[code])
         key, times = np.unique(doc * max(1, len(self.w)) + feature, return_counts=True)
-        z = np.bincount(key // max(1, len(self.w)), weights=np.log1p(times) * self.w[key % max(1, len(self.w))], minlength=len(counts)) if len(key) else np.zeros(len(counts))
+        z = np.bincount(key // max(1, len(self.w)), weights=(1 + 0.5 * np.log(times)) * self.w[key % max(1, len(self.w))], minlength=len(counts)) if len(key) else np.zeros(len(counts))
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -700, 700)))
 
 
