@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
 from parlance.functions import learned
+from parlance.functions.shipping import ship
 from parlance.operators import align, analytics, chunks, models, mutate, render, search, speakers, vocabulary
 from parlance.sources import readers
 from parlance.sources import views as V
@@ -23,7 +25,12 @@ def query(sql: str | None = None, views: bool = True):
     """Register a query; ``sql`` follows ``WITH`` and the view definitions where ``views`` is set."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = (f"WITH RECURSIVE {V.CTE}" if views else "") + sql
         return f
