@@ -18,7 +18,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("piece", F.col("piece").cast("int"))
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
