@@ -36,7 +36,7 @@ def meeting_analytics(meetings: DataFrame, speakers: DataFrame, segments: DataFr
         r(F.col("duration")).alias("total_duration"), r(F.col("all_t")).alias("total_speaking_time"),
         r(F.when(F.col("duration") > 0, F.greatest(F.lit(0.0), F.try_divide(F.col("duration") - F.col("all_t"), "duration") * 100)).otherwise(0.0)).alias("silence_percentage"),
     )
-    return out.withColumn("position", F.row_number().over(w.orderBy(F.desc("speaking_time"), "speaker_id")))
+    return out.withColumn("position", F.row_number().over(w.orderBy(F.desc("speaking_time"), "speaker_id")).cast("long"))
 
 
 def timelines(speakers: DataFrame, segments: DataFrame) -> DataFrame:
