@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from parlance.llm.packing import best_fit_decreasing, pack
 from parlance.llm.token_files import token_files, write_token_files
 
-TEXTS = ["", "a  b", "  x", "trail ", "tab\t x", "a \n b", "a\n\nb c", "don't  stop", "İstanbul ﬁ é", None, " ", "y" * 5000, "w1 " * 6000, "same text", "same text"]
+TEXTS = ["", "a  b", "  x", "trail ", "tab\t x", "a \n b", "a\n\nb c", "don't  stop", "İstanbul ﬁ é", None, " ", "y" * 5000, "w1 " * 6000, "same text", "same text", "Hello, world. it's, e.g. x., ..., a.b, É. 3. 4, U.S. hello, Hello"]
 
 
 def frame(spark, texts=TEXTS):
