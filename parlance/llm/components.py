@@ -1,4 +1,4 @@
-"""Connected components of an edge table by hooking to the least neighbour and pointer jumping.
+"""Connected components of an edge table by hooking to the least node within two hops.
 
 Every join reads stored tables, so both sides are dealt by the join itself and a skewed side can be
 split at run time; every aggregation combines before its shuffle. Nothing reaches the driver but counts.
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from parlance.llm.common import save
 
 
-def _apply(df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
+def relabelled(df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
     """``column`` replaced by its parent, where it has one."""
     p = parent.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-    return df.join(p, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_l", column)).drop("_n", "_l")
+    return df.join(p.hint("merge"), F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_l", column)).drop("_n", "_l")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        parent = save(spark, both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "parent")
-        for _ in range(2):
-            parent = save(spark, _apply(parent, "label", parent), "parent")
-        labels = parent if labels is None else save(spark, _apply(labels, "label", parent), "labels")
-        left = save(spark, _apply(_apply(left, "a", parent), "b", parent).where("a <> b").distinct(), "edges")
+        near = save(spark, both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "nearest")
+        # Two hops at once: the least of what the neighbours have seen, so a star is done in one round.
+        far = relabelled(both, "to", near).groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
+        parent = save(spark, far, "parent")
+        labels = parent if labels is None else save(spark, relabelled(labels, "label", parent), "labels")
+        left = save(spark, relabelled(relabelled(left, "a", parent), "b", parent).where("a <> b").distinct(), "edges")
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -8,9 +8,10 @@
 3. In a bucket (nodes with one band key) a leader is compared with every member: the member that shares
    most buckets with others, so the original of a family of edited copies. Nodes that verify are joined
    into components. While a bucket holds several components, the members outside its largest one become
-   pivots, ``pivots`` at a time, and are compared with the members of other components. When this ends,
-   every pair of a bucket that lies in two components has been compared, so no link between them is
-   lost, without comparing all pairs of one group.
+   pivots, few at first and then up to ``pivots`` at a time, and are compared with the members of other
+   components. Pairs that an exact bound rules out (shingles that nobody else in open buckets has cannot
+   be common) are not compared. When this ends, every pair of a bucket that lies in two components has
+   been compared or ruled out, so no link between them is lost, without comparing all pairs of a group.
 4. A comparison aligns the two sequences of labelled shingles: matches in increasing order within the
    band of offsets that any alignment of the wanted similarity must keep to, so the decision is exact.
    Similarity = aligned / (all of both - aligned), at least ``threshold``.
@@ -34,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import ranges, save, ship, slices, strings, text_or_empty, words
-from parlance.llm.components import components
+from parlance.llm.components import components, relabelled
 
 WORDS = 5
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
+    """A 64-bit finaliser; products wrap."""
+    x = np.atleast_1d(x)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -81,7 +83,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return label, at - first[doc], per
 
 
-def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128) -> list[np.ndarray | None]:
+def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128, shared_bands: int = 3) -> list[np.ndarray | None]:
     """The Order MinHash band keys (int64) of each text; None for a text without words."""
     label, place, per = shingles(texts)
     starts = np.cumsum(per) - per
@@ -108,7 +110,7 @@ def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128) -> list[np.ndar
         single = ~held[:, 1] if pool > 1 else np.ones(z - a, bool)
         keys = np.zeros((z - a, bands), dtype=np.uint64)
         for k in range(2 * bands):
-            v = np.where(held, mix(lab ^ mix(np.uint64(k + 1) * np.uint64(0xA24BAED4963EE407))), M64)
+            v = np.where(held, mix(lab ^ mix(np.array([k + 1], np.uint64) * np.uint64(0xA24BAED4963EE407))), M64)
             one = v.argmin(axis=1)
             v[line, one] = M64
             two = v.argmin(axis=1)
@@ -185,12 +187,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool: int = 128, pivots: int = 64) -> tuple[DataFrame, DataFrame]:
+def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool: int = 128, shared_bands: int = 3) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the nodes that have a near copy, and (doc_id, node) of every row."""
     spark = docs.sparkSession
     ship(spark)
@@ -204,35 +206,65 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool:
     sketched = save(spark, with_node(docs).mapInArrow(sketch, "doc_id long, node binary, keys array<long>"), "sketches")
     placed = save(spark, sketched.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")), "buckets")
     sizes = save(spark, placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = save(spark, placed.join(sizes, "key"), "shared")
+    shared = save(spark, placed.join(sizes.hint("merge"), "key"), "shared")
     degree = save(spark, shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
-    ranked = save(spark, shared.join(degree, "node"), "ranked")
+    ranked = save(spark, shared.join(degree.hint("merge"), "node"), "ranked")
     lead = save(spark, ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "leaders")
-    shared = save(spark, ranked.select("key", "node").join(lead, "key"), "members")
+    shared = save(spark, ranked.select("key", "node").join(lead.hint("merge"), "key"), "members")
 
     own = with_node(docs).groupBy("node").agg(F.first("text").alias("text"))
-    texts = save(spark, own.join(degree.select("node"), "node", "left_semi"), "texts")
-    tried = save(spark, shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = save(spark, _verified(tried, texts, threshold), "near")
-    used = save(spark, lead.select("key", F.col("leader").alias("node")), "used")
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        labels = components(edges)
-        now = save(spark, shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        groups = now.groupBy("key", "label").agg(F.count("*").alias("n"))
-        mixed = save(spark, groups.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main"), "mixed")
-        now = save(spark, now.join(mixed, "key"), "open")
-        left = now.where("label <> main").join(used, ["key", "node"], "left_anti")
-        # At most ``pivots`` per bucket: the least unused node of each hash slot.
-        chosen = save(spark, left.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("node", "label")).alias("p")).select("key", F.col("p.node").alias("node"), F.col("p.label").alias("pivot_label")), "pivots")
-        if chosen.isEmpty():
-            return labels, sketched.select("doc_id", "node")
-        cross = now.select("key", F.col("node").alias("other"), "label").join(chosen, "key").where("label <> pivot_label")
-        new = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = save(spark, new, "pairs")
-        edges = edges.unionByName(save(spark, _verified(new, texts, threshold), "near"))
-        tried = tried.unionByName(new)
-        used = used.unionByName(chosen.select("key", "node"))
+    texts = save(spark, own.join(degree.select("node").hint("merge"), "node", "left_semi"), "texts")
+    first = save(spark, shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    labels = components(save(spark, _verified(first, texts, threshold), "near"))
+
+    # What is left: buckets that hold several components.
+    now = save(spark, shared.select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    now = save(spark, now.join(_mixed(spark, now).hint("merge"), "key"), "open")
+    weight = save(spark, _own_shingles(texts.join(now.select("node").hint("merge"), "node", "left_semi")), "weights")
+    # A partner of size m must satisfy threshold * n <= m <= most, and n <= most of the partner.
+    most = F.floor((F.col("n") - F.col("u")) * (1 + threshold) / threshold - F.col("n") + 1e-6)
+    keys = sketched.select("node", "keys").join(weight.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    weight = save(spark, weight.join(keys.hint("merge"), "node"), "weights")
+    now = save(spark, now.join(weight.hint("merge"), "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.03)))
+    open_ = now.where("label <> main").select("key", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("keys").alias("pk"))
+    open_ = open_.withColumn("size", F.explode(F.sequence(size_class(F.greatest(F.lit(1.0), threshold * F.col("pn") - 1e-6)), size_class(F.col("pm")))))
+    other = now.select("key", "node", "label", "n", "most", "keys", (F.col("label") != F.col("main")).alias("also"), size_class(F.col("n")).alias("size"))
+    can = (F.col("label") != F.col("pl")) & (F.col("n") <= F.col("pm")) & (F.col("pn") <= F.col("most")) & (~F.col("also") | (F.col("p") < F.col("node")))
+    common = F.array_intersect("keys", "pk")  # a pair is taken in its first common bucket only
+    cross = open_.join(other.hint("merge"), ["key", "size"]).where(can & (F.size(common) >= shared_bands) & (F.array_min(common) == F.col("key")))
+    new = cross.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    new = save(spark, new.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    found = save(spark, _verified(new, texts, threshold), "near")
+    if not found.isEmpty():
+        parent = components(relabelled(relabelled(found, "a", labels), "b", labels))
+        labels = save(spark, relabelled(labels, "label", parent).unionByName(parent.join(labels.select("node"), "node", "left_anti")), "labels")
+    return labels, sketched.select("doc_id", "node")
+
+
+def _mixed(spark, members: DataFrame) -> DataFrame:
+    """(key, main): the buckets that hold several components, with the largest."""
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("c"))
+    return save(spark, groups.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("l")).where("l > 1").select("key", "main"), "mixed")
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, n, u): shingles of each text, and those that no other of these texts has.
+
+    Of two texts at most min(n - u) shingles can be common, which bounds their similarity exactly.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 8_000_000):
+                label, _, per = shingles(strings(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(label.view(np.int64)))], names=["node", "h"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "node binary, h array<long>").select("node", F.explode("h").alias("h"))
+    held = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    own = held.where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    size = texts.select("node", F.size(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")).select("node", F.greatest(F.col("w") - (WORDS - 1), F.lit(1)).alias("n"))
+    return size.join(own.hint("merge"), "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
@@ -240,10 +272,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
     spark = docs.sparkSession
     labels, own = near_labels(docs, threshold, **how)
     node = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    node = save(spark, node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    node = save(spark, node.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     sums = save(spark, node.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts")), "classes")
-    of_node = save(spark, node.select("node", "label").join(sums, "label").drop("label"), "node-classes")
-    return own.join(of_node, "node").select("doc_id", "class_id", "class_size", "n_texts", F.lower(F.hex("node")).alias("text_id"))
+    of_node = save(spark, node.select("node", "label").join(sums.hint("merge"), "label").drop("label"), "node-classes")
+    return own.join(of_node.hint("merge"), "node").select("doc_id", "class_id", "class_size", "n_texts", F.lower(F.hex("node")).alias("text_id"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:

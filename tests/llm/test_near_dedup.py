@@ -76,7 +76,7 @@ def test_classes_against_all_pairs(spark):
             if own[i] == own[j] or aligned(idx[i], seq[j], 0.8):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    got = {r.doc_id: r for r in near_classes(df, pivots=4).collect()}
+    got = {r.doc_id: r for r in near_classes(df).collect()}
     assert {i: got[i].class_id for i in got} == {i: find(i) for i in range(len(own))}
     kept = drop_near_copies(df)
     assert kept.columns == df.columns
