@@ -3,8 +3,8 @@
 Features of a text: its words (lower-cased, outer punctuation and digits stripped) and their first 4 to 7
 letters, each with weight 1 + log(occurrences) / 2. Training (driver, numpy) takes a bounded sample of
 labelled rows (``max_positive`` toxic and ``max_negative`` other rows, those of smallest hash; whole
-texts), keeps the features whose presence tells the classes apart (likelihood-ratio statistic of at
-least ``min_g2``, at least ``min_df`` texts), and fits logistic regression. Counterfactual
+texts), keeps the features of at least two toxic texts whose presence tells the classes apart
+(likelihood-ratio statistic of at least ``min_g2``, at least ``min_df`` texts), and fits logistic regression. Counterfactual
 regularisation: in every labelled sentence that names a group, and in a fixed list of neutral and
 hostile sentences, the identity term is swapped for others, and squared changes of the score are
 penalised with ``counterfactual``; so a mention of a group by itself does not raise the score. The score
@@ -79,29 +79,35 @@ def fit(rows: list[tuple[str, int]], counterfactual: float = 5.0, l2: float = 5e
     n = np.array([sum(1 for _, y in rows if y == c) for c in (0, 1)], float)
     if not n.all():
         return {}, -1000.0
-    df = (Counter(), Counter())
-    bags = []
+    # Texts are counted anew in each pass, so only the chosen features of each are ever held.
+    toxic: Counter = Counter()
     for text, y in rows:
-        bag = counted(text)
-        bags.append(bag)
-        df[y].update(bag.keys())
+        if y:
+            toxic.update(counted(text).keys())
+    toxic = Counter({f: c for f, c in toxic.items() if c >= 2})
+    clean: Counter = Counter()
+    for text, y in rows:
+        if not y:
+            clean.update(f for f in counted(text) if f in toxic)
     chosen = []
-    for f in {f for f, c in df[1].items() if c >= 2} | {f for f, c in df[0].items() if c >= min_df}:
-        a, b = df[1][f], df[0][f]
+    for f, a in toxic.items():
+        b = clean[f]
         if a + b < min_df:
             continue
         obs = np.array([[a, b], [n[1] - a, n[0] - b]])
         exp = obs.sum(axis=1, keepdims=True) * obs.sum(axis=0, keepdims=True) / n.sum()
         if 2 * (obs * np.log(np.maximum(obs, 1e-12) / np.maximum(exp, 1e-12))).sum() >= min_g2:
             chosen.append(f)
+    del toxic, clean
     identity = {f for t in SWAPS for f in features_of(t)}
     place = {f: i for i, f in enumerate(sorted(set(chosen) | identity))}
     pairs, texts = [], [t for t, _ in rows + templates]
-    bags += [counted(t) for t, _ in templates]
+    held = lambda t: Counter({f: c for f, c in counted(t).items() if f in place})
+    bags = [held(t) for t in texts]
     for i, t in enumerate(texts):
         for c in counterfactuals(t):
             pairs.append((i, len(bags)))
-            bags.append(counted(c))
+            bags.append(held(c))
     r, c, v = _matrix(bags, place)
     y = np.array([y for _, y in rows + templates], float)
     weight = np.r_[np.ones(real), np.full(len(templates), 0.05)]
