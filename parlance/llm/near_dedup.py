@@ -83,7 +83,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return label, at - first[doc], per
 
 
-def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128, shared_bands: int = 3) -> list[np.ndarray | None]:
+def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128) -> list[np.ndarray | None]:
     """The Order MinHash band keys (int64) of each text; None for a text without words."""
     label, place, per = shingles(texts)
     starts = np.cumsum(per) - per
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool: int = 128, shared_bands: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool: int = 128) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the nodes that have a near copy, and (doc_id, node) of every row."""
     spark = docs.sparkSession
     ship(spark)
@@ -232,7 +232,7 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool:
     other = now.select("key", "node", "label", "n", "most", "keys", (F.col("label") != F.col("main")).alias("also"), size_class(F.col("n")).alias("size"))
     can = (F.col("label") != F.col("pl")) & (F.col("n") <= F.col("pm")) & (F.col("pn") <= F.col("most")) & (~F.col("also") | (F.col("p") < F.col("node")))
     common = F.array_intersect("keys", "pk")  # a pair is taken in its first common bucket only
-    cross = open_.join(other.hint("merge"), ["key", "size"]).where(can & (F.size(common) >= shared_bands) & (F.array_min(common) == F.col("key")))
+    cross = open_.join(other.hint("merge"), ["key", "size"]).where(can & (F.array_min(common) == F.col("key")))
     new = cross.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
     new = save(spark, new.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "pairs")
     found = save(spark, _verified(new, texts, threshold), "near")

@@ -103,3 +103,38 @@ def test_recall_of_band_keys():
             n += 1
             hit += bool((a == b).any())
     assert n > 30 and hit == n
+
+
+def one_bucket_families(seed=11, families=4):
+    """(leader, its copies, x, y): x and y are near and share one or two bands, where a leader far from both leads."""
+    rng = np.random.default_rng(seed)
+    out, line = [], lambda w: " ".join(w)
+    bands = lambda *w: [set(k.tolist()) for k in band_keys(pa.array([line(x) for x in w]), bands=4)]
+    for _ in range(300):
+        x = [f"w{rng.integers(1_000_000)}" for _ in range(100)]
+        y = edited(rng, x, 0.05)
+        kx, ky = bands(x, y)
+        if not 1 <= len(kx & ky) <= 2 or similarity(line(x), line(y), 0.8) == 0:
+            continue
+        for _ in range(40):
+            far = edited(rng, x, 0.12)
+            if kx & ky <= bands(far)[0] and not similarity(line(far), line(x), 0.8) and not similarity(line(far), line(y), 0.8):
+                copies = [far[:c] + [f"c{rng.integers(1_000_000)}"] + far[c + 1 :] for c in range(10, 90, 8)]
+                near = [similarity(line(c), line(o), 0.8) for c in copies for o in (x, y)]
+                if not any(near):
+                    out.append((line(far), [line(c) for c in copies], line(x), line(y)))
+                    break
+        if len(out) == families:
+            break
+    assert len(out) == families
+    return out
+
+
+def test_pairs_with_one_common_band(spark):
+    rows, want = [], {}
+    for far, copies, x, y in one_bucket_families():
+        first = len(rows)
+        rows += [far, *copies, x, y]
+        want.update({i: first for i in range(first, len(rows) - 2)} | {len(rows) - 2: len(rows) - 2, len(rows) - 1: len(rows) - 2})
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_classes(df, bands=4).collect()} == want
