@@ -281,10 +281,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
     """The rows that stay, with all their columns: of each class the one with the smallest doc_id."""
     spark = docs.sparkSession
-    found = save(spark, near_classes(docs, threshold, **how), "near-classes")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    once = kept.groupBy("doc_id", "class_id").agg(F.min("text_id").alias("_node"), F.count("*").alias("n"))
-    again = save(spark, once, "kept")
+    labels, own = near_labels(docs, threshold, **how)
+    rows = own.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    rows = save(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n")).alias("r")), "nodes")
+    rows = rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    once = rows.groupBy("label").agg(F.min(F.struct("r.last", "r.doc_id", "node", "r.n")).alias("r"))
+    again = save(spark, once.select("r.doc_id", F.lower(F.hex("r.node")).alias("_node"), "r.n"), "kept")
     own = docs.withColumn("_own", F.substring(F.sha2(text_or_empty(), 256), 1, 32))
     out = own.join(again.select(F.col("doc_id").alias("_id"), "_node"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
     if not again.where("n > 1").isEmpty():  # rows repeated with their doc_id

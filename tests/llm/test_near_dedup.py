@@ -138,3 +138,10 @@ def test_pairs_with_one_common_band(spark):
         want.update({i: first for i in range(first, len(rows) - 2)} | {len(rows) - 2: len(rows) - 2, len(rows) - 1: len(rows) - 2})
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_classes(df, bands=4).collect()} == want
+
+
+def test_one_row_stays_of_every_class_whatever_its_doc_id(spark):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z", "long ago and far away", "c1 c2 c3 c4 c5 c6", "c1 c2 c3 c4 c5 c6"]
+    ids = [None, None, 5, 5, None, 5, 5]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in drop_near_copies(df).collect()) == sorted({(str(i), t) for i, t in zip(ids, texts, strict=True)})
