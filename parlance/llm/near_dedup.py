@@ -1,10 +1,10 @@
 """MinHash near-dedup: Order MinHash over five-word shingles, verified by banded alignment.
 
 1. Texts equal byte for byte share a node (128 bits of SHA-256); the rest works on nodes.
-2. A node's shingles are labelled with their occurrence number. From its ``pool`` smallest labelled
-   shingles (one hash), every one of ``2 * bands`` hash functions samples the two smallest and retains
-   them in text order; two such samples make a band key. A pair of similarity 0.8 shares a band with
-   probability 1 - (1 - 0.8**4)**24, over 0.99999.
+2. A node's shingles are labelled with their occurrence number. From all of its labelled shingles every
+   one of ``2 * bands`` hash functions samples the two smallest and retains them in text order; two such
+   samples make a band key. A pair of similarity 0.8 shares a band with probability
+   1 - (1 - 0.8**4)**24, over 0.99999.
 3. In a bucket (nodes with one band key) a leader is compared with every member: the member that shares
    most buckets with others, so the original of a family of edited copies. Nodes that verify are joined
    into components. While a bucket holds several components, the members outside its largest one become
@@ -83,44 +83,43 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return label, at - first[doc], per
 
 
-def band_keys(texts: pa.Array, bands: int = 24, pool: int = 128) -> list[np.ndarray | None]:
+def band_keys(texts: pa.Array, bands: int = 24, block: int = 32_768) -> list[np.ndarray | None]:
     """The Order MinHash band keys (int64) of each text; None for a text without words."""
-    label, place, per = shingles(texts)
-    starts = np.cumsum(per) - per
-    doc = np.repeat(np.arange(len(per)), per)
-    share = np.minimum(1.0, 3.0 * pool / np.maximum(per, 1))
-    keep = label.astype(np.float64) < (share * 2.0**64)[doc]
-    short = np.bincount(doc[keep], minlength=len(per)) < np.minimum(per, pool)
-    if short.any():
-        keep |= short[doc]
-    label, place, doc = label[keep], place[keep], doc[keep]
-    order = np.lexsort((label, doc))
-    label, place, doc = label[order], place[order], doc[order]
-    n = np.bincount(doc, minlength=len(per))
-    rank = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-    keep = rank < pool
+    label, _, per = shingles(texts)
+    first = np.cumsum(per) - per
+    order = np.argsort(per, kind="stable")
+    a = int(np.searchsorted(per[order], 1))
     out: list[np.ndarray | None] = [None] * len(per)
-    for a in range(0, len(per), 4096):
-        z = min(len(per), a + 4096)
-        rows = keep & (doc >= a) & (doc < z)
-        lab, pos = np.full((z - a, pool), M64), np.zeros((z - a, pool), dtype=np.int64)
-        held = np.zeros((z - a, pool), dtype=bool)
-        lab[doc[rows] - a, rank[rows]], pos[doc[rows] - a, rank[rows]], held[doc[rows] - a, rank[rows]] = label[rows], place[rows], True
-        empty, line = ~held[:, 0], np.arange(z - a)
-        single = ~held[:, 1] if pool > 1 else np.ones(z - a, bool)
-        keys = np.zeros((z - a, bands), dtype=np.uint64)
+    seeds = [mix(np.array([k + 1], np.uint64) * np.uint64(0xA24BAED4963EE407)) for k in range(2 * bands)]
+    while a < len(order):  # texts of about the same length side by side
+        z = a + max(1, block // int(per[order[a]]))
+        fits = per[order[a:z]] * np.arange(1, len(order[a:z]) + 1) <= block
+        rows = order[a : a + max(1, int(fits.sum()))]
+        a += len(rows)
+        n, line = per[rows], np.arange(len(rows))
+        col = np.arange(int(n[-1]))
+        lab = label[first[rows][:, None] + np.minimum(col, n[:, None] - 1)]
+        pad = np.flatnonzero((col >= n[:, None]).ravel())
+        single = n == 1
+        v, w = np.empty_like(lab), np.empty_like(lab)
+        keys = np.zeros((len(rows), bands), dtype=np.uint64)
         for k in range(2 * bands):
-            v = np.where(held, mix(lab ^ mix(np.array([k + 1], np.uint64) * np.uint64(0xA24BAED4963EE407))), M64)
+            np.bitwise_xor(lab, seeds[k], out=v)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # mix(), in place
+                np.right_shift(v, np.uint64(shift), out=w)
+                np.bitwise_xor(v, w, out=v)
+                if factor > 1:
+                    np.multiply(v, np.uint64(factor), out=v)
+            v.ravel()[pad] = M64
             one = v.argmin(axis=1)
             v[line, one] = M64
             two = v.argmin(axis=1)
             two[single] = one[single]
-            swap = pos[line, two] < pos[line, one]
-            left, right = np.where(swap, two, one), np.where(swap, one, two)
+            left, right = np.minimum(one, two), np.maximum(one, two)
             entry = mix(lab[line, left] * np.uint64(0x9FB21C651E98DF25) + lab[line, right])
             keys[:, k // 2] = mix(keys[:, k // 2] * np.uint64(0xC2B2AE3D27D4EB4F) + entry + np.uint64(k // 2))
-        for i in np.flatnonzero(~empty).tolist():
-            out[a + i] = keys[i].view(np.int64)
+        for i, key in zip(rows.tolist(), keys.view(np.int64), strict=True):
+            out[i] = key
     return out
 
 
@@ -192,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool: int = 128) -> tuple[DataFrame, DataFrame]:
+def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the nodes that have a near copy, and (doc_id, node) of every row."""
     spark = docs.sparkSession
     ship(spark)
@@ -200,7 +199,7 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pool:
     def sketch(batches):
         for batch in batches:
             for part in slices(batch, "text", 8_000_000):
-                keys = band_keys(strings(part.column("text")), bands, pool)
+                keys = band_keys(strings(part.column("text")), bands)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
     sketched = save(spark, with_node(docs).mapInArrow(sketch, "doc_id long, node binary, keys array<long>"), "sketches")

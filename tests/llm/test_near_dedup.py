@@ -145,3 +145,15 @@ def test_one_row_stays_of_every_class_whatever_its_doc_id(spark):
     ids = [None, None, 5, 5, None, 5, 5]
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in drop_near_copies(df).collect()) == sorted({(str(i), t) for i, t in zip(ids, texts, strict=True)})
+
+
+def test_recall_of_band_keys_with_a_passage_added():
+    rng = np.random.default_rng(7)
+    pairs = []
+    for _ in range(1500):
+        base = [f"w{x}" for x in rng.integers(1_000_000, size=1000)]
+        at = int(rng.integers(0, 1000))
+        pairs += [" ".join(base), " ".join(base[:at] + [f"p{x}" for x in rng.integers(1_000_000, size=240)] + base[at:])]
+    assert all(similarity(x, y, 0.8) for x, y in zip(pairs[:40:2], pairs[1:40:2], strict=True))
+    keys = band_keys(pa.array(pairs))
+    assert all((a == b).any() for a, b in zip(keys[::2], keys[1::2], strict=True))
