@@ -98,3 +98,18 @@ def test_trees_generalise():
 
     p = trees.predict(np.array([features(u, suffixes) for u, _ in seeds[1::2]]))
     assert ((p > 0.5) == np.array([y for _, y in seeds[1::2]])).mean() > 0.95
+
+
+def test_suffixes_are_counted_over_all_pages(spark, monkeypatch):
+    from parlance.llm import url_filter
+
+    trees = BoostedTrees()  # block where the suffix's statistic is above a half
+    trees.edges, trees.bias = [np.array([])] * 16 + [np.array([0.5]), np.array([])], 0.0
+    trees.forest = [([(np.array([16]), np.array([0]))], np.array([-5.0, 5.0]))]
+    monkeypatch.setattr(url_filter, "train", lambda *a, **k: (trees, train(*a, **k)[1]))
+    urls = [f"http://a{i}.shop.test/{i}" for i in range(60)] + [f"http://www.example.net/en/{i}" for i in range(10)] + ["http://rare.test.one/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for size in (3, 20_000):
+        got = url_verdicts(df, URL_RULES, max_train=size).collect()
+        assert {r.page_id for r in got if r.score > 0.5} == set(range(70)) and len(got) == 71
+        assert {r.verdict for r in got if r.page_id < 60} == {"block"}
