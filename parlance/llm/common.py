@@ -71,7 +71,7 @@ def strings(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 24_000_000):
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 12_000_000):
     """Cut a batch of rows so that each part holds about ``max_bytes`` of text (at least one row)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     group = np.cumsum(size) // max_bytes

@@ -85,3 +85,56 @@ def test_best_fit_equals_one_piece_at_a_time():
                 bins.append([size - x])
         assert len(used) == len(bins)
         assert sum(r[2] for r in runs) == len(lengths)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_encoder_equals_the_library(name):
+    import pyarrow as pa
+
+    from parlance.llm import encoding
+
+    rng = np.random.default_rng(3)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "!", "\x01", " ", "́", "é", "1", "<|endoftext|>", "Ġ", "　", "\x1f", "\r\n", "İ", "x" * 60]
+    texts = ["".join(rng.choice(parts, size=rng.integers(0, 25))) for _ in range(3000)] + [t or "" for t in TEXTS]
+    enc = encoding.WordEncoder(public_tokenizers.path(name))
+    want = enc.library(texts)
+    for _ in range(2):  # with an empty memo, and with a full one
+        ids, per = enc.encode(pa.array(texts))
+        assert per.tolist() == [len(x) for x in want] and ids.tolist() == np.concatenate(want).tolist()
+
+
+def test_memo_starts_again(monkeypatch):
+    import pyarrow as pa
+
+    from parlance.llm import encoding
+
+    monkeypatch.setattr(encoding, "MEMO_WORDS", 50)
+    enc = encoding.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(6):
+        texts = [f"w{k} w{i} v{i * k} u" for i in range(40)]
+        ids, per = enc.encode(pa.array(texts))
+        assert ids.tolist() == np.concatenate(enc.library(texts)).tolist()
+
+
+def test_queries_on_documents(spark, sf_dir):
+    from parlance.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at, want = 0, []
+    for i in sorted(docs):
+        ids = np.array(lib.encode(docs[i], add_special_tokens=False).ids + [2], dtype="<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op6_token_files"](spark, sf_dir).collect()) == want
+    lib, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i in sorted(docs):
+        ids = np.array(lib.encode(docs[i], add_special_tokens=False).ids + [0], dtype="<u4")
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+    got = QUERIES["op9_packing"](spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048 and len(filled) <= 1 + sum(filled.values()) / 2048 * 1.05
