@@ -21,17 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="parlance-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def posix(path: str) -> str:
     """The path for ``open()``: memory-mapped files need a shared folder that is mounted."""
     if path.startswith("file:"):
@@ -45,13 +57,16 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the table back."""
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small table."""
-    shared_dir(spark, "x")
-    return df.checkpoint()
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

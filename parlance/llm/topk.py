@@ -1,15 +1,18 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation.
 
-Rows are sparse vectors (terms, integer weights). The stated query set goes out in blocks of at most
-``block`` queries (a bounded broadcast); each corpus partition turns its rows, a batch at a time, into
-postings by term, and every query term scatters weight x posting weight into a dense score array.
-Terms that nearly every row of a batch holds are accumulated together by one exact product in doubles,
-the rest by scatter. Each partition selects its k best per query, and the selections are merged.
+Rows are sparse vectors (terms, integer weights). The stated query set is stored once and goes out in
+blocks of about ``block`` queries, one broadcast at a time whatever their number. Each corpus partition
+turns its rows, a batch at a time, into postings by term; every posting of a query scatters query weight
+x corpus weights into the query's dense score array. Each partition selects its k best per query, the
+selections of a block are merged, and a block's results are stored before the next block goes out.
+
+Scores are exact: where a bound on them leaves 64 bits, the accumulation runs in Python integers.
 
 Defined results: the candidates are all rows but those with the query's own id; ties go to the smaller
-id; a query row that is repeated gets its own result (``query_row`` tells them apart); rows without a
-vector, or holding null or non-finite components, take no part; components saturate at 2**27 in size;
-a query with fewer than k candidates gets them all; an empty table gives no rows.
+id; a query row that is repeated gets its own result (``query_row`` tells them apart); rows without an
+id or a vector, or holding null or non-finite components, take no part; components beyond the 64-bit
+range saturate at it, and so do reported scores (their order stays exact); a query with fewer than k
+candidates gets them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,17 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ship
+from parlance.llm.common import save, ship
 
 CELLS = 3_000_000
-LIMIT = 1 << 27
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+LIMB = 62
+HALF = (1 << LIMB) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int = 1024) -> DataFrame:
     """Dense vectors as sparse integer rows (id, terms, weights): floor(scale * x), zeros left out."""
     x = F.col(vector).cast("array<double>")
     whole = F.col(vector).isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    floor = F.transform(x, lambda v, i: F.struct(i.alias("t"), F.floor(F.greatest(F.least(v * scale, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))).cast("long").alias("w")))
+    floor = F.transform(x, lambda v, i: F.struct(i.alias("t"), F.floor(v * scale).alias("w")))
     held = F.filter(floor, lambda s: s["w"] != 0)
     return df.where(whole).select(F.col(id_col).cast("long").alias("id"), held["t"].alias("terms"), held["w"].alias("weights"))
 
@@ -49,33 +54,31 @@ class Postings:
         return self.row[self.cut[k] : self.cut[k + 1]], self.weight[self.cut[k] : self.cut[k + 1]]
 
 
-def accumulate(queries: Postings, corpus: Postings) -> np.ndarray:
-    """Dense int64 scores, queries x corpus rows."""
+def accumulate(queries: Postings, corpus: Postings) -> tuple[np.ndarray, int]:
+    """Dense scores, queries x corpus rows (int64, or Python integers where those may overflow), and postings scattered."""
     both, qi, ci = np.intersect1d(queries.terms, corpus.terms, return_indices=True)
-    score = np.zeros((queries.rows, corpus.rows), dtype=np.int64)
-    held = np.diff(corpus.cut)[ci]
-    dense = held * 2 > corpus.rows
-    largest = float(np.abs(queries.weight).max(initial=0)) * float(np.abs(corpus.weight).max(initial=0)) * max(1, len(both))
-    if largest >= 2**53:
-        dense[:] = False
-    if dense.any():
-        n = int(dense.sum())
-        a, b = np.zeros((queries.rows, n)), np.zeros((n, corpus.rows))
-        for k, (q, c) in enumerate(zip(qi[dense], ci[dense], strict=True)):
-            r, w = queries.of(q)
-            np.add.at(a[:, k], r, w)
-            r, w = corpus.of(c)
-            np.add.at(b[k], r, w)
-        score += (a @ b).astype(np.int64)
-    for q, c in zip(qi[~dense], ci[~dense], strict=True):
-        qr, qw = queries.of(q)
-        cr, cw = corpus.of(c)
-        score[np.ix_(qr, cr)] += qw[:, None] * cw[None, :]
-    return score
-
-
-def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    terms, weights = batch.column("terms"), batch.column("weights")
+    top = lambda w: max(abs(int(w.min(initial=0))), abs(int(w.max(initial=0))))
+    per_row = max(1, int(np.bincount(corpus.row, minlength=1).max(initial=0)))
+    exact = top(queries.weight) * top(corpus.weight) * per_row < 1 << 62
+    kind = np.int64 if exact else object
+    score = np.zeros((queries.rows, corpus.rows), dtype=kind)
+    held, scattered = np.empty(corpus.rows, dtype=kind), 0
+    for q, c in zip(qi, ci, strict=True):
+        rows, weights = corpus.of(c)
+        weights = weights.astype(kind, copy=False)
+        everywhere = len(rows) == corpus.rows and bool((np.diff(rows) == 1).all())
+        for r, w in zip(*queries.of(q), strict=True):
+            np.multiply(weights, w if exact else int(w), out=held[: len(rows)])
+            if everywhere:  # the postings hold every row, in order
+                score[r] += held
+            else:
+                np.add.at(score[r], rows, held[: len(rows)])
+        scattered += len(rows) * int(queries.cut[q + 1] - queries.cut[q])
+    return score, scattered
+
+
+def _sparse(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    terms, weights = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column("terms"), batch.column("weights")))
     counts = np.diff(np.asarray(terms.offsets, dtype=np.int64))
     return np.asarray(batch.column("id"), dtype=np.int64), np.asarray(terms.flatten(), dtype=np.int64), np.asarray(weights.flatten(), dtype=np.int64), counts
 
@@ -83,7 +86,7 @@ def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def _select(score: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) places of each query's k best at or above its floor; ids ascend, so ties go left."""
     qs, rows = [], []
-    mask = score >= floor[:, None]
+    mask = (score >= floor[:, None]).astype(bool)
     many = np.flatnonzero(mask.sum(axis=1) > 4 * k)
     for q in many.tolist():
         s = score[q]
@@ -96,40 +99,49 @@ def _select(score: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tu
     return np.concatenate([*qs, q]), np.concatenate([*rows, r])
 
 
-def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192) -> DataFrame:
+def _order(best_q: np.ndarray, best_s: np.ndarray, best_i: np.ndarray) -> np.ndarray:
+    if best_s.dtype != object:
+        return np.lexsort((best_i, -best_s, best_q))
+    return np.array(sorted(range(len(best_q)), key=lambda k: (best_q[k], -best_s[k], best_i[k])), dtype=np.int64)
+
+
+def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """``corpus`` and ``queries`` are (id, terms, weights); returns query_id, query_row, rank, id, score."""
     spark = corpus.sparkSession
     ship(spark)
-    blocks = max(1, -(-queries.count() // block))
-    out = None
+    stored = save(spark, queries.select("id", "terms", "weights").withColumn("row", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-stored.count() // block))
+    of_block = F.pmod(F.xxhash64("row"), F.lit(blocks))  # about even whatever ids repeat
+    done = []
     for b in range(blocks):
-        sent = spark.sparkContext.broadcast(queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks())
+        sent = spark.sparkContext.broadcast(stored.where(of_block == b).orderBy("row").toArrow())
 
-        def score(batches, sent=sent, b=b):
-            held = sent.value.to_batches()
-            if not held:
+        def score(batches, sent=sent):
+            if not sent.value.num_rows:
                 return
-            qid, qt, qw, qn = _sparse(held[0])
+            qid, qt, qw, qn = _sparse(sent.value)
+            qrow = np.asarray(sent.value.column("row"))
             qcut = np.concatenate([[0], np.cumsum(qn)])
-            lowest = np.iinfo(np.int64).min
             best_s, best_i, best_q = (np.zeros(0, np.int64) for _ in range(3))
-            floor = np.full(len(qid), lowest)
+            floor = np.full(len(qid), LOWEST).astype(object)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                batch = batch.sort_by("id") if hasattr(batch, "sort_by") else batch
+                batch = batch.sort_by("id")
                 ids, t, w, n = _sparse(batch)
                 postings = Postings(t, w, n)
                 step = max(1, CELLS // len(ids))
                 for a in range(0, len(qid), step):
                     z = min(len(qid), a + step)
-                    s = accumulate(Postings(qt[qcut[a] : qcut[z]], qw[qcut[a] : qcut[z]], qn[a:z]), postings)
+                    s, _ = accumulate(Postings(qt[qcut[a] : qcut[z]], qw[qcut[a] : qcut[z]], qn[a:z]), postings)
+                    low = LOWEST if s.dtype != object else -(1 << 200)
                     lo, hi = np.searchsorted(ids, qid[a:z]), np.searchsorted(ids, qid[a:z], side="right")
                     for q in np.flatnonzero(hi > lo).tolist():
-                        s[q, lo[q] : hi[q]] = lowest
-                    q, r = _select(s, ids, k, np.maximum(floor[a:z], lowest + 1))
+                        s[q, lo[q] : hi[q]] = low
+                    least = floor[a:z] if s.dtype == object else np.array([min(max(int(x), LOWEST + 1), HIGHEST) for x in floor[a:z]], dtype=np.int64)
+                    q, r = _select(s, ids, k, np.maximum(least, low + 1))
                     best_q, best_i, best_s = np.concatenate([best_q, q + a]), np.concatenate([best_i, ids[r]]), np.concatenate([best_s, s[q, r]])
-                order = np.lexsort((best_i, -best_s, best_q))
+                order = _order(best_q, best_s, best_i)
                 best_q, best_i, best_s = best_q[order], best_i[order], best_s[order]
                 first = np.searchsorted(best_q, best_q)
                 keep = np.arange(len(best_q)) - first < k
@@ -137,9 +149,21 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int =
                 n_each = np.bincount(best_q, minlength=len(qid))
                 full = np.flatnonzero(n_each == k)
                 floor[full] = best_s[np.cumsum(n_each)[full] - 1]
-            yield pa.RecordBatch.from_pydict({"query_id": qid[best_q], "query_row": best_q * blocks + b, "id": best_i, "score": best_s})
-
-        part = corpus.select("id", "terms", "weights").mapInArrow(score, "query_id long, query_row long, id long, score long")
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", "query_row")
+            # Exact scores travel in three limbs, so the merge orders them as integers too.
+            wide = [int(x) for x in best_s]
+            limbs = [[x >> 2 * LIMB for x in wide], [(x >> LIMB) & HALF for x in wide], [x & HALF for x in wide]]
+            yield pa.RecordBatch.from_pydict({"query_id": qid[best_q], "query_row": qrow[best_q], "id": best_i, **{c: pa.array(x, pa.int64()) for c, x in zip("hml", limbs, strict=True)}})
+
+        part = corpus.select("id", "terms", "weights").mapInArrow(score, "query_id long, query_row long, id long, h long, m long, l long")
+        w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("h"), F.desc("m"), F.desc("l"), F.asc("id"))
+        joined = lambda m: F.shiftleft(m, LIMB).bitwiseOR(F.col("l"))
+        whole = F.when((F.col("h") == 0) & (F.col("m") <= 1), joined(F.col("m"))).when((F.col("h") == -1) & (F.col("m") >= HALF - 1), joined(F.col("m") - (HALF + 1)))
+        whole = whole.when(F.col("h") >= 0, F.lit(int(HIGHEST))).otherwise(F.lit(int(LOWEST)))
+        out = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", whole.alias("score"), "query_row")
+        done.append(out if blocks == 1 else save(spark, out, "block"))
+        if blocks > 1:
+            sent.unpersist()
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -1,10 +1,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm.exact_dedup import drop_copies, exact_dedup
 from parlance.llm.queries import QUERIES, SQL, URL_RULES
-from parlance.llm.topk import exact_topk, quantised
+from parlance.llm.topk import Postings, accumulate, exact_topk, quantised
 from parlance.llm.url_filter import BoostedTrees, parts, seed_urls, train, url_verdicts
 
 
@@ -37,20 +38,36 @@ def test_topk_edges(spark):
     rng = np.random.default_rng(0)
     base = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 1024]) for i in range(300)]
     base += [(300 + i, base[5][1]) for i in range(400)]  # one very common vector
-    base += [(900, [1e9, -1e9, 0.0, 0.0, 0.0, 0.0])]
+    base += [(900, [1e9, -1e9, 0.0, 0.0, 0.0, 0.0]), (901, [300_000.5, 2.0, -131_073.0, 0.0, 0.0, 0.0]), (902, [1e13, 1e13, 0.0, 0.0, 0.0, 0.0]), (1900, [-1e13, 1.0, 0.0, 0.0, 0.0, 0.0])]
     bad = [(1000, None), (1001, [None] * 6), (1002, [float("nan")] * 6), (1003, [float("inf")] + [0.0] * 5), (None, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in base + bad], "vec_id long, embedding array<double>, score string").repartition(3)
     rows = quantised(df, "vec_id", "embedding")
-    clip = lambda v: [int(np.floor(min(max(x * 1024, -(2**27)), 2**27))) for x in v]
-    whole = [(i, clip(v)) for i, v in base]
+    whole = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in base]
+    in_long = lambda rows: [(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in rows]
     got = exact_topk(rows, rows.where("id % 100 = 0"), k=10, block=3).collect()
-    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == brute(whole, [x for x in whole if x[0] % 100 == 0], 10)
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == in_long(brute(whole, [x for x in whole if x[0] % 100 == 0], 10))
+    twice = exact_topk(rows, rows.where("id = 200").unionByName(rows.where("id in (200, 300)")), k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in twice) == sorted(in_long(brute(whole, [x for x in whole if x[0] == 200] * 2 + [x for x in whole if x[0] == 300], 3)))
+    assert len({r.query_row for r in twice}) == 3
     few = exact_topk(rows.where("id < 4"), rows.where("id = 0"), k=10).collect()
     assert len(few) == 3
     assert exact_topk(rows.where("id < 0"), rows.where("id < 0")).count() == 0
     assert exact_topk(rows, rows.where("id < 0")).count() == 0
 
 
+def test_scores_are_scattered_postings(spark, sf_dir):
+    rng = np.random.default_rng(1)
+    dense = lambda n: Postings(np.tile(np.arange(5), n), rng.integers(1, 9, 5 * n), np.full(n, 5))
+    q, c = dense(3), dense(7)
+    score, scattered = accumulate(q, c)
+    assert scattered == 5 * 3 * 7 and score.shape == (3, 7)
+    sparse = Postings(np.array([4, 4, 0, 4]), np.array([2, 3, 5, 7]), np.array([1, 2, 0, 1]))
+    score, scattered = accumulate(q, sparse)
+    assert scattered == 3 * 3 + 3 and (score[:, 2] == 0).all()
+    at = lambda r, t: int(q.weight[(q.row == r) & (np.repeat(q.terms, np.diff(q.cut)) == t)].sum())
+    assert score.tolist() == [[2 * at(r, 4), 3 * at(r, 4) + 5 * at(r, 0), 0, 7 * at(r, 4)] for r in range(3)]
+
+
 def test_exact_dedup_edges(spark):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "A"), (None, "z"), (7, "q" * 200_000), (8, "q" * 200_000), (9, "dup"), (9, "dup"), (None, "n"), (None, "n")] + [(100 + i, "hot") for i in range(300)]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, keep_id string, n int").repartition(40)
@@ -66,6 +83,11 @@ def test_exact_dedup_edges(spark):
     assert kept.columns == df.columns
     assert sorted((r.text or "") for r in kept.collect()) == sorted(by)
     assert exact_dedup(df.limit(0)).count() == 0
+    least = {r.doc_id: r.keep_id for r in exact_dedup(df.unionByName(df.limit(1).selectExpr("-9223372036854775808 doc_id", "'a' text", "'x' keep_id", "0 n")), keep="min").collect()}
+    assert least[1] == least[2] == -(2**63) and least[7] == least[8] == 7 and least[101] == 100
+    named = df.withColumns({c: F.lit(c) for c in ("_id", "_sha", "_sha_own", "keep_sha", "Own_SHA")})
+    got = drop_copies(named)
+    assert got.columns == named.columns and got.count() == len(by) and {tuple(r)[4:] for r in got.collect()} == {("_id", "_sha", "_sha_own", "keep_sha", "Own_SHA")}
 
 
 def test_exact_dedup_is_native(spark, sf_dir):
