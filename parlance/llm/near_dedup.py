@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ranges, save, ship, slices, strings, text_or_empty, words
+from parlance.llm.common import fresh, ranges, save, ship, slices, strings, text_or_empty, words
 from parlance.llm.components import components, relabelled
 
 WORDS = 5
@@ -285,9 +285,11 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFram
     rows = save(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n")).alias("r")), "nodes")
     rows = rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     once = rows.groupBy("label").agg(F.min(F.struct("r.last", "r.doc_id", "node", "r.n")).alias("r"))
-    again = save(spark, once.select("r.doc_id", F.lower(F.hex("r.node")).alias("_node"), "r.n"), "kept")
-    own = docs.withColumn("_own", F.substring(F.sha2(text_or_empty(), 256), 1, 32))
-    out = own.join(again.select(F.col("doc_id").alias("_id"), "_node"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
+    again = save(spark, once.select("r.doc_id", F.lower(F.hex("r.node")).alias("node"), "r.n"), "kept")
+    own_sha, id_, sha = fresh(docs, "own_sha", "kept_id", "kept_sha")
+    own = docs.withColumn(own_sha, F.substring(F.sha2(text_or_empty(), 256), 1, 32))
+    kept = again.select(F.col("doc_id").alias(id_), F.col("node").alias(sha))
+    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha)), "left_semi")
     if not again.where("n > 1").isEmpty():  # rows repeated with their doc_id
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.drop("_own")
+        out = out.dropDuplicates(["doc_id", own_sha])
+    return out.drop(own_sha)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from parlance.llm import hpylm, pii, toxicity
 from parlance.llm.pieces import PieceEncoder, decode, encode, round_trip
@@ -185,6 +186,34 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert a[0] > 3 * b[0] and b[0] < 0.1 and abs(b[0] - b[1]) < abs(a[0] - a[1]) / 3 and b[2] > 0.5
 
 
+def test_training_from_tables_equals_training_from_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.text, r.y) for r in toxicity.training_sample(docs, labels).collect()]
+    (a, bias), (b, other) = toxicity.train(docs, labels, min_g2=6.0), toxicity.fit(rows, min_g2=6.0)
+    assert abs(bias - other) < 1e-3 and {f for f, w in a.items() if abs(w) > 0.05} == {f for f, w in b.items() if abs(w) > 0.05}
+    texts = pa.array([t for t, _ in rows])
+    assert np.abs(toxicity.Scorer(a, bias)(texts) - toxicity.Scorer(b, other)(texts)).max() < 1e-3
+
+
+def test_toxicity_against_a_plain_sum(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, sf).collect()}
+    for r in docs.collect():
+        n = Counter(f for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") for f in toxicity.features_of(w))
+        z = bias + sum(weights[f] * (1 + math.log(k) / 2) for f, k in n.items() if f in weights)
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-z))) < 1e-6
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_one_word_splitter():
+    assert set(toxicity.word_counts("a\u00a0b c\x0bd\x1ce")) == {"a\u00a0b", "c", "d\x1ce"}
+    bag, changes = toxicity.observe("Muslims met men", toxicity.places(["=met"]))
+    assert len(changes) == toxicity.ROTATIONS - toxicity.ROTATIONS // len(toxicity.PLURAL) and len(bag) > 1
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(0, 1), (0, None), (1, 0), (4, 0), (None, 1), (5, 1), (6, 0)], "doc_id long, toxic int")
@@ -192,6 +221,9 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).where("score > 1e-9").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.drop_toxic(docs, labels.limit(0)).columns == docs.columns
+    named = docs.withColumns({c: F.lit("x") for c in ("_score", "_scored", "SCORE_", "scored_text")})
+    kept = toxicity.drop_toxic(named, labels.limit(0))
+    assert kept.columns == named.columns and kept.where("_score = 'x' and scored_text = 'x'").count() == kept.count() > 0
 
 
 # --- personal data --------------------------------------------------------------------------------

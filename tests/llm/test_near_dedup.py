@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from parlance.llm.near_dedup import aligned, band_keys, drop_near_copies, labelled, near_classes, similarity
 
@@ -92,6 +93,14 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in drop_near_copies(df).collect()) == ["1", "2", "None"]
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(6)], "doc_id long, text string")
+    extra = ("_id", "_node", "_own", "own_sha", "Kept_Id", "kept_sha", "label")
+    named = df.withColumns({c: F.lit(c) for c in extra})
+    got = drop_near_copies(named)
+    assert got.columns == named.columns and {tuple(r)[2:] for r in got.collect()} == {extra}
+
+
 def test_recall_of_band_keys():
     rng = np.random.default_rng(5)
     hit = n = 0

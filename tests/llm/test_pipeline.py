@@ -38,7 +38,7 @@ def corpus(spark, path):
 
 def brute(docs, labels):
     """The stages on a list of rows."""
-    scorer = toxicity.Scorer(*toxicity.fit(toxicity.training_rows(docs, labels)))
+    scorer = toxicity.Scorer(*toxicity.fit([(r.text, r.y) for r in toxicity.training_sample(docs, labels).collect()]))
     import pyarrow as pa
 
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
