@@ -2,12 +2,13 @@
 
 The tagger is trained in numpy from labelled spans (a seeded generator of sentences with e-mail
 addresses, IP addresses, card and phone numbers in many notations, and of look-alikes that are none).
-A span by definition holds a digit or an at sign, so characters farther than ``REACH`` from any of these
-cannot be tagged and are not run through the tagger; everything nearer is, in windows of ``WINDOW``
-characters that overlap. Each window is decoded by Viterbi; a position takes its tag from the window in
-which it is most central, and spans are then read off over the whole text, across window borders. A
-found span must satisfy its kind's rule (digit counts, Luhn, parts up to 255, a host), and is added only
-where no base span lies: base spans stay as they are.
+Overlapping windows of ``WINDOW`` characters lie every ``CENTRE`` characters over the whole text; each is
+decoded by Viterbi, a position takes its tag from the window in which it is most central, and spans are
+read off over the whole text, across window borders. A found span must satisfy its kind's rule
+(``accept``: digit counts, Luhn, parts up to 255, a host) and is added only where no base span lies: base
+spans stay as they are. Every rule asks for a digit or an at sign, so decoding starts at the windows that
+own one and goes on to the neighbours that a span runs into; windows that no acceptable span can touch
+are left out, which changes no result (``every=True`` decodes all, and a test compares).
 
 Base patterns are matched leftmost and non-overlapping per kind, in time linear in the text.
 
@@ -39,7 +40,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-WINDOW, CENTRE, REACH = 96, 48, 32
+WINDOW, CENTRE = 96, 48
+EDGE = (WINDOW - CENTRE) // 2
 
 
 def luhn(digits: str) -> bool:
@@ -64,7 +66,7 @@ def _emails(text: str):
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
     if kind == "card":
         return 13 <= len(d := digits_of(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -95,6 +97,8 @@ _CODE[97:123] = _CODE[65:91] = np.arange(10, 36)
 for _i, _c in enumerate(PUNCTUATION):
     _CODE[ord(_c)] = 36 + _i
 PAD = SYMBOLS
+_IS_TRIGGER = np.zeros(SYMBOLS + 1, dtype=bool)
+_IS_TRIGGER[[*range(10), int(_CODE[ord("@")])]] = True
 
 
 def codes(text: str) -> np.ndarray:
@@ -280,51 +284,50 @@ def trained(windows: int = 4000, epochs: int = 10, seed: int = 11) -> Tagger:
     return Tagger().fit(*labelled_windows(windows, seed), epochs=epochs)
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within REACH of a digit or an at sign."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + 1 + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[list[tuple[str, int, int]]]:
+def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 1024, every: bool = False) -> list[list[tuple[str, int, int]]]:
     """Spans of each text: overlapping windows decoded, then reconciled over the whole text."""
-    jobs, x, held = [], [], []
+    held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    jobs: list[tuple[int, int]] = []
     for n, text in enumerate(texts):
-        for a, b in regions(text):
-            c = codes(text[a:b])
-            held.append((n, a, np.zeros(b - a, dtype=np.int8)))
-            at = 0
-            while True:
-                part = c[at : at + WINDOW]
-                jobs.append((len(held) - 1, at, len(part)))
-                x.append(np.concatenate([part, np.full(WINDOW - len(part), PAD)]))
-                if at + WINDOW >= len(c):
-                    break
-                at += CENTRE
-    edge = (WINDOW - CENTRE) // 2
-    for s in range(0, len(x), batch):
-        tags = tagger.decode(np.stack(x[s : s + batch]).T)
-        for k, (job, at, n) in enumerate(jobs[s : s + batch]):
-            lo = 0 if at == 0 else edge
-            held[job][2][at + lo : at + n] = tags[lo:n, k]  # the next window overwrites what is more central to it
+        if not text or not (every or TRIGGER.search(text)):
+            continue
+        c = codes(text)
+        windows = 1 if len(c) <= WINDOW else 1 - (WINDOW - len(c)) // CENTRE
+        own = np.arange(windows) if every else np.unique(np.clip((np.flatnonzero(_IS_TRIGGER[c]) - EDGE) // CENTRE, 0, windows - 1))
+        asked = np.zeros(windows, dtype=bool)
+        asked[own] = True
+        held[n] = (c, np.zeros(len(c), dtype=np.int8), asked)
+        jobs += [(n, k) for k in own.tolist()]
+    while jobs:
+        more = []
+        for s in range(0, len(jobs), batch):
+            part = jobs[s : s + batch]
+            x = np.full((len(part), WINDOW), PAD, dtype=np.int64)
+            for row, (n, k) in zip(x, part, strict=True):
+                piece = held[n][0][k * CENTRE : k * CENTRE + WINDOW]
+                row[: len(piece)] = piece
+            found = tagger.decode(x.T)
+            for i, (n, k) in enumerate(part):
+                c, tags, asked = held[n]
+                at = k * CENTRE
+                a = at + EDGE if k else 0
+                b = at + CENTRE + EDGE if k + 1 < len(asked) else len(c)
+                tags[a:b] = found[a - at : b - at, i]
+                for near, edge in ((k - 1, tags[a] and tags[a] % 2 == 0), (k + 1, tags[b - 1] != 0)):
+                    if edge and 0 <= near < len(asked) and not asked[near]:
+                        asked[near] = True
+                        more.append((n, near))
+        jobs = more
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for n, a, tags in held:
-        at = 0
-        while at < len(tags):
-            if tags[at] == 0:
-                at += 1
+    for n, (_, tags, _) in held.items():
+        at, end = 0, 0
+        for at in np.flatnonzero(tags).tolist():
+            if at < end:
                 continue
             kind, end = (tags[at] - 1) // 2, at + 1
             while end < len(tags) and tags[end] == 2 + 2 * kind:
                 end += 1
-            out[n].append((KINDS[kind], a + at, a + end))
-            at = end
+            out[n].append((KINDS[kind], at, end))
     return out
 
 
@@ -333,16 +336,16 @@ def accept(kind: str, s: str) -> bool:
     if kind == "email":
         return s.count("@") == 1 and bool(re.fullmatch(r"\S[^@]*@\)?\s?[^\s@]+\.[^\s@]{2,}", s)) and s[-1].isalnum()
     if kind == "ip":
-        return bool(re.fullmatch(r"\d+\.\d+\.\d+\.\d+", s)) and valid("ip", s)
+        return bool(re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", s)) and valid("ip", s)
     if kind == "card":
         return bool(re.fullmatch(r"[0-9]([ ./-]?[0-9])+", s)) and valid("card", s)
     return bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9-]+[0-9]", s)) and 9 <= len(digits_of(s)) <= 15 and len(digits_of(s)) < len(s)
 
 
-def spans_of(tagger: Tagger, texts: list[str]) -> tuple[list[list], list[list]]:
+def spans_of(tagger: Tagger, texts: list[str], every: bool = False) -> tuple[list[list], list[list]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t) if TRIGGER.search(t) else [] for t in texts]
-    found = tagged_spans(tagger, texts)
+    found = tagged_spans(tagger, texts, every=every)
     added = []
     for text, own, more in zip(texts, base, found, strict=True):
         taken = sorted((a, b) for _, a, b in own)

@@ -273,6 +273,37 @@ def test_tagger_finds_what_the_patterns_miss():
     assert base == [[], [], []] and [k for k, _, _ in added[0]] == ["phone"] and added[1:] == [[], []]
 
 
+def test_windows_left_out_change_nothing(sf_dir):
+    import pyarrow.parquet as pq
+
+    tagger, rng = pii.trained(), np.random.default_rng(4)
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()[:40] + [t or "" for t in ODD]
+    texts += ["call (017) 555-7713 " * 40, "x" * 500 + " a.very" + "long" * 60 + "@ mail" + "host" * 50 + ".example.com " + "y" * 300, "١٢.٣.٤.٥", "0" * 5000 + ".0.0.0"]
+    texts += ["".join(rng.choice(list("ab 12.@-+()/é\n"), int(rng.integers(0, 900)))) for _ in range(60)]
+    assert pii.spans_of(tagger, texts) == pii.spans_of(tagger, texts, every=True)
+
+
+def test_quads_of_any_length(spark):
+    texts = ["0" * 5000 + ".0.0.0", "1" + "0" * 5000 + ".0.0.0", "1.2.3." + "9" * 5000]
+    got = sorted((r.doc_id, r.n_ip) for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(0, 1), (1, 0), (2, 0)]
+    assert pii.redact(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first().text == "[IP]"
+
+
+def test_added_spans_are_valid_and_apart_from_base_spans(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op5_pii"](spark, sf).collect():
+        t = text[r.doc_id]
+        base = brute_base(t)
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        added = [x for x in spans if x not in base]
+        assert len(added) == r.n_added and len(spans) == len(base) + len(added)
+        assert all(pii.accept(k, t[a:b]) and not any(a < e and s < b for _, s, e in base) for k, a, b in added)
+    found = pii.tagged_spans(pii.trained(), ["nothing of the kind"])
+    assert found == [[]]
+
+
 def test_pii_frames(spark, sf_dir):
     docs = odd(spark).unionByName(spark.createDataFrame([(50, "mail a.b@c.de, ip 1.2.3.4 and 4111111111111111 +49 (30) 123-4567", False, 0.0)], "doc_id long, text string, held_out boolean, score double"))
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
