@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.llm.exact_dedup import drop_copies, exact_dedup
 from parlance.llm.queries import QUERIES, SQL, URL_RULES
 from parlance.llm.topk import Postings, accumulate, exact_topk, quantised
-from parlance.llm.url_filter import BoostedTrees, parts, seed_urls, train, url_verdicts
+from parlance.llm.url_filter import FEATURES, BoostedTrees, features, labelled_urls, parts, train, url_verdicts
 
 
 def oracle(sf_dir, name):
@@ -114,24 +116,73 @@ def test_trees_generalise():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     m = BoostedTrees(trees=40).fit(x[:1500], y[:1500], np.ones(1500))
     assert ((m.predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
-    seeds = seed_urls()
-    trees, suffixes = train(seeds[::2])
-    from parlance.llm.url_filter import features
-
-    p = trees.predict(np.array([features(u, suffixes) for u, _ in seeds[1::2]]))
-    assert ((p > 0.5) == np.array([y for _, y in seeds[1::2]])).mean() > 0.95
+    urls = labelled_urls(2000, seed=3)
+    trees = train([(0.9, 10), (0.5, 2)])
+    p = trees.predict(features([u for u, _ in urls], np.full(len(urls), 0.9)))
+    y = np.array([y for _, y in urls])
+    assert ((p > 0.5) == y).mean() > 0.93
+
+
+def plain_features(url, suffix):
+    host, path, rest = parts(url)
+    whole = host + path + rest
+    n, data = max(1, len(whole)), whole.encode()
+    entropy = -sum(c / len(data) * np.log2(c / len(data)) for c in Counter(data).values()) if data else 0.0
+    last = ".".join(host.split(".")[-2:])
+    digits = lambda s: sum(c in "0123456789" for c in s)
+    signs = sum(not (c.isascii() and c.isalnum()) for c in whole)
+    return [len(url or ""), len(host), len(path), len(rest), path.count("/"), host.count("."), host.count("-"), digits(whole) / n, digits(host), entropy, rest.count("=") + rest.count("&"), float("#" in rest), float((url or "").startswith("https:")), signs / n, (url or "").count("%"), suffix, len(host) - len(last)]
+
+
+ODD_URLS = [None, "", "x", "http://", "http://a", "https://É.com/é?x=é#q", "http://a.b.c.d/", "a://b\nc/d\n?e", "http://1.2.3.4/%20", "http://" + "long" * 30_000 + ".com/" + "p/" * 10_000]
+
+
+def test_features_equal_a_plain_count():
+    urls = ODD_URLS + [u for u, _ in labelled_urls(300)]
+    got = features(urls, np.linspace(0, 1, len(urls)))
+    assert got.shape[1] == len(FEATURES)
+    assert np.allclose(got, [plain_features(u, s) for u, s in zip(urls, np.linspace(0, 1, len(urls)), strict=True)])
+
+
+def test_url_query_against_brute_force(spark, sf_dir):
+    rows = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()]
+    got = {r.page_id: r for r in QUERIES["op8_url_filter"](spark, sf_dir).collect()}
+    of = {i: ".".join(parts(u)[0].split(".")[-2:]) for i, u in rows}
+    n = Counter(of.values())
+    stat = lambda s: np.log1p(n[s]) / np.log1p(len(rows))
+    trees = train([(stat(s), c) for s, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))])
+    score = dict(zip([i for i, _ in rows], trees.predict(np.array([plain_features(u, stat(of[i])) for i, u in rows])), strict=True))
+    assert len(got) == len(rows)
+    for i, u in rows:
+        host, path, _ = parts(u)
+        fits = sorted((len(h + p), h + p, said) for said, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p))
+        rule, said = fits[-1][1:] if fits else (None, "block" if score[i] >= 0.5 else "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, said) and abs(got[i].score - score[i]) < 1e-9
+
+
+def test_pages_that_no_rule_decides(spark):
+    """Rules teach nothing: ordinary pages pass on every suffix, spam-like hosts do not."""
+    rows = [f"https://www.therre.example.com/en/{i}?page=2&ref=x" for i in range(40)] + [f"http://thther.example.org/en/{i}" for i in range(40)] + [f"http://blog.ththon.example.com/de/{i}" for i in range(40)]
+    bad = ["https://www.cheap-pills.example.com/fr/176/", "http://m.adult-x.example.org/en/780#top", "http://10.20.30.40/x?a=1f9c77e0aa&b=99c0aa1f77&c=0f0f0f0faa&d=77aa77aa11"]
+    df = spark.createDataFrame(list(enumerate(rows + bad)), "page_id int, url string")
+    got = {r.page_id: r for r in url_verdicts(df, URL_RULES).collect()}
+    assert [got[i].verdict for i in range(80)] == ["allow"] * 80 and all(got[i].rule is None for i in range(80))
+    assert all(got[i].verdict == "block" for i in range(80, 123))
+    again = {r.page_id: r.score for r in url_verdicts(df.where("page_id < 80 or page_id >= 120").unionByName(df.where("page_id < 3")), URL_RULES).collect()}
+    assert all((again[i] >= 0.5) == (got[i].score >= 0.5) for i in range(80))
+    odd = spark.createDataFrame(list(enumerate(ODD_URLS * 2)), "page_id int, url string")
+    assert url_verdicts(odd, URL_RULES).count() == 2 * len(ODD_URLS)
 
 
 def test_suffixes_are_counted_over_all_pages(spark, monkeypatch):
     from parlance.llm import url_filter
 
     trees = BoostedTrees()  # block where the suffix's statistic is above a half
-    trees.edges, trees.bias = [np.array([])] * 16 + [np.array([0.5]), np.array([])], 0.0
-    trees.forest = [([(np.array([16]), np.array([0]))], np.array([-5.0, 5.0]))]
-    monkeypatch.setattr(url_filter, "train", lambda *a, **k: (trees, train(*a, **k)[1]))
+    at = FEATURES.index("suffix")
+    trees.edges, trees.bias = [np.array([0.5]) if f == at else np.array([]) for f in range(len(FEATURES))], 0.0
+    trees.forest = [([(np.array([at]), np.array([0]))], np.array([-5.0, 5.0]))]
+    monkeypatch.setattr(url_filter, "train", lambda *a: trees)
     urls = [f"http://a{i}.shop.test/{i}" for i in range(60)] + [f"http://www.example.net/en/{i}" for i in range(10)] + ["http://rare.test.one/"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
-    for size in (3, 20_000):
-        got = url_verdicts(df, URL_RULES, max_train=size).collect()
-        assert {r.page_id for r in got if r.score > 0.5} == set(range(70)) and len(got) == 71
-        assert {r.verdict for r in got if r.page_id < 60} == {"block"}
+    got = url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), URL_RULES).collect()
+    assert {r.page_id for r in got if r.score > 0.5} == set(range(70)) and len(got) == 71
+    assert {r.verdict for r in got if r.page_id < 60} == {"block"}
