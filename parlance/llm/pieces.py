@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 The vocabulary of a SentencePiece BPE model is applied by an agenda of merge candidates, best score
-first, leftmost on ties. A candidate that comes up is skipped when a keyed hash of (seed, variant, part,
-span) falls below the dropout rate; with rate 0 the ids are those of the library. A text is encoded
-part by part (spaces and the word after them: no piece of the model reaches across), and each part takes
-one of ``variants`` drop-out variants by a hash of (seed, doc_id, place), so equal words come in varied
-segmentations, any of which is found again from the key. The distinct (part, variant) pairs of a slice of
-texts run their agendas side by side in numpy, one candidate each per step; very long parts run alone.
+first, leftmost on ties. A candidate that comes up is skipped when a keyed hash of (seed, doc_id, place of
+the part, span) falls below the dropout rate, so every occurrence of a word draws anew; with rate 0 the
+ids are those of the library. A text is encoded part by part (spaces and the word after them: no piece of
+the model reaches across). The distinct parts of a slice of texts run their agendas side by side in numpy,
+one candidate each per step; a part's occurrences share its agenda as long as they skip alike and split
+where they do not, so equal decisions are worked out once and each occurrence still has its own. Parts of
+more than ``SIDE_BY_SIDE`` characters run alone.
 
 Decoding joins the pieces and is lossless: characters without a piece, and a literal U+2581, go through
 byte pieces.
@@ -76,11 +77,10 @@ class PairTable:
 
 
 class PieceEncoder:
-    """Encodes parts (keys: a variant character, then spaces and a word)."""
+    """Encodes parts (spaces and a word) under the keys of their occurrences."""
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int = 8):
+    def __init__(self, path: str, rate: float, seed: int):
         import sentencepiece
-        import xxhash
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
@@ -99,7 +99,7 @@ class PieceEncoder:
             self.decoded[i] = pieces[i].replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_id):
             self.decoded[i] = bytes([b])
-        self.limit, self.seed, self.variants, self.hash = int(rate * (1 << 64)), seed, variants, xxhash.xxh3_64_intdigest
+        self.limit, self.seed = min(int(rate * (1 << 64)), MASK), seed
         # Symbols are pieces, or characters that occur only inside of pieces (numbered after them).
         symbol = dict(self.ids)
         for piece in list(symbol):
@@ -110,9 +110,8 @@ class PieceEncoder:
         self.is_piece[plain] = True
         self.pairs = PairTable({(symbol[a], symbol[b]): self.rank[p] << 32 | self.ids[p] for p in self.ids for k in range(1, len(p)) if (a := p[:k]) in symbol and (b := p[k:]) in symbol})
 
-    def part(self, key: str) -> list[int]:
-        """Ids of one part; the first character of the key is the variant."""
-        text = key[1:]
+    def part(self, text: str, key: int) -> list[int]:
+        """Ids of one occurrence of a part: a plain agenda."""
         sym: list = [SPACE if c == " " else c if c != SPACE else "" for c in text]
         n, rank, limit = len(sym), self.rank, self.limit
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -121,14 +120,13 @@ class PieceEncoder:
             if sym[i] and sym[i + 1] and (r := rank.get(sym[i] + sym[i + 1])) is not None:
                 heap.append((r, i, i + 1, 2))
         heapify(heap)
-        base = self.hash(key.encode(), self.seed) if limit else 0
         while heap:
             _, i, j, size = heappop(heap)
             left, right = sym[i], sym[j] if j < n else None
             if not left or not right or after[i] != j or len(left) + len(right) != size:
                 continue
             if limit:
-                h = ((base ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + size)) * 0xBF58476D1CE4E5B9) & MASK
+                h = ((key ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + size) & MASK) * 0xBF58476D1CE4E5B9) & MASK
                 if (((h ^ (h >> 31)) * 0x94D049BB133111EB) & MASK) < limit:
                     continue
             new = sym[i] = left + right
@@ -149,95 +147,136 @@ class PieceEncoder:
             out += [got] if got is not None else [self.byte_id[b] for b in (s or SPACE).encode()]
         return out
 
-    def _block(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and ids per part: the agendas of all parts side by side."""
-        n = len(keys)
-        size = np.fromiter((len(k) - 1 for k in keys), dtype=np.int64, count=n)
+    def _block(self, parts: list[str], state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids and ids per state, and each occurrence's state: the agendas of all parts side by side.
+
+        ``state`` is the part of each occurrence, ``key`` its key; states beyond the parts come of splits.
+        """
+        n = used = len(parts)
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=n)
         width = int(size.max(initial=1))
         symbol, space = self.symbol, self.symbol.get(SPACE, -1)
         rows = np.repeat(np.arange(n), size)
         cols = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-        chars = "".join(k[1:] for k in keys)
-        point = np.frombuffer(chars.encode("utf-32-le"), dtype="<u4")
+        point = np.frombuffer("".join(parts).encode("utf-32-le"), dtype="<u4")
         known, inverse = np.unique(point, return_inverse=True)
         of = np.array([space if c == 32 else -1 if chr(c) == SPACE else symbol.get(chr(c), -1) for c in known.tolist()], dtype=np.int64)
         sym = np.full((n, width + 1), -1, dtype=np.int64)
         sym[rows, cols] = of[inverse]
-        after = np.tile(np.arange(1, width + 2), (n, 1))
-        before = np.tile(np.arange(-1, width), (n, 1))
-        length = np.ones((n, width + 1), dtype=np.int64)
-        gone = np.zeros((n, width + 1), dtype=bool)
-        base = np.fromiter((self.hash(k.encode(), self.seed) for k in keys), dtype=np.uint64, count=n) if self.limit else None
+        none = NONE << np.int64(20)
         found = self.pairs(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width)
-        best = np.where(found >= 0, found, NONE << np.int64(20))
+        best = np.where(found >= 0, found, none)
+        after = np.tile(np.arange(1, width + 2, dtype=np.int16), (n, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int16), (n, 1))
+        length = np.ones((n, width + 1), dtype=np.int16)
+        gone = np.zeros((n, width + 1), dtype=bool)
+        origin = np.arange(n)
         live = np.arange(n)
-        limit = np.uint64(min(self.limit, MASK))
+        state = state.copy()
+        open_ = np.arange(len(state)) if self.limit else np.zeros(0, np.int64)
+        limit = np.uint64(self.limit)
         while len(live):
             i = best[live].argmin(axis=1)
             value = best[live, i]
-            go = value < NONE << np.int64(20)
+            go = value < none
             live, i, value = live[go], i[go], value[go]
             if not len(live):
                 break
-            j = after[live, i]
-            best[live, i] = NONE << np.int64(20)
+            j = after[live, i].astype(np.int64)
             if self.limit:
-                total = length[live, i] + length[live, j]
-                h = (base[live] ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + total.astype(np.uint64))) * np.uint64(0xBF58476D1CE4E5B9)
+                span = np.zeros(used, dtype=np.uint64)
+                on = np.zeros(used, dtype=bool)
+                on[live] = True
+                span[live] = i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (length[live, i] + length[live, j]).astype(np.uint64)
+                open_ = open_[on[state[open_]]]
+                own = state[open_]
+                h = (key[open_] ^ span[own]) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                take = h >= limit
+                skip = h < limit
+                skipping, all_ = np.bincount(own[skip], minlength=used)[live], np.bincount(own, minlength=used)[live]
+                parted = np.flatnonzero((skipping > 0) & (skipping < all_))
+                if len(parted):  # those that skip go on in a state of their own
+                    more = used + len(parted)
+                    if more > len(sym):
+                        room = max(more, 2 * len(sym)) - len(sym)
+                        sym, best, after, before, length, gone = (np.concatenate([x, np.empty((room, x.shape[1]), x.dtype)]) for x in (sym, best, after, before, length, gone))
+                        origin = np.concatenate([origin, np.empty(room, origin.dtype)])
+                    old, new = live[parted], np.arange(used, more)
+                    for x in (sym, best, after, before, length, gone, origin):
+                        x[new] = x[old]
+                    best[new, i[parted]] = none
+                    to = np.zeros(used, dtype=np.int64)
+                    to[old] = new
+                    moved = skip & (to[own] > 0)
+                    state[open_[moved]] = to[own[moved]]
+                    used = more
+                take = skipping < all_
+                best[live, i] = none
                 r, i, j, value = live[take], i[take], j[take], value[take]
+                if len(parted):
+                    live = np.concatenate([live, new])
+                if not len(r):
+                    continue
             else:
+                best[live, i] = none
                 r = live
-            if not len(r):
-                continue
             sym[r, i] = value & np.int64(0xFFFFFFFF)
             length[r, i] += length[r, j]
             gone[r, j] = True
-            best[r, np.minimum(j, width - 1)] = np.where(j < width, NONE << np.int64(20), best[r, np.minimum(j, width - 1)])
-            k = after[r, j]
+            best[r, np.minimum(j, width - 1)] = np.where(j < width, none, best[r, np.minimum(j, width - 1)])
+            k = after[r, j].astype(np.int64)
             after[r, i] = k
             inside = k <= width - 1
             before[r[inside], k[inside]] = i[inside]
             right = np.where(inside, sym[r, np.minimum(k, width)], -1)
             got = self.pairs(sym[r, i], right)
-            best[r, i] = np.where(got >= 0, got, NONE << np.int64(20))
-            p = before[r, i]
+            best[r, i] = np.where(got >= 0, got, none)
+            p = before[r, i].astype(np.int64)
             has = p >= 0
             rp, pp = r[has], p[has]
             got = self.pairs(sym[rp, pp], sym[rp, i[has]])
-            best[rp, pp] = np.where(got >= 0, got, NONE << np.int64(20))
+            best[rp, pp] = np.where(got >= 0, got, none)
+        count = size[origin[:used]]
+        rows = np.repeat(np.arange(used), count)
+        cols = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
         keep = ~gone[rows, cols]
         rows, cols, first = rows[keep], cols[keep], sym[rows[keep], cols[keep]]
         as_bytes = (first < 0) | ~self.is_piece[np.maximum(first, 0)]
         if not as_bytes.any():
-            return first.astype(np.uint32), np.bincount(rows, minlength=n)
+            return first.astype(np.uint32), np.bincount(rows, minlength=used), state
         count = np.ones(len(first), dtype=np.int64)
         where = np.flatnonzero(as_bytes)
-        spelled = [[self.byte_id[b] for b in keys[r][1 + c].encode()] for r, c in zip(rows[where].tolist(), cols[where].tolist(), strict=True)]
+        spelled = [[self.byte_id[b] for b in parts[o][c].encode()] for o, c in zip(origin[rows[where]].tolist(), cols[where].tolist(), strict=True)]
         count[where] = [len(x) for x in spelled]
         out = np.repeat(first, count)
         start = np.cumsum(count) - count
         out[ranges(start[where], count[where])] = [b for x in spelled for b in x]
-        return out.astype(np.uint32), np.bincount(rows, weights=count, minlength=n).astype(np.int64)
+        return out.astype(np.uint32), np.bincount(rows, weights=count, minlength=used).astype(np.int64), state
 
-    def encode_parts(self, keys: list[str], block: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, and the start and number of each part's ids."""
-        size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    def encode_parts(self, parts: list[str], code: np.ndarray, key: np.ndarray, block: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and the start and number of the ids of each occurrence (``code``: its part)."""
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         order = np.argsort(size, kind="stable")
-        split = int(np.searchsorted(size[order], SIDE_BY_SIDE + 1))
-        flat, counts = [], []
+        rank = np.empty(len(parts), dtype=np.int64)
+        rank[order] = np.arange(len(parts))
+        split = int(np.searchsorted(size[order], SIDE_BY_SIDE))
+        ranked = rank[code]
+        by_part = np.argsort(ranked, kind="stable")
+        bound = np.concatenate([[0], np.cumsum(np.bincount(ranked, minlength=len(parts)))])
+        flat, used = [], 0
+        start, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         for a in range(0, split, block):
-            ids, n = self._block([keys[i] for i in order[a : min(split, a + block)].tolist()])
+            z = min(split, a + block)
+            own = by_part[bound[a] : bound[z]]
+            ids, n, state = self._block([parts[i] for i in order[a:z].tolist()], ranked[own] - a, key[own])
+            start[own], length[own] = (used + np.cumsum(n) - n)[state], n[state]
             flat.append(ids)
-            counts.append(n)
-        for i in order[split:].tolist():
-            ids = self.part(keys[i])
+            used += len(ids)
+        for at in by_part[bound[split] :].tolist():
+            ids = self.part(parts[code[at]], int(key[at]))
+            start[at], length[at] = used, len(ids)
             flat.append(np.asarray(ids, dtype=np.uint32))
-            counts.append(np.array([len(ids)]))
-        n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-        start, length = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        start[order], length[order] = np.cumsum(n) - n, n
+            used += len(ids)
         return np.concatenate(flat) if flat else np.zeros(0, np.uint32), start, length
 
     def encode_keyed(self, texts: pa.Array, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +302,13 @@ class PieceEncoder:
             code, owner = code[order], owner[order]
             counts = np.bincount(owner, minlength=len(counts))
         first = np.cumsum(counts) - counts
-        place = np.arange(len(code)) - first[owner]
-        keyed = mix(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(self.seed))
-        variant = (mix(keyed[owner] + place.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        wanted, slot = np.unique(code * self.variants + variant, return_inverse=True)
-        pool, starts, lengths = self.encode_parts([chr(48 + v) + parts[c] for c, v in zip((wanted // self.variants).tolist(), (wanted % self.variants).tolist(), strict=True)])
-        n = lengths[slot]
-        return pool[ranges(starts[slot], n)], np.bincount(owner, weights=n, minlength=len(counts)).astype(np.int64)
+        key = self.keys(doc_ids[owner], np.arange(len(code)) - first[owner])
+        pool, starts, n = self.encode_parts(parts, code, key)
+        return pool[ranges(starts, n)], np.bincount(owner, weights=n, minlength=len(counts)).astype(np.int64)
+
+    def keys(self, doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Key of each occurrence: a hash of (seed, doc_id, place)."""
+        return mix(mix(doc_id.astype(np.int64).view(np.uint64) + np.uint64(self.seed)) + place.astype(np.uint64))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.decoded.__getitem__, ids))[1:].decode()
@@ -278,8 +317,8 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def piece_encoder(path: str, rate: float, seed: int, variants: int) -> PieceEncoder:
-    key = (path, rate, seed, variants)
+def piece_encoder(path: str, rate: float, seed: int) -> PieceEncoder:
+    key = (path, rate, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = PieceEncoder(*key)
@@ -291,13 +330,13 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """(doc_id, ids array<int>)."""
 
     def run(batches):
-        enc = piece_encoder(model, rate, seed, variants)
+        enc = piece_encoder(model, rate, seed)
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
+            for part in slices(batch, "text", 10_000_000):
                 ids, n = enc.encode_keyed(part.column("text"), np.asarray(part.column("doc_id").fill_null(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -309,20 +348,20 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches):
-        enc = piece_encoder(model, 0.0, 0, 1)
+        enc = piece_encoder(model, 0.0, 0)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([enc.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (as unsigned 32-bit), lossless: whether the ids decode to the text."""
 
     def run(batches):
-        enc = piece_encoder(model, rate, seed, variants)
+        enc = piece_encoder(model, rate, seed)
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
+            for part in slices(batch, "text", 10_000_000):
                 texts = strings(part.column("text")).to_pylist()
                 ids, n = enc.encode_keyed(part.column("text"), np.asarray(part.column("doc_id").fill_null(-1)))
                 cut = np.r_[0, np.cumsum(n)].tolist()

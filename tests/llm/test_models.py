@@ -147,9 +147,53 @@ def test_pieces_dropout_varies_and_is_lossless(texts):
         assert [enc.decode(ids[a:b].tolist()) for a, b in itertools.pairwise(cut)] == texts
         seen.add(ids.tobytes())
     assert len(seen) == 6
-    keys = [chr(48 + i % 8) + " " + w for i, w in enumerate(sorted({w for t in texts for w in t.split(" ") if len(w) < 60}))]
-    flat, start, n = enc.encode_parts(keys)
-    assert all(flat[a : a + k].tolist() == enc.part(key) for key, a, k in zip(keys, start, n, strict=True))
+    # Equal words draw anew at every place: most places of a common word are not all encoded alike.
+    ids, n = enc.encode_keyed(pa.array(["information " * 400]), np.array([1]))
+    cut = np.flatnonzero(np.isin(ids, [i for i, p in enumerate(enc.decoded) if p[:1] == b" "]))
+    assert len({tuple(x) for x in np.split(ids, cut)}) > 8
+
+
+def agenda(text, key, enc):
+    """Plain agenda over one part: the best candidate first, leftmost on ties, each drawn by its span."""
+    symbols = [[c if c != "▁" else None, 1] for c in text.replace(" ", "▁")]
+    symbols = [["▁" if t == " " else s, n] for (s, n), t in zip(symbols, text, strict=True)]
+    places, gone = list(range(len(text))), set()
+    while True:
+        options = []
+        for k in range(len(symbols) - 1):
+            (a, n), (b, m) = symbols[k], symbols[k + 1]
+            if a and b and a + b in enc.rank and (places[k], places[k + 1], n + m) not in gone:
+                options.append((enc.rank[a + b], places[k], k))
+        if not options:
+            break
+        _, _, k = min(options)
+        (a, n), (b, m) = symbols[k], symbols[k + 1]
+        i, j = places[k], places[k + 1]
+        mask = (1 << 64) - 1
+        h = ((key ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + n + m) & mask) * 0xBF58476D1CE4E5B9) & mask
+        if (((h ^ (h >> 31)) * 0x94D049BB133111EB) & mask) < enc.limit:
+            gone.add((i, j, n + m))
+            continue
+        symbols[k : k + 2], places[k : k + 2] = [[a + b, n + m]], [i]
+    out = []
+    for (s, _), i in zip(symbols, places, strict=True):
+        out += [enc.ids[s]] if s in enc.ids else [enc.byte_id[b] for b in text[i].encode()]
+    return out
+
+
+def test_pieces_query_against_a_plain_agenda(spark, sf_dir):
+    enc = PieceEncoder(MODEL, 0.1, 1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy(F.length("text")).limit(120).collect()
+    got = {r.doc_id: r for r in QUERIES["op3_pieces"](spark, sf_dir).collect()}
+    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(r.lossless for r in got.values())
+    for r in docs:
+        ids = []
+        for place, part in enumerate(re.findall(r" *[^ ]+| +", " " + r.text) if r.text else []):
+            key = int(enc.keys(np.array([r.doc_id]), np.array([place]))[0])
+            ids += agenda(part, key, enc)
+            assert enc.part(part, key) == ids[len(ids) - len(agenda(part, key, enc)) :]
+        raw = np.array(ids, dtype="<u4").tobytes()
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (len(ids), zlib.crc32(raw))
 
 
 def test_pieces_frames(spark):
