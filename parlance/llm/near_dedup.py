@@ -4,14 +4,17 @@
 2. A node's shingles are labelled with their occurrence number. From all of its labelled shingles every
    one of ``2 * bands`` hash functions samples the two smallest and retains them in text order; two such
    samples make a band key. A pair of similarity 0.8 shares a band with probability
-   1 - (1 - 0.8**4)**24, over 0.99999.
+   1 - (1 - 0.8**4)**24, over 0.99999; every pair that shares one is decided.
 3. In a bucket (nodes with one band key) a leader is compared with every member: the member that shares
    most buckets with others, so the original of a family of edited copies. Nodes that verify are joined
-   into components. While a bucket holds several components, the members outside its largest one become
-   pivots, few at first and then up to ``pivots`` at a time, and are compared with the members of other
-   components. Pairs that an exact bound rules out (shingles that nobody else in open buckets has cannot
-   be common) are not compared. When this ends, every pair of a bucket that lies in two components has
-   been compared or ruled out, so no link between them is lost, without comparing all pairs of a group.
+   into components. In a bucket that still holds several components, the members outside its largest one
+   (the pivots) are compared with the members of other components, unless an exact bound rules a pair out
+   (shingles that nobody else in open buckets has cannot be common). Pivots and members go in chunks of
+   about ``CHUNK``: one row per pair of chunks, never one per pair of texts, dealt by (bucket, size class,
+   chunk) so that no bucket lands in one task. Within such a block common shingles are counted by one
+   product, only pairs with enough of them are aligned, in their first common bucket, and a pivot once
+   linked to a component is not compared with the rest of it. When this ends, every pair of a bucket that
+   lies in two components has been compared or ruled out, so no link between components is lost.
 4. A comparison aligns the two sequences of labelled shingles: matches in increasing order within the
    band of offsets that any alignment of the wanted similarity must keep to, so the decision is exact.
    Similarity = aligned / (all of both - aligned), at least ``threshold``.
@@ -186,8 +189,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
+    # A leader of many pairs is spread: one row of its text for about CHUNK of them.
+    spread = lambda n: F.ceil(F.col(n) / CHUNK)
+    leads = save(pairs.sparkSession, pairs.groupBy("a").agg(F.count("*").alias("n")), "leads")
+    ta = leads.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "n", "ta", F.explode(F.sequence(F.lit(0).cast("long"), spread("n") - 1)).alias("part"))
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    many = leads.where(F.col("n") > CHUNK).withColumn("parts", spread("n"))
+    one = one.join(F.broadcast(many.select("a", "parts")) if many.count() <= 100_000 else many.select("a", "parts"), "a", "left")
+    one = one.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("b"), F.col("parts")))).drop("parts")
+    two = one.join(ta.drop("n").hint("merge"), ["a", "part"])
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
@@ -203,7 +213,8 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24) -> tup
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
     sketched = save(spark, with_node(docs).mapInArrow(sketch, "doc_id long, node binary, keys array<long>"), "sketches")
-    placed = save(spark, sketched.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")), "buckets")
+    unique = save(spark, sketched.select("node", "keys").dropDuplicates(["node"]), "unique")
+    placed = save(spark, unique.select("node", F.explode("keys").alias("key")), "buckets")
     sizes = save(spark, placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = save(spark, placed.join(sizes.hint("merge"), "key"), "shared")
     degree = save(spark, shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
@@ -222,25 +233,101 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24) -> tup
     weight = save(spark, _own_shingles(texts.join(now.select("node").hint("merge"), "node", "left_semi")), "weights")
     # A partner of size m must satisfy threshold * n <= m <= most, and n <= most of the partner.
     most = F.floor((F.col("n") - F.col("u")) * (1 + threshold) / threshold - F.col("n") + 1e-6)
-    keys = sketched.select("node", "keys").join(weight.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    weight = save(spark, weight.join(keys.hint("merge"), "node"), "weights")
+    weight = save(spark, weight.join(unique.hint("merge"), "node"), "weights")
     now = save(spark, now.join(weight.hint("merge"), "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.03)))
-    open_ = now.where("label <> main").select("key", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("keys").alias("pk"))
-    open_ = open_.withColumn("size", F.explode(F.sequence(size_class(F.greatest(F.lit(1.0), threshold * F.col("pn") - 1e-6)), size_class(F.col("pm")))))
-    other = now.select("key", "node", "label", "n", "most", "keys", (F.col("label") != F.col("main")).alias("also"), size_class(F.col("n")).alias("size"))
-    can = (F.col("label") != F.col("pl")) & (F.col("n") <= F.col("pm")) & (F.col("pn") <= F.col("most")) & (~F.col("also") | (F.col("p") < F.col("node")))
-    common = F.array_intersect("keys", "pk")  # a pair is taken in its first common bucket only
-    cross = open_.join(other.hint("merge"), ["key", "size"]).where(can & (F.array_min(common) == F.col("key")))
-    new = cross.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    new = save(spark, new.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    found = save(spark, _verified(new, texts, threshold), "near")
+    found = save(spark, _across(spark, now, texts, threshold), "near")
     if not found.isEmpty():
         parent = components(relabelled(relabelled(found, "a", labels), "b", labels))
         labels = save(spark, relabelled(labels, "label", parent).unionByName(parent.join(labels.select("node"), "node", "left_anti")), "labels")
     return labels, sketched.select("doc_id", "node")
 
 
+CHUNK = 64
+
+
+def _across(spark, now: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The near pairs (a, b) between components of a bucket, among ``now``'s (key, node, label, main, n, most, keys)."""
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)))
+    least = F.greatest(F.lit(1.0), threshold * F.col("n") - 1e-6)
+    rows = now.withColumn("pivot", F.col("label") != F.col("main")).drop("main")
+    pivots = rows.where("pivot").withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.col("most")))))
+    members = rows.withColumn("size", size_class(F.col("n")))
+    group = ["key", "size"]
+    cp = pivots.groupBy(*group).agg(F.count("*").alias("cp"))
+    cm = members.groupBy(*group).agg(F.count("*").alias("cm"))
+    both = save(spark, cp.join(cm.hint("merge"), group), "groups")
+    chunk = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / CHUNK))
+    held = F.collect_list(F.struct("node", "label", "pivot", "n", "most", "keys", "text"))
+    own = texts.select("node", "text")
+
+    def chunked(df, c, name):
+        df = df.join(both.hint("merge"), group).withColumn("chunk", chunk(c))
+        df = df.join(own.hint("merge"), "node")
+        return df.groupBy(*group, "chunk").agg(held.alias(name), F.first("cm").alias("cm"))
+
+    left = chunked(pivots, "cp", "pivots").drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("cm") / CHUNK) - 1))).drop("cm")
+    blocks = left.join(chunked(members, "cm", "members").drop("cm").hint("merge"), [*group, "chunk"])
+
+    def run(batches):
+        for batch in batches:
+            for key, pivots, members in zip(*(batch.column(c) for c in ("key", "pivots", "members")), strict=True):
+                yield from _block(key.as_py(), pivots.values, members.values, threshold)
+
+    return blocks.select("key", "pivots", "members").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _block(key: int, pivots: pa.StructArray, members: pa.StructArray, threshold: float):
+    """The near pairs of one block, at most one for a pivot and another component."""
+    p, m = ({f: x.field(f) for f in ("node", "label", "pivot", "n", "most", "keys", "text")} for x in (pivots, members))
+    number = lambda x: np.asarray(x, dtype=np.int64)
+    code = {v: i for i, v in enumerate(sorted({*p["label"].to_pylist(), *m["label"].to_pylist()}))}
+    pl, ml = (np.array([code[v] for v in x["label"].to_pylist()]) for x in (p, m))
+    pn, pm, mn, mm = number(p["n"]), number(p["most"]), number(m["n"]), number(m["most"])
+    p_id, m_id = p["node"].to_pylist(), m["node"].to_pylist()
+    pk, mk = (number(x["keys"].flatten()).reshape(len(x["keys"]), -1) for x in (p, m))
+    can = (pl[:, None] != ml) & (mn <= pm[:, None]) & (pn[:, None] <= mm)
+    twice = np.flatnonzero(np.asarray(m["pivot"]))  # a pair of pivots is compared once
+    if len(twice):
+        can[:, twice] &= np.array([[a < m_id[j] for j in twice.tolist()] for a in p_id], dtype=bool).reshape(len(p_id), -1)
+    i, j = np.nonzero(can)
+    same = pk[i] == mk[j]
+    here = pk[i, same.argmax(axis=1)] == key  # in the pair's first common bucket only
+    i, j = i[here], j[here]
+    if not len(i):
+        return
+    some_p, some_m = np.unique(i), np.unique(j)
+    (ph, _, pc_), (mh, _, mc) = (shingles(strings(x["text"].take(pa.array(rows)))) for x, rows in ((p, some_p), (m, some_m)))
+    shared = np.intersect1d(ph, mh)
+    if not len(shared):
+        return
+
+    def matrix(h, count):
+        at = np.searchsorted(shared, h)
+        at[at == len(shared)] = 0
+        hit = shared[at] == h
+        out = np.zeros((len(count), len(shared)), dtype=np.float32)
+        out[np.repeat(np.arange(len(count)), count)[hit], at[hit]] = 1
+        return out
+
+    common = matrix(ph, pc_) @ matrix(mh, mc).T
+    got = common[np.searchsorted(some_p, i), np.searchsorted(some_m, j)]
+    enough = got >= threshold * (pn[i] + mn[j]) / (1 + threshold) - 1e-3
+    i, j, got = i[enough], j[enough], got[enough]
+    done, last, index = set(), None, {}
+    keep = []
+    for k in np.lexsort((-got, i)).tolist():
+        a, b = int(i[k]), int(j[k])
+        if (a, ml[b]) in done:
+            continue
+        if a != last:
+            last, index = a, {g: t for t, g in enumerate(labelled(p["text"][a].as_py()))}
+        if aligned(index, labelled(m["text"][b].as_py()), threshold):
+            done.add((a, ml[b]))
+            keep.append((min(p_id[a], m_id[b]), max(p_id[a], m_id[b])))
+    if keep:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.binary()), pa.array([x for _, x in keep], pa.binary())], names=["a", "b"])
+
+
 def _mixed(spark, members: DataFrame) -> DataFrame:
     """(key, main): the buckets that hold several components, with the largest."""
     groups = members.groupBy("key", "label").agg(F.count("*").alias("c"))

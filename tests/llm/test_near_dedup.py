@@ -166,3 +166,54 @@ def test_recall_of_band_keys_with_a_passage_added():
     assert all(similarity(x, y, 0.8) for x, y in zip(pairs[:40:2], pairs[1:40:2], strict=True))
     keys = band_keys(pa.array(pairs))
     assert all((a == b).any() for a, b in zip(keys[::2], keys[1::2], strict=True))
+
+
+def test_pairs_between_chunks_of_a_large_bucket(spark, monkeypatch):
+    """Pivots against a component of many chunks: links found are those of all pairs."""
+    from parlance.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    rng = np.random.default_rng(9)
+    base = [f"w{rng.integers(5000)}" for _ in range(150)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, r)) for r in (0.02, 0.045, 0.06) for _ in range(25)]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seq = [labelled(t) for t in texts]
+    idx = [{g: k for k, g in enumerate(x)} for x in seq]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if aligned(idx[i], seq[j], 0.8):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in got} and len(set(got.values())) > 2
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    """The query's classes are the components of all pairs of 0.8 or more: recall and precision of 1."""
+    from parlance.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in QUERIES["op10_near_dedup"](spark, sf_dir).collect()}
+    seq = {i: labelled(t) for i, t in rows}
+    idx = {i: {g: k for k, g in enumerate(x)} for i, x in seq.items()}
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    text = dict(rows)
+    ids = sorted(parent)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if text[i] == text[j] or (idx[i] and seq[j] and not idx[i].keys().isdisjoint(seq[j]) and aligned(idx[i], seq[j], 0.8)):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in ids}
