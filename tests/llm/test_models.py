@@ -50,36 +50,135 @@ def test_stirling_and_gibbs_draws_match_enumeration():
         assert np.allclose([math.exp(table[c, t]) for t in range(1, c + 1)], [by[t] for t in range(1, c + 1)])
     c, rng = 6, np.random.default_rng(0)
     n = 60_000
-    got = hpylm.draw_tables(rng, np.full(n, c), np.ones(n, int), np.full(n, others + 1), np.full(n, parent), d, theta, hpylm.stirling(d))
+    got = hpylm.draw_tables(rng, np.full(n, c), np.full(n, others), np.full(n, parent), d, theta, hpylm.stirling(d))
     by = seatings(c)
     want = np.array([by[t] * parent**t * math.prod(theta + d * (others + j) for j in range(t)) for t in range(1, c + 1)])
     assert np.allclose(np.bincount(got, minlength=c + 1)[1:] / n, want / want.sum(), atol=0.01)
-    big = hpylm.draw_tables(rng, np.array([100_000]), np.array([1]), np.array([5.0]), np.array([1e-4]), 0.5, 1.0, hpylm.stirling(0.5))
-    assert 1 <= big[0] <= 100_000
+
+
+def test_large_dishes_follow_the_exact_conditional():
+    rng = np.random.default_rng(0)
+    for d in (0.3, 0.7, 0.9):
+        exact = hpylm.stirling(d, 1300)
+        t = np.arange(1, 1301)
+        assert np.abs(hpylm.log_stirling(np.array([1300]), t[None], d)[0] - exact[1300, 1:]).max() < 0.01
+        for parent, others in ((0.3, 5.0), (1e-4, 1000.0), (0.2, 2000.0)):
+            log = exact[1300, 1:] + np.cumsum(np.log(1.0 + d * (others + t - 1))) + t * np.log(parent)
+            p = np.exp(log - log.max())
+            p /= p.sum()
+            n = 4000
+            got = hpylm.draw_tables(rng, np.full(n, 1300), np.full(n, others), np.full(n, parent), d, 1.0, hpylm.stirling(d))
+            have = np.bincount(got, minlength=1301)[1:] / n
+            assert np.abs(have.cumsum() - p.cumsum()).max() < 0.04
+
+
+def plain_model(rows, sweeps, seed=0, theta=1.0):
+    """The model on a list of rows: Gibbs over explicit seatings, customer by customer; averaged scores."""
+    import random
+
+    rng = random.Random(seed)
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]
+    train = [list(zip(["START", *w], w, strict=False)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [tokens(t)]]
+    pairs = Counter(p for x in train for p in x)
+    vocabulary = {w for _, w in pairs}
+    ones = lambda c: (sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
+    discount = lambda a, b: min(0.9, max(0.05, a / (a + 2 * b))) if a else 0.5
+    d2, d1 = discount(*ones(pairs)), discount(*ones(Counter(w for _, w in pairs)))
+    tables = {p: [n] for p, n in pairs.items()}  # sizes of the tables of a dish
+    root = {w: [sum(1 for p in pairs if p[1] == w)] for w in vocabulary}  # customers of the root's tables
+    n_c = Counter()
+    for (c, _), n in pairs.items():
+        n_c[c] += n
+    per_context = Counter(c for c, _ in pairs)
+    root_n, root_t = len(pairs), len(vocabulary)
+
+    def p_root(w):
+        held = root.get(w, [])
+        return (max(sum(held) - d1 * len(held), 0) + (theta + d1 * root_t) / (len(vocabulary) + 1)) / (theta + root_n)
+
+    def choose(weights):
+        x = rng.random() * sum(weights)
+        for k, v in enumerate(weights):
+            x -= v
+            if x < 0:
+                return k
+        return len(weights) - 1
+
+    total = Counter()
+    for sweep in range(1, sweeps + 1):
+        for (c, w), n in pairs.items():
+            for _ in range(n):
+                held = tables[c, w]
+                k = choose(held)
+                held[k] -= 1
+                if not held[k]:
+                    held.pop(k)
+                    per_context[c] -= 1
+                    r = root[w]
+                    j = choose(r)
+                    r[j] -= 1
+                    root_n -= 1
+                    if not r[j]:
+                        r.pop(j)
+                        root_t -= 1
+                k = choose([*(x - d2 for x in held), (theta + d2 * per_context[c]) * p_root(w)])
+                if k < len(held):
+                    held[k] += 1
+                    continue
+                held.append(1)
+                per_context[c] += 1
+                r = root[w]
+                j = choose([*(x - d1 for x in r), (theta + d1 * root_t) / (len(vocabulary) + 1)])
+                if j < len(r):
+                    r[j] += 1
+                else:
+                    r.append(1)
+                    root_t += 1
+                root_n += 1
+        if sweep > sweeps // 3:
+            for c, w in {p for _, t in rows for p in zip(["START", *tokens(t)], tokens(t), strict=False)}:
+                held = tables.get((c, w), [])
+                total[c, w] += (max(sum(held) - d2 * len(held), 0) + (theta + d2 * per_context[c]) * p_root(w)) / (theta + n_c[c])
+    kept = sweeps - sweeps // 3
+    return {i: sum(math.log10(total[p] / kept) for p in zip(["START", *tokens(t)], tokens(t), strict=False)) for i, t in rows}
+
+
+def test_scores_equal_customer_by_customer_gibbs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{min(rng.geometric(0.15), 25)}" for _ in range(int(rng.integers(3, 30))))) for i in range(60)]
+    want = plain_model(rows, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in hpylm.lm_scores(docs, sweeps=30, burn_in=6, cell_tokens=300).collect()}
+    assert max(abs(got[i] - want[i]) / max(1.0, abs(want[i])) for i in want) < 0.03
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.01
 
 
 def test_predictive_sums_to_one():
     rng = np.random.default_rng(1)
-    contexts, v = 4, 30
-    word, context = (x.ravel() for x in np.meshgrid(np.arange(v + 1), np.arange(contexts), indexing="ij"))
-    count = rng.integers(0, 5, len(word)) * (rng.random(len(word)) < 0.4)
-    count[word == v] = 0  # the unknown word
-    count[word * 1 < v] += (context[word < v] == 0).astype(int)  # every known word is seen
-    shard = hpylm.Shard(0, word, context, count, v + 1)
-    model = hpylm.Model(int(count.sum()), v, np.bincount(context, weights=count, minlength=contexts), 0.5, 0.7, 1.0, 1.0, 3)
-    for k, (t, r) in enumerate(shard.run(model, 0)):
-        per, a, b = shard.totals(t, r, contexts)
-        model.tables.append(per)
-        model.root.append((a, b))
-    for k in (1, 2, 3):
-        for t, r in shard.run(model, k):
-            pass
-        per, a, b = shard.totals(t, r, contexts)
-        model.tables.append(per)
-        model.root.append((a, b))
-        assert (t <= count).all() and (t >= np.minimum(count, 1)).all()
-    p = shard.predict(model, 3, 1)
-    assert np.allclose([p[context == c].sum() for c in range(contexts)], 1.0)
+    v = 30
+    count = rng.integers(1, 9, v)
+    tables = np.array([rng.integers(1, c + 1) for c in count])
+    root_customers = tables + rng.integers(0, 3, v)
+    root_tables = np.minimum(root_customers, 2)
+    model = hpylm.Model(int(count.sum()), v, 0.5, 0.7, 1.0, 1.0, 3)
+    model.root.append((float(root_customers.sum()), float(root_tables.sum())))
+    root = np.append(model.root_p(0, root_customers, root_tables), model.root_p(0, np.zeros(1), np.zeros(1)))
+    assert abs(root.sum() - 1) < 1e-12
+    p = model.predict(np.append(count, 0), np.append(tables, 0), root, np.full(v + 1, count.sum()), np.full(v + 1, tables.sum()))
+    assert abs(p.sum() - 1) < 1e-12
+
+
+def test_grid_does_not_change_scores(spark):
+    """Counts and base scores are those of the whole corpus whatever the grid and the batches; nothing hot stays whole."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "the " * int(rng.integers(1, 40)) + " ".join(f"x{rng.integers(30)}" for _ in range(20))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for how in ({"cell_tokens": 100}, {"cell_tokens": 10**9}, {"batch_rows": 3, "cell_tokens": 500}):
+        got = hpylm.lm_scores(docs, sweeps=2, burn_in=0, **how).collect()
+        same_base(got, rows)
+    parts = [pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a b", "a b c"], "out": [False, True]})]
+    own, cells = hpylm.batch_cells(parts[0], hpylm.Grid(3))
+    assert sum(len(hpylm.unpack(d)["context"]) for _, d in cells) == 6 and len(hpylm.unpack(own)["docs"]) == 9
 
 
 def lm_base(rows):
