@@ -474,7 +474,7 @@ def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
     return out
 
 
-def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 3_000_000, batch_bytes: int = 32_000_000, batch_rows: int = 30_000) -> DataFrame:
+def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 3_000_000, batch_bytes: int = 12_000_000, batch_rows: int = 30_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     if not 0 <= burn_in < sweeps:
         raise ValueError("burn_in must be less than sweeps")
@@ -501,7 +501,7 @@ def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float
     model = Model(int(sums[0]), int(sums[1]), discount(*ones[0]), discount(*ones[1]), theta1, theta2, seed)
     model.root.append((float(sums[2]), float(sums[3])))
     cell, owner, mail = (df.where(f"kind in {kinds}") for df, kinds in ((first, "('cell')"), (opened, "('owner')"), (opened, "('words', 'contexts')")))
-    history, old = [(0, mail)], []
+    history, spent = [(0, mail)], [first]
     for k in range(1, sweeps + 1):
         held = spark.sparkContext.broadcast(model)
         drawn = save(spark, cell.unionByName(mail).groupBy("to").applyInArrow(_mailer(_sweep_cell, held, k, side), _MAIL_SQL), "cells")
@@ -509,13 +509,10 @@ def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float
         root = told.where("kind = 'owner' and `to` % 2 = 0").agg(F.sum("customers"), F.sum("tables")).first()
         model.root.append((root[0] or 0.0, root[1] or 0.0))
         cell, owner, mail = drawn.where("kind = 'cell'"), told.where("kind = 'owner'"), told.where("kind in ('words', 'contexts')")
+        discard(spark, *spent)  # the sweep before, unless its probabilities count
+        spent = [] if k > burn_in else [drawn, told]
         if k > burn_in:
             history += [(k, cell), (k, mail)]
-        else:
-            old += [drawn, told]
-            if k == 1:
-                old.append(first)
-            discard(spark, *old[:-3])
     held = spark.sparkContext.broadcast(model)
     kept = list(range(burn_in + 1, sweeps + 1))
     told = None
