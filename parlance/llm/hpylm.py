@@ -30,6 +30,7 @@ N = 0, V = 0; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import uuid
 
@@ -223,12 +224,25 @@ def pack(**arrays: np.ndarray) -> bytes:
     return pickle.dumps(out)
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
-    def one(kind, n, raw):
-        kind = np.dtype(kind)
-        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+def unpack(data: bytes, *names: str) -> dict[str, np.ndarray]:
+    """The arrays (or only some), as int64 unless they are 64-bit hashes or floats."""
+    held = pickle.loads(data)
+    return {name: _unpacked(*held[name]) for name in names or held}
 
-    return {name: (x.astype(np.int64) if (x := one(*held)).dtype.kind in "iu" and x.dtype.str != "<u8" else x) for name, held in pickle.loads(data).items()}
+
+def _unpacked(kind: str, n: int, raw: bytes) -> np.ndarray:
+    kind = np.dtype(kind)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+    return x if kind.kind == "f" or kind == np.uint64 else x.astype(np.int64)
+
+
+def release() -> None:
+    """Give freed memory back: workers live on for other tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 # --- from texts to the grid -----------------------------------------------------------------------
@@ -257,30 +271,41 @@ def batch_cells(part: pa.RecordBatch, grid: Grid) -> tuple[bytes, list[tuple[int
     size = len(h)
     n = counts + 1
     ends = np.cumsum(n) - 1
-    word = np.full(int(n.sum()), size - 2, dtype=np.int64)
-    inner = np.ones(len(word), dtype=bool)
-    inner[ends] = False
-    word[inner] = code
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[ends - n + 1] = size - 1
     out = np.asarray(part.column("out"))
     by_hash = np.argsort(h, kind="stable")
-    rank = np.empty(size, dtype=np.int64)
+    rank = np.empty(size, dtype=np.int32)
     rank[by_hash] = np.arange(size)
-    # Pairs in the order of (cell, word hash, context hash).
-    key, inverse = np.unique(rank[word] * size + rank[context], return_inverse=True)
-    w, c = key // size, key % size
+    word = np.full(int(n.sum()), rank[size - 2], dtype=np.int32)
+    inner = np.ones(len(word), dtype=bool)
+    inner[ends] = False
+    word[inner] = rank[code]
+    del code, inner
+    # Pairs in the order of (word hash, context hash), then of the cell.
+    key = word.astype(np.int64) * size
+    key[1:] += word[:-1]
+    first = ends - n + 1
+    key[first] = word[first].astype(np.int64) * size + rank[size - 1]
+    del word
+    occurrence = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[occurrence]
+    new = np.r_[True, key[1:] != key[:-1]]
+    pair = key[new]
+    del key
+    dish = (np.cumsum(new, dtype=np.int32) - 1).astype(np.int32)
+    w, c = pair // size, pair % size
     cell = grid.cell(h[by_hash[w]], h[by_hash[c]])
     order = np.argsort(cell, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
+    place = np.empty(len(order), dtype=np.int32)
     place[order] = np.arange(len(order))
-    dish = place[inverse]
     w, c, cell = w[order], c[order], cell[order]
-    occurrence = np.argsort(dish, kind="stable")
+    dish = place[dish]
+    again = np.argsort(dish, kind="stable")
+    occurrence, dish = occurrence[again], dish[again]
+    del again, place, order
     times = np.bincount(dish, minlength=len(w))
-    doc = np.repeat(np.arange(len(n)), n)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)[occurrence]
     train = np.bincount(dish[~out[doc]], minlength=len(w))
+    del dish, occurrence
     starts = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
     cells, n_words, per_word = [], [], []
     for a, b in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
@@ -291,7 +316,7 @@ def batch_cells(part: pa.RecordBatch, grid: Grid) -> tuple[bytes, list[tuple[int
         n_words.append(len(first))
         per_word.append(dishes)
     ids = part.column("doc_id")
-    own = pack(doc=np.asarray(ids.fill_null(0), dtype=np.int64).view(np.uint64), null=np.asarray(ids.is_null()).astype(np.uint8), n=n, out=out.astype(np.uint8), cells=cell[starts], n_words=np.array(n_words), dishes=np.concatenate(per_word), times=times, docs=doc[occurrence])
+    own = pack(doc=np.asarray(ids.fill_null(0), dtype=np.int64).view(np.uint64), null=np.asarray(ids.is_null()).astype(np.uint8), n=n, out=out.astype(np.uint8), cells=cell[starts], n_words=np.array(n_words), dishes=np.concatenate(per_word), times=times, docs=doc)
     return own, cells
 
 
@@ -308,6 +333,8 @@ def _deal(docs: DataFrame, grid: Grid, most_bytes: int, most_rows: int) -> DataF
                     for k in range(0, len(cells), 16):
                         part = cells[k : k + 16]
                         yield pa.RecordBatch.from_pydict({"node": [x for x, _ in part], "batch": [batch_id] * len(part), "data": [x for _, x in part]}, schema=_CELLS)
+                    del own, cells
+                    release()
                     batch_id += 1
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), held_out().alias("out"))
@@ -323,19 +350,23 @@ def _gather(table: pa.Table) -> pa.Table:
     if node < 0:
         return pa.table({"node": [node], "head": table.column("data").to_pylist()[:1], "asked": [None]}, schema=_STATE)
     table = table.sort_by("batch")
-    cells = [unpack(x.as_py()) for x in table.column("data")]
-    join = lambda f: np.concatenate([c[f] for c in cells])
+    data = [pickle.loads(x.as_py()) for x in table.column("data")]
+    join = lambda f: np.concatenate([_unpacked(*d[f]) for d in data])
+    size = lambda f: np.array([d[f][1] for d in data])
+    n_words, n_contexts, n_dishes = size("words"), size("contexts"), size("context")
     word_list, asked_words = np.unique(join("words"), return_inverse=True)
     context_list, of = np.unique(join("contexts"), return_inverse=True)
-    n_words, n_contexts = (np.array([len(c[f]) for c in cells]) for f in ("words", "contexts"))
-    n_dishes = np.array([len(c["context"]) for c in cells])
-    word = np.repeat(asked_words, join("dishes"))
-    context = of[join("context") + np.repeat(np.cumsum(n_contexts) - n_contexts, n_dishes)]
-    key, asked = np.unique(word * len(context_list) + context, return_inverse=True)
+    key = np.repeat(asked_words, join("dishes"))
+    key *= len(context_list)
+    key += of[join("context") + np.repeat(np.cumsum(n_contexts) - n_contexts, n_dishes)]
+    del of
+    key, asked = np.unique(key, return_inverse=True)
     count = np.bincount(asked, weights=join("train"), minlength=len(key)).astype(np.int64)
     head = pack(words=word_list, contexts=context_list, word=key // len(context_list), context=key % len(context_list), count=count)
     step = np.diff(asked, prepend=0)
     asked = pack(batch=np.asarray(table.column("batch")), words=asked_words, n_words=n_words, n_dishes=n_dishes, up=np.maximum(step, 0), down=np.maximum(-step, 0))
+    del data, key, count, step
+    release()
     return pa.table({"node": [node], "head": [head], "asked": [asked]}, schema=_STATE)
 
 
@@ -474,7 +505,7 @@ def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
     return out
 
 
-def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 3_000_000, batch_bytes: int = 12_000_000, batch_rows: int = 30_000) -> DataFrame:
+def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 2_000_000, batch_bytes: int = 12_000_000, batch_rows: int = 30_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     if not 0 <= burn_in < sweeps:
         raise ValueError("burn_in must be less than sweeps")
