@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,23 @@ def posix(path: str) -> str:
     return path
 
 
+@contextmanager
+def clean_shuffles(spark: SparkSession):
+    """Within, a query's shuffle files go when it has ended: what it wrote is whole, nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the table back."""
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with clean_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

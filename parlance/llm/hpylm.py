@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, partitions, ranges, save, shared_dir, ship, slices, strings, text_or_empty, words
+from parlance.llm.common import clean_shuffles, discard, partitions, save, shared_dir, ship, slices, strings, text_or_empty, words
 from parlance.llm.near_dedup import mix
 
 END, START = np.uint64(0x5E9D0F3B7A1C2E41), np.uint64(0x1B873593CC9E2D51)
@@ -499,7 +499,8 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
     """Store a table in buckets of its node, so that joins by node do not move it again."""
     name = f"parlance_cells_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, "node").option("path", shared_dir(spark, "cells")).option("compression", "zstd").saveAsTable(name)
+    with clean_shuffles(spark):
+        df.write.bucketBy(buckets, "node").option("path", shared_dir(spark, "cells")).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalogue's entry only: the files stay, and so does what ``out`` knows of them
     return out
