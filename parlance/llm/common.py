@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -100,14 +101,27 @@ def strings(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 12_000_000):
-    """Cut a batch of rows so that each part holds about ``max_bytes`` of text (at least one row)."""
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 8_000_000):
+    """Cut a batch of rows so that each part holds about ``max_bytes`` of text (at least one row).
+
+    Memory that a part's work has freed is given back before the next.
+    """
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     group = np.cumsum(size) // max_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
             yield batch.slice(int(a), int(b - a))
+            release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live on for other tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

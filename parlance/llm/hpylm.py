@@ -30,7 +30,6 @@ N = 0, V = 0; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 import uuid
 
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import clean_shuffles, discard, partitions, save, shared_dir, ship, slices, strings, text_or_empty, words
+from parlance.llm.common import clean_shuffles, discard, partitions, release, save, shared_dir, ship, slices, strings, text_or_empty, words
 from parlance.llm.near_dedup import mix
 
 END, START = np.uint64(0x5E9D0F3B7A1C2E41), np.uint64(0x1B873593CC9E2D51)
@@ -236,15 +235,6 @@ def _unpacked(kind: str, n: int, raw: bytes) -> np.ndarray:
     return x if kind.kind == "f" or kind == np.uint64 else x.astype(np.int64)
 
 
-def release() -> None:
-    """Give freed memory back: workers live on for other tasks, and what they keep counts against the executor."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library: nothing to trim
-        pass
-
-
 # --- from texts to the grid -----------------------------------------------------------------------
 
 _CELLS = pa.schema([("node", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
@@ -334,7 +324,6 @@ def _deal(docs: DataFrame, grid: Grid, most_bytes: int, most_rows: int) -> DataF
                         part = cells[k : k + 16]
                         yield pa.RecordBatch.from_pydict({"node": [x for x, _ in part], "batch": [batch_id] * len(part), "data": [x for _, x in part]}, schema=_CELLS)
                     del own, cells
-                    release()
                     batch_id += 1
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), held_out().alias("out"))

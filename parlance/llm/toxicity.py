@@ -180,7 +180,7 @@ class Scorer:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         distinct, code, counts = words(texts)
-        if len(self.memo) > 500_000:
+        if len(self.memo) > 250_000:
             self.memo.clear()
         memo, place, held = self.memo, self.place, []
         for word in distinct.to_pylist():
@@ -255,7 +255,7 @@ def score_column(docs: DataFrame, scorer: tuple[dict[str, float], float], keep:
     def run(batches):
         judge = Scorer(*held.value)
         for batch in batches:
-            for part in slices(batch, scored, 16_000_000):
+            for part in slices(batch, scored, 8_000_000):
                 value = judge(strings(part.column(scored)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value)], names=[*keep, score])
 
