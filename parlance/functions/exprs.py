@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The first id of a transcription model's special tokens; fixed value.
+SPECIAL_TOKENS = 50257
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -78,6 +82,27 @@ def megabytes(size) -> Column:
     return F.format_string("%.1f MB", col(size).cast("double") / F.lit(1024.0 * 1024.0))
 
 
+def seconds_text(t) -> Column:
+    """``N.Ns``, half to even."""
+    return F.format_string("%.1fs", F.bround(col(t), 1))
+
+
+def whole_seconds(t) -> Column:
+    return F.format_string("%.0f", F.bround(col(t), 0))
+
+
+def whole_minutes(t) -> Column:
+    return F.floor(col(t) / 60)
+
+
+def day_text(t) -> Column:
+    return F.date_format(col(t), "yyyy-MM-dd")
+
+
+def stamp_text(t) -> Column:
+    return F.date_format(col(t), "yyyy-MM-dd HH:mm")
+
+
 def parse_time(t) -> Column:
     """Seconds of ``H:M:S``, ``M:S`` or ``S``, comma or point; null if it is none of these."""
     p = F.split(F.replace(col(t), F.lit(","), F.lit(".")), ":")
@@ -97,8 +122,12 @@ def cut(t, n: int, suffix: str = "...") -> Column:
     return F.when(F.length(col(t)) > n, F.concat(F.substring(col(t), 1, n), F.lit(suffix))).otherwise(col(t))
 
 
+#: Characters that a file's name cannot hold; fixed value.
+ILLEGAL = r'["\\/:<>|?*\x00-\x1f]'
+
+
 def safe_filename(name) -> Column:
-    s = F.regexp_replace(F.regexp_replace(col(name), r'["\\/:<>|?*\x00-\x1f]', "_"), r"^[. ]+|[. ]+$", "")
+    s = F.regexp_replace(F.regexp_replace(col(name), ILLEGAL, "_"), r"^[. ]+|[. ]+$", "")
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("export"))
 
 
@@ -135,7 +164,7 @@ def is_hallucination(t) -> Column:
 
 def mean_token_probability(tokens_col) -> Column:
     """Mean p over ordinary tokens with p > 0; null if there is none."""
-    p = F.transform(F.filter(col(tokens_col), lambda t: (F.coalesce(t["id"], F.lit(0)) < 50257) & (F.coalesce(t["p"], F.lit(0.0)) > 0)), lambda t: t["p"])
+    p = F.transform(F.filter(col(tokens_col), lambda t: (F.coalesce(t["id"], F.lit(0)) < SPECIAL_TOKENS) & (F.coalesce(t["p"], F.lit(0.0)) > 0)), lambda t: t["p"])
     return F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.size(p))
 
 

@@ -1,4 +1,4 @@
-"""The functions that need Python: correction learning, JSON recovery, block parsing, keys. Arrow-batched."""
+"""Text learning and recovery. Python (Arrow-batched) for correction learning, JSON recovery and keys; blocks and marks by built-ins."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import difflib
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -32,99 +33,116 @@ def learned_terms(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([corrected_phrases(a, b) for a, b in zip(old, new, strict=True)])
 
 
+def balanced(text: str, at: int) -> str | None:
+    """The bracketed span that opens at ``at``, by depth; brackets inside of strings do not count."""
+    depth, inside = 0, False
+    k = at
+    while k < len(text):
+        c = text[k]
+        if inside:
+            k += c == "\\"
+            inside = c != '"'
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+            if not depth:
+                return text[at : k + 1]
+        k += 1
+    return None
+
+
+def json_spans(text: str) -> Iterator[str]:
+    """Where a value may be, best first: the whole answer, what fences hold, any bracketed span."""
+    yield text
+    inner = text.split("```")[1:]
+    yield from (re.sub(r"\A\s*(json)?\s*", "", x) for x in inner if re.match(r"\s*(json)?\s*[\[{]", x))
+    yield from filter(None, (balanced(text, m.start()) for m in re.finditer(r"[\[{]", text)))
+
+
 def recovered_json(text: str | None) -> str | None:
-    """The JSON value in a model's answer, as compact text; null if there is none."""
-    body = re.sub(r"(?s)<think>.*?</think>", "", text or "").strip()
-    fenced = [re.sub(r"^json", "", p.strip()).strip() for p in body.split("```")] if "```" in body else []
-    for candidate in [body, *(p for p in fenced if p[:1] in ("{", "["))]:
-        try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False)
-        except ValueError:
-            continue
-    for m in re.finditer(r"[\[{]", body):
+    """The JSON value in a model's answer, as compact text; null if there is none. Thoughts are not searched."""
+    for span in json_spans(re.sub(r"(?s)<think>.*?</think>", "", text or "").strip()):
         try:
-            return json.dumps(json.JSONDecoder().raw_decode(body, m.start())[0], ensure_ascii=False)
+            return json.dumps(json.loads(span), ensure_ascii=False, separators=(",", ":"))
         except ValueError:
-            continue
+            pass
     return None
 
 
 @F.pandas_udf(StringType())
 def json_from_answer(text: pd.Series) -> pd.Series:
-    return text.map(recovered_json)
+    return text.map(recovered_json, na_action="ignore")
 
 
 def answer_json(text) -> Column:
-    """Plain JSON answers are kept by the JVM's own parser; only the rest goes to Python."""
+    """Plain JSON answers are kept by the JVM's own parser; Python gets a null for them, and the text of the rest."""
     t = F.trim(F.col(text) if isinstance(text, str) else text)
-    return F.coalesce(F.to_json(F.try_parse_json(t)), json_from_answer(t))
-
-
-_RULE = re.compile(r"-{3,}|\*{3,}|_{3,}")
-_RUN = re.compile(r"(\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*)")
-
-
-def inline_runs(text: str) -> list[tuple[str, bool, bool]]:
-    """(text, bold, italic) runs of inline markup."""
-    out = []
-    for part in filter(None, _RUN.split(text)):
-        stars = next((n for n in (3, 2, 1) if part.startswith("*" * n) and part.endswith("*" * n)), 0)
-        out.append((part[stars : len(part) - stars] if stars else part, stars >= 2, stars in (1, 3)))
-    return out
-
-
-def _kind(line: str) -> tuple[str, int, str]:
-    if not line:
-        return "blank", 0, ""
-    if _RULE.fullmatch(line):
-        return "rule", 0, ""
-    if m := re.match(r"(#{1,4})\s+(.*)", line):
-        return "heading", len(m[1]), m[2].strip("*").strip()
-    if re.match(r"§\s*\d+", line):
-        return "heading", 2, line
-    if m := re.match(r"[-*]\s+(.*)", line):
-        return "bullet", 0, m[1]
-    if m := re.match(r"\d+\.\s+(.*)", line):
-        return "number", 0, m[1]
-    return ("decision" if "DECISION:" in line else "action" if "ACTION:" in line else "paragraph"), 0, line
-
-
-def _breaks(line: str) -> bool:
-    """Lines that end a paragraph; highlight lines do not."""
-    return not line or line.startswith(("#", "- ", "* ")) or bool(re.match(r"\d+\.\s|§\s*\d+", line) or _RULE.fullmatch(line))
-
-
-def protocol_blocks(text: str | None) -> list[dict]:
-    """Blocks of a protocol: kind, level, mark (decision / action), text, runs."""
-    out: list[dict] = []
-    open_paragraph = False
-    for raw in (text or "").split("\n"):
-        line = raw.strip()
-        if open_paragraph and not _breaks(line):
-            out[-1]["text"] += " " + line
-            continue
-        kind, level, body = _kind(line)
-        open_paragraph = kind == "paragraph"
-        if kind != "blank":
-            mark = kind if kind in ("decision", "action") else "decision" if kind == "bullet" and "DECISION:" in body else "action" if kind == "bullet" and "ACTION:" in body else None
-            out.append({"kind": "paragraph" if kind in ("decision", "action") else kind, "level": level, "mark": mark, "text": body, "strong": kind in ("decision", "action")})
-    for b in out:
-        b["runs"] = [{"text": t, "bold": bold or b["strong"], "italic": italic} for t, bold, italic in inline_runs(b["text"])]
-        del b["strong"]
-    return out
-
-
-BLOCKS = "array<struct<kind:string,level:int,mark:string,text:string,runs:array<struct<text:string,bold:boolean,italic:boolean>>>>"
+    plain = F.to_json(F.try_parse_json(t))
+    return F.coalesce(plain, json_from_answer(F.when(plain.isNull(), t)))
 
 
-def block_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """One row per block of ``text``: keys, block number, kind, level, mark, text, runs."""
+# --- inline marks and blocks: built-in functions only -------------------------------------------------
+
+MARKED = r"(\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*|[^*]+|\*)"
+
+
+def inline_runs(text) -> Column:
+    """(text, bold, italic) runs: three, two or one star around a span; stars without a partner are text."""
+    tokens = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(MARKED), F.lit(0))
+
+    def run(t):
+        stars = F.when(t.rlike(r"(?s)^\*\*\*.*\*\*\*$"), 3).when(t.rlike(r"(?s)^\*\*.*\*\*$") | (t == "**"), 2).when(t.rlike(r"(?s)^\*.*\*$") & (F.length(t) > 1), 1).otherwise(0)
+        return F.struct(F.substring(t, stars + 1, F.greatest(F.length(t) - 2 * stars, F.lit(0))).alias("text"), (stars >= 2).alias("bold"), stars.isin(1, 3).alias("italic"), (stars == 0).alias("plain"))
+
+    def join(done, r):
+        last = F.element_at(done, -1)
+        both = F.struct(F.concat(last["text"], r["text"]).alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(True).alias("plain"))
+        return F.when((F.size(done) > 0) & F.get(done, F.size(done) - 1)["plain"] & r["plain"], F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), both)).otherwise(F.array_append(done, r))
 
-    @F.udf(BLOCKS, useArrow=True)
-    def parse(t):
-        return protocol_blocks(t)
+    none = F.array().cast("array<struct<text:string,bold:boolean,italic:boolean,plain:boolean>>")
+    joined = F.aggregate(F.transform(tokens, run), none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(join(done, r)))
+    return F.transform(joined, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic")))
 
-    return df.select(*keys, F.posexplode(parse(F.col(text))).alias("block", "b")).select(*keys, "block", "b.*")
+
+#: Kinds of a protocol's lines, the first that fits; fixed values.
+LINE_KINDS = [("blank", r"^$"), ("rule", r"^(-{3,}|\*{3,}|_{3,})$"), ("heading", r"^#{1,4}\s+.*$"), ("section", r"^§\s*\d+.*$"), ("bullet", r"^[-*]\s+.*$"), ("number", r"^\d+\.\s+.*$"), ("decision", "DECISION:"), ("action", "ACTION:")]
+#: Lines that end a paragraph.
+BREAKS = r"^$|^#|^- |^\* |^\d+\.\s|^§\s*\d+|^(-{3,}|\*{3,}|_{3,})$"
+
+
+def block_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """One row per block of ``text``: keys, block number, kind, level, mark, text, runs.
+
+    Lines fall into islands that a breaking line opens. Within an island, its first plain line and all that
+    follows are one paragraph; highlighted lines before it stand alone.
+    """
+    line = F.trim("line")
+    kind = F.lit("paragraph")
+    for name, pattern in reversed(LINE_KINDS):
+        kind = F.when(line.rlike(pattern), name).otherwise(kind)
+    rows = df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
+    rows = rows.select(*keys, "pos", line.alias("line"), kind.alias("kind"), line.rlike(BREAKS).alias("breaks"))
+    w = Window.partitionBy(*keys).orderBy("pos")
+    rows = rows.withColumn("island", F.sum(F.col("breaks").cast("int")).over(w))
+    plain = F.min(F.when(F.col("kind") == "paragraph", F.col("pos"))).over(Window.partitionBy(*keys, "island"))
+    rows = rows.withColumn("start", F.when(F.col("pos") >= plain, plain).otherwise(F.col("pos"))).where("kind <> 'blank'")
+    g = rows.groupBy(*keys, "start").agg(F.min(F.struct("pos", "kind"))["kind"].alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("line"))
+    body = (
+        F.when(F.col("kind") == "heading", F.trim(F.regexp_replace(F.regexp_extract("line", r"^#{1,4}\s+(.*)$", 1), r"^\*+|\*+$", "")))
+        .when(F.col("kind") == "rule", "").when(F.col("kind") == "bullet", F.regexp_extract("line", r"^[-*]\s+(.*)$", 1)).when(F.col("kind") == "number", F.regexp_extract("line", r"^\d+\.\s+(.*)$", 1)).otherwise(F.col("line"))
+    )
+    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", r"^(#{1,4})", 1))).when(F.col("kind") == "section", 2).otherwise(0)
+    said = F.when(F.col("text").contains("DECISION:"), "decision").when(F.col("text").contains("ACTION:"), "action")
+    mark = F.when(F.col("kind").isin("decision", "action"), F.col("kind")).when(F.col("kind") == "bullet", said)
+    strong = F.col("kind").isin("decision", "action")
+    out = g.select(*keys, "start", "kind", level.alias("level"), body.alias("text"), strong.alias("strong")).withColumn("mark", mark)
+    runs = F.transform(inline_runs("text"), lambda r: F.struct(r["text"].alias("text"), (r["bold"] | F.col("strong")).alias("bold"), r["italic"].alias("italic")))
+    shown = F.when(F.col("kind") == "section", "heading").when(F.col("strong"), "paragraph").otherwise(F.col("kind"))
+    out = out.withColumns({"runs": runs, "block": F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1}).withColumn("kind", shown)
+    return out.select(*keys, "block", "kind", "level", "mark", "text", "runs")
 
 
 def recording_key(password: str, salt: bytes, rounds: int = 480_000) -> bytes:
@@ -139,3 +157,23 @@ def encrypted(c, key: bytes) -> Column:
 
 def decrypted(c, key: bytes) -> Column:
     return F.aes_decrypt(F.unbase64(F.col(c) if isinstance(c, str) else c), F.lit(key), F.lit("GCM")).cast("string")
+
+
+VERIFY = "transcriber-encryption-verify"  # fixed value
+
+
+def verify_token(key: bytes) -> Column:
+    """A token by which a password can be checked later."""
+    return encrypted(F.lit(VERIFY), key)
+
+
+def opens(token, key: bytes) -> Column:
+    """Whether the key opens a verification token; a token that it cannot open is no error."""
+    plain = F.try_aes_decrypt(F.unbase64(F.col(token) if isinstance(token, str) else token), F.lit(key), F.lit("GCM")).cast("string")
+    return F.coalesce(plain == VERIFY, F.lit(False))
+
+
+def acceptable_password(password, repeated) -> Column:
+    """At least four characters, given twice alike."""
+    p, r = (F.col(x) if isinstance(x, str) else x for x in (password, repeated))
+    return F.coalesce((F.length(p) >= 4) & (p == r), F.lit(False))

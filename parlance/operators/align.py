@@ -1,8 +1,9 @@
 """Interval operators: alignment by overlap, nearest in time, match within a tolerance, containment.
 
-All are equi-joins on (recording, time bucket), so the cost follows the number of rows that are close in
-time, not the product of a recording's rows, and a long recording spreads over many tasks. Rows that
-meet in several buckets give the same candidate twice, which the extremes below ignore.
+Overlap, tolerance and containment are equi-joins on (recording, time bucket), so the cost follows the
+number of rows that are close in time, not the product of a recording's rows, and a long recording spreads
+over many tasks. Rows that meet in several buckets give the same candidate twice, which the extremes below
+ignore. The nearest in time is found by ordered scans.
 """
 
 from __future__ import annotations
@@ -37,13 +38,20 @@ def nearest_reassign(segments: DataFrame, keep: int = 2) -> DataFrame:
     """``new_speaker_id``: utterances of speakers with fewer than ``keep`` go to the nearest larger speaker.
 
     Distance is between midpoints. Ties go to the speaker who appeared first, then to the earlier
-    utterance. Utterances without a speaker count as a group, which never receives.
+    utterance. Utterances without a speaker count as a group, which never receives. The nearest before and
+    the nearest after come from two ordered scans, so a recording costs a sort, not pairs.
     """
     w = Window.partitionBy("meeting_id", "speaker_id")
-    s = segments.withColumns({"n": F.count("*").over(w), "first_ord": F.min("ord").over(w), "mid": X.midpoint("start_time", "end_time")})
-    small = s.where(F.col("n") < keep).select("meeting_id", "ord", "mid")
-    large = s.where(F.col("n") >= keep).select("meeting_id", F.col("mid").alias("large_mid"), F.col("first_ord").alias("a"), F.col("ord").alias("b"), F.col("speaker_id").alias("to"))
-    best = small.join(large, "meeting_id").groupBy("meeting_id", "ord").agg(X.smallest_first(F.abs(F.col("mid") - F.col("large_mid")).alias("d"), F.col("a"), F.col("b"), F.col("to"))["to"].alias("to"))
+    s = segments.select("meeting_id", "ord", "speaker_id", X.midpoint("start_time", "end_time").alias("mid")).withColumns({"n": F.count("*").over(w), "first_ord": F.min("ord").over(w)})
+    # A speaker who is large, at this midpoint; of several at one midpoint the first.
+    at = F.min(F.when((F.col("n") >= keep) & F.col("speaker_id").isNotNull(), F.struct("first_ord", "ord", "speaker_id", "mid"))).over(Window.partitionBy("meeting_id", "mid"))
+    scan = Window.partitionBy("meeting_id").orderBy("mid")
+    s = s.withColumn("at", at).withColumns({
+        "back": F.last("at", ignorenulls=True).over(scan.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "ahead": F.first("at", ignorenulls=True).over(scan.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+    })
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("mid") - F.col(f"{c}.mid")).alias("d"), F.col(f"{c}.first_ord"), F.col(f"{c}.ord"), F.col(f"{c}.speaker_id").alias("to")))
+    best = s.where(F.col("n") < keep).select("meeting_id", "ord", F.least(near("back"), near("ahead"))["to"].alias("to"))
     return segments.join(best, ["meeting_id", "ord"], "left").withColumn("new_speaker_id", F.coalesce("to", "speaker_id")).drop("to")
 
 

@@ -65,7 +65,7 @@ def live_summary(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 
 
 STYLES = {
-    "insights": lambda: F.format_string("[%.1fs] %s: %s", "start_time", "speaker_name", "text"),
+    "insights": lambda: F.format_string("[%s] %s: %s", X.seconds_text("start_time"), "speaker_name", "text"),
     "action": lambda: F.format_string("[%s]: %s", "speaker_name", "text"),
     "protocol": lambda: F.format_string("[%s] [%s]: %s", X.minutes_time("start_time"), "speaker_name", "text"),
     "intro": lambda: F.format_string("[%s]: %s", F.coalesce("label", F.lit("UNKNOWN")), "text"),
@@ -86,6 +86,36 @@ def speaker_texts(segments: DataFrame, limit: int = 800) -> DataFrame:
     return g.select("meeting_id", "speaker_id", "n", X.cut(F.array_join(F.transform("t", lambda x: x["text"]), " "), limit).alias("text"))
 
 
+def live_colours(segments: DataFrame, speakers: DataFrame) -> DataFrame:
+    """``live_summary`` with each speaker's colour as first shown."""
+    return live_summary(segments, speakers).join(speakers.select("meeting_id", "speaker_id", "color"), ["meeting_id", "speaker_id"], "left")
+
+
+def insights_by_type(insights: DataFrame) -> DataFrame:
+    """Numbers of insights per recording: decisions, action items, open questions, and those done."""
+    kinds = ("decision", "action_item", "open_question")
+    n = lambda when: F.count(F.when(when, 1))
+    return insights.groupBy("meeting_id").agg(*(n(F.col("insight_type") == k).alias(f"{k}s") for k in kinds), n(F.col("status") == "completed").alias("completed"))
+
+
+def health(checks: DataFrame, free: str = "disk_free_gb") -> DataFrame:
+    """Per host: ok if every check but the free space says so, else degraded."""
+    ok = F.bool_and(F.when(F.col("name") != free, F.coalesce(F.col("value") == "ok", F.lit(False))))
+    return checks.groupBy("host").agg(F.when(F.coalesce(ok, F.lit(True)), "ok").otherwise("degraded").alias("status"), F.bool_or(F.col("value") == "ok").alias("any_ok"))
+
+
+def flagged(segments: DataFrame, least: float = 0.6) -> DataFrame:
+    """``low_confidence``: utterances whose known confidence is below ``least``."""
+    return segments.withColumn("low_confidence", F.coalesce(F.col("confidence") < least, F.lit(False)))
+
+
+def nested(meetings: DataFrame, speakers: DataFrame, segments: DataFrame) -> DataFrame:
+    """Recordings with their speakers (by label) and utterances (in order) as nested rows."""
+    rows = lambda df, by: df.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(by, *(c for c in df.columns if c not in ("meeting_id", by))))).alias("x"))
+    out = meetings.join(rows(speakers, "label").withColumnRenamed("x", "speakers"), "meeting_id", "left")
+    return out.join(rows(segments, "ord").withColumnRenamed("x", "segments"), "meeting_id", "left")
+
+
 def has_intro(segments: DataFrame, within: float = 120.0) -> DataFrame:
     """Whether the first ``within`` seconds hold an introduction phrase."""
     from parlance.schemas import INTRO_PATTERNS

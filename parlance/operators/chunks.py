@@ -59,12 +59,15 @@ def clock(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_start", F.coalesce(F.sum("seconds").over(w), F.lit(0.0)))
 
 
-def rolling_prompt(segments: DataFrame, last: int = 30, rows: int = 60) -> DataFrame:
-    """The last ``last`` words said before each utterance (``rows`` utterances back suffice for as many words)."""
-    w = Window.partitionBy("meeting_id").orderBy("ord").rowsBetween(-rows, -1)
-    said = F.flatten(F.collect_list(X.words("text")).over(w))
-    own = segments.withColumn("_s", said)
-    return own.select("meeting_id", "ord", F.when(F.size("_s") > 0, F.array_join(F.slice("_s", F.greatest(F.lit(1), F.size("_s") - last + 1), F.lit(last)), " ")).alias("prompt"))
+def rolling_prompt(segments: DataFrame, last: int = 30) -> DataFrame:
+    """The last ``last`` words said before each utterance; blank utterances count for nothing."""
+    by = Window.partitionBy("meeting_id").orderBy("ord")
+    s = segments.select("meeting_id", "ord", X.words(F.coalesce("text", F.lit(""))).alias("w"))
+    # Every utterance that is not blank holds a word, so the last ``last`` of these suffice.
+    said = s.where(F.size("w") > 0).withColumn("all", F.flatten(F.collect_list("w").over(by.rowsBetween(1 - last, 0))))
+    said = said.select("meeting_id", "ord", F.array_join(F.slice("all", F.greatest(F.lit(1), F.size("all") - last + 1), F.lit(last)), " ").alias("said"))
+    own = s.select("meeting_id", "ord").join(said, ["meeting_id", "ord"], "left")
+    return own.select("meeting_id", "ord", F.last("said", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("prompt"))
 
 
 def insight_rows(answers: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import exprs as X
+
 #: Preset of each task where no setting is stored; fixed values.
 TASK_DEFAULTS = {"actions": "gemini-flash-lite", "analysis": "gemini-flash-lite", "live": "gemini-flash-lite", "transcription": "whisper-large-v3-turbo", "live_transcription": "whisper-small"}
 
@@ -47,9 +49,25 @@ def preset_for_task(settings: DataFrame, presets: DataFrame) -> DataFrame:
     return assignments(settings).join(presets.withColumnRenamed("id", "preset_id"), "preset_id", "left")
 
 
+def preset_for_owner(owners: DataFrame, stored: DataFrame, presets: DataFrame) -> DataFrame:
+    """(owner, task, preset_id, type) for every task of every owner: the stored preset, else the default."""
+    tasks = F.array(*(F.struct(F.lit(t).alias("task"), F.lit(p).alias("default")) for t, p in TASK_DEFAULTS.items()))
+    every = owners.select("owner", F.explode(tasks).alias("t")).select("owner", "t.*")
+    found = every.join(stored, ["owner", "task"], "left").withColumn("preset_id", F.coalesce("preset_id", "default"))
+    return found.join(presets.select(F.col("id").alias("preset_id"), "type"), "preset_id", "left").select("owner", "task", "preset_id", "type")
+
+
 def chunk_prompt(chunks: DataFrame) -> DataFrame:
     """Prompt of the introduction analysis, per chunk."""
-    return chunks.withColumn("prompt", F.format_string("[%.0fs - %.0fs]\n%s", "start_time", "end_time", "text"))
+    return chunks.withColumn("prompt", F.format_string("[%ss - %ss]\n%s", X.whole_seconds("start_time"), X.whole_seconds("end_time"), "text"))
+
+
+def conversation(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each chunk's prompt with the prompts and answers before it; a chunk without an answer leaves only its prompt."""
+    c = chunk_prompt(chunks).join(answers.select("meeting_id", "chunk", "answer"), ["meeting_id", "chunk"], "left")
+    turn = F.concat_ws("\n", "prompt", "answer")
+    before = Window.partitionBy("meeting_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return c.withColumn("history", F.array_join(F.collect_list(turn).over(before), "\n")).select("meeting_id", "chunk", "prompt", "history")
 
 
 def intro_result(answers: DataFrame) -> DataFrame:

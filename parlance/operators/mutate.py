@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Error of a job that a restart interrupted; fixed value.
+INTERRUPTED = "Task interrupted by server restart. Please retry."
 CHILDREN = ("segments", "speakers", "jobs", "action_results", "meeting_insights")
 
 
@@ -67,7 +69,7 @@ def recover_stale(jobs: DataFrame, meetings: DataFrame, now: Column) -> tuple[Da
     """Jobs left running or pending fail, and so do their recordings that were processing or finalizing."""
     stale = F.col("status").isin("running", "pending")
     hit = jobs.where(stale).select("meeting_id").distinct().withColumn("_s", F.lit(True))
-    j = jobs.withColumns({"error": F.when(stale, "Task interrupted by server restart. Please retry.").otherwise(F.col("error")), "completed_at": F.when(stale, now).otherwise(F.col("completed_at")), "status": F.when(stale, "failed").otherwise(F.col("status"))})
+    j = jobs.withColumns({"error": F.when(stale, INTERRUPTED).otherwise(F.col("error")), "completed_at": F.when(stale, now).otherwise(F.col("completed_at")), "status": F.when(stale, "failed").otherwise(F.col("status"))})
     m = meetings.join(hit, "meeting_id", "left").withColumn("status", F.when(F.col("_s") & F.col("status").isin("processing", "finalizing"), "failed").otherwise(F.col("status"))).drop("_s")
     return j, m
 
@@ -87,6 +89,16 @@ def named_results(results: DataFrame, actions: DataFrame) -> DataFrame:
     return results.join(a, "action_id", "left").withColumn("action_name", F.coalesce("action_name", F.lit("Deleted action"))).orderBy(F.desc("created_at"), "result_id")
 
 
+def placed(rows: DataFrame, within: str, *by) -> DataFrame:
+    """Rows with their place, from 1, in the order ``by`` within a group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(*by)))
+
+
+def with_running(running: Column, started: Column, ended: Column) -> Column:
+    """Running actions after those that started and ended: a set, in order of arrival."""
+    return F.array_except(F.array_union(running, started), ended)
+
+
 def active_job(jobs: DataFrame) -> DataFrame:
     """Per recording the newest job that runs or waits."""
     j = jobs.where(F.col("status").isin("running", "pending"))

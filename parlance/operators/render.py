@@ -86,6 +86,11 @@ def signed(protocols: DataFrame) -> DataFrame:
     return rows.select("meeting_id", "n", F.lit("signature").alias("kind"), F.concat(F.repeat(F.lit("_"), 30), F.lit("\n"), "role").alias("text"))
 
 
+def protocol_filename(name) -> Column:
+    """As a document's name, but leading and trailing dots and spaces stay."""
+    return F.coalesce(F.nullif(F.regexp_replace(X.col(name), X.ILLEGAL, "_"), F.lit("")), F.lit("export"))
+
+
 def events(progress: DataFrame) -> DataFrame:
     """Progress rows as messages for a channel: key ``meeting:<id>``, JSON value."""
     body = [c for c in progress.columns if c != "meeting_id"]

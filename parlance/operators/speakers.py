@@ -59,16 +59,22 @@ def longest_turn(turns: DataFrame, least: float = 2.0) -> DataFrame:
     return best.where(F.col("t.key") >= least).select("meeting_id", F.col("lab").alias("label"), "t.ds", "t.de", F.least(F.col("t.key"), F.lit(15.0)).alias("clip"))
 
 
-def match_profiles(probes: DataFrame, profiles: DataFrame, threshold: float = 0.55) -> DataFrame:
+def match_profiles(probes: DataFrame, profiles: DataFrame, threshold: float = 0.55, block: int = MAX_PROFILES) -> DataFrame:
     """Probes with the most similar profile: name, similarity; nulls below the threshold.
 
-    The profiles (a user's saved voices; at most MAX_PROFILES, checked) travel as one array value, so
-    probes are neither shuffled nor multiplied. Of equal similarities the least profile_id wins.
+    The profiles travel as array values of at most about ``block`` voices, one after the other where a user
+    has more, so probes are neither shuffled nor multiplied. Of equal similarities the least profile_id wins.
     """
-    held = profiles.limit(MAX_PROFILES + 1).agg(F.array_sort(F.collect_list(F.struct(F.col("profile_id").cast("string").alias("id"), "name", "embedding"))).alias("p"))
-    held = held.select(F.when(F.size("p") > MAX_PROFILES, F.raise_error(F.lit("too many voice profiles")).cast(held.schema["p"].dataType)).otherwise(F.col("p")))
-    scored = F.transform("_held", lambda p, i: F.struct(X.cosine("embedding", p["embedding"]).alias("s"), (-i).alias("i"), p["name"].alias("name")))
-    out = probes.withColumn("_held", held.scalar()).withColumn("_best", F.array_max(scored)).drop("_held")
+    blocks = max(1, -(-profiles.count() // block))
+    own = profiles.select(F.col("profile_id").cast("string").alias("id"), "name", "embedding")
+    out = probes.withColumn("_best", F.lit(None).cast("struct<s:double,id:string,name:string>"))
+    for b in range(blocks):
+        part = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else own
+        held = part.agg(F.array_sort(F.collect_list(F.struct("id", "name", "embedding"))).alias("p"))
+        scored = F.transform("_held", lambda p: F.struct(X.cosine("embedding", p["embedding"]).alias("s"), p["id"].alias("id"), p["name"].alias("name")))
+        # Largest similarity, then least id.
+        best = F.aggregate(scored, F.col("_best"), lambda a, x: F.when(a.isNull() | (x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["id"] < a["id"])), x).otherwise(a))
+        out = out.withColumn("_held", held.scalar()).withColumn("_best", best).drop("_held")
     ok = (F.col("_best.s") > 0) & (F.col("_best.s") >= threshold)
     return out.withColumns({"profile": F.when(ok, F.col("_best.name")), "similarity": F.when(ok, F.col("_best.s"))}).drop("_best")
 

@@ -1,43 +1,20 @@
-"""Query catalogue: name -> Spark query over the driver tables, name -> the same in SQL."""
+"""Query catalogue: the main queries; the other modules of this folder add theirs (see the end)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
 from parlance.functions import learned
-from parlance.functions.shipping import ship
 from parlance.operators import align, analytics, chunks, models, mutate, render, search, speakers, vocabulary
+from parlance.plans.registry import QUERIES, SQL, query
 from parlance.sources import readers
 from parlance.sources import views as V
 from parlance.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TERM = "the"
 
 
-def query(sql: str | None = None, views: bool = True):
-    """Register a query; ``sql`` follows ``WITH`` and the view definitions where ``views`` is set."""
-
-    def add(f):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = (f"WITH RECURSIVE {V.CTE}" if views else "") + sql
-        return f
-
-    return add
-
-
 ALIGN_SQL = """, pair AS (
   SELECT s.meeting_id, s.ord, s.start_time, s.end_time, d.di, d.lab, d.ds, d.de, greatest(0, least(s.end_time, d.de) - greatest(s.start_time, d.ds)) AS ov, (s.start_time + s.end_time) / 2 AS mid
   FROM seg s JOIN diar d USING (meeting_id)
@@ -99,8 +76,9 @@ def playback_position(spark, sf):
     return align.at_position(V.segments(spark, sf), V.segments(spark, sf).select("meeting_id", (F.col("ord") * 7.5).alias("t")))
 
 
-PROFILE_SQL = """WITH p AS (SELECT label AS profile_id, 'Voice ' || label AS name, list(x ORDER BY i) AS e FROM (
+PROFILE_CTE = """p AS (SELECT label AS profile_id, 'Voice ' || label AS name, list(x ORDER BY i) AS e FROM (
   SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) WHERE vec_id % 2 = 0 GROUP BY label, i) GROUP BY label)"""
+PROFILE_SQL = "WITH " + PROFILE_CTE
 
 
 @query(PROFILE_SQL + """, s AS (SELECT v.vec_id, p.name, p.profile_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), p.e) AS c FROM embeddings v, p WHERE v.vec_id % 2 = 1),
@@ -110,13 +88,15 @@ def profile_match(spark, sf):
     return speakers.match_profiles(V.probes(spark, sf), V.profiles(spark, sf)).select("vec_id", "profile", F.round("similarity", 6).alias("similarity"))
 
 
-@query(PROFILE_SQL + """, n AS (SELECT 'Voice ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id < 20)
+@query(PROFILE_SQL + """, n AS (SELECT 'Voice ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
 SELECT coalesce(p.name, n.name) AS name, CASE WHEN p.e IS NULL THEN 1 WHEN n.x IS NULL THEN 3 ELSE 4 END::DOUBLE AS sample_count,
-  round(CASE WHEN p.e IS NULL THEN n.x[1] WHEN n.x IS NULL THEN p.e[1] ELSE (p.e[1] * 3 + n.x[1]) / 4 END, 6) AS first_value FROM p FULL JOIN n ON p.name = n.name""", views=False)
+  round(list_sum(list_transform(range(1, 65), lambda i: i * CASE WHEN p.e IS NULL THEN n.x[i] WHEN n.x IS NULL THEN p.e[i] ELSE (p.e[i] * 3 + n.x[i]) / 4 END)), 6) AS digest FROM p FULL JOIN n ON p.name = n.name""", views=False)
 def profile_running_mean(spark, sf):
-    new = V.table(spark, sf, "embeddings").where("vec_id < 20").select(F.concat(F.lit("Voice "), "vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """Every vector as a voice: known names take the running mean. The digest weighs all components."""
+    new = V.table(spark, sf, "embeddings").select(F.concat(F.lit("Voice "), "vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("embedding"))
     old = V.profiles(spark, sf).withColumn("sample_count", F.lit(3.0))
-    return speakers.profile_update(old, new).select("name", "sample_count", F.round(F.col("embedding")[0], 6).alias("first_value"))
+    digest = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return speakers.profile_update(old, new).select("name", "sample_count", F.round(digest, 6).alias("digest"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------
@@ -188,14 +168,6 @@ def intro_test(spark, sf):
     return analytics.has_intro(V.segments(spark, sf))
 
 
-@query("""WITH t AS (SELECT generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT [0.5, 0.25, 0.0, 0.75] AS p)) SELECT c_custkey AS file, 0 AS ord, avg(CASE WHEN (c_custkey + i) % 3 = 0 OR x <= 0 THEN NULL ELSE x END) AS confidence FROM customer, t GROUP BY 1""", views=False)
-def token_confidence(spark, sf):
-    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("file"))
-    token = lambda i, p: F.struct(F.when((F.col("file") + i) % 3 == 0, 50257).otherwise(7).cast("long").alias("id"), F.lit(p).alias("p"))
-    item = F.struct(F.lit("x").alias("text"), F.struct(F.lit("00:00:01,000").alias("from"), F.lit("00:02.5").alias("to")).alias("timestamps"), F.array(*(token(i + 1, p) for i, p in enumerate((0.5, 0.25, 0.0, 0.75)))).alias("tokens"))
-    return readers.heard(c.withColumn("transcription", F.array(item))).select("file", "ord", "confidence")
-
-
 # --- sequence operators -------------------------------------------------------------------------------
 
 
@@ -310,21 +282,6 @@ def vocab_suggest(spark, sf):
     return vocabulary.suggested(_terms(spark, sf))
 
 
-@query()
-def vocab_learn(spark, sf):
-    s = V.segments(spark, sf)
-    edits = s.select("meeting_id", F.col("text").alias("old_text"), F.concat(F.regexp_replace("text", "^(\\S+)", "Kubernetes$1"), F.lit(" Zoë "), F.col("ord")).alias("new_text"))
-    return vocabulary.learn(edits)
-
-
-@query()
-def llm_json(spark, sf):
-    s = V.segments(spark, sf)
-    body = F.to_json(F.struct("meeting_id", "ord"))
-    wrapped = F.when(F.col("ord") % 4 == 0, body).when(F.col("ord") % 4 == 1, F.concat(F.lit("<think>no {</think>```json\n"), body, F.lit("\n```"))).when(F.col("ord") % 4 == 2, F.concat(F.lit("Here: "), body, F.lit(" end"))).otherwise("none")
-    return s.select("meeting_id", "ord", learned.answer_json(wrapped).alias("answer"))
-
-
 # --- renderers ------------------------------------------------------------------------------------------
 
 NAME_SQL = """, n AS (SELECT s.*, coalesce(p.display_name, p.label, 'Unknown') AS name FROM seg s LEFT JOIN spk p USING (meeting_id, speaker_id)),
@@ -361,11 +318,6 @@ def export_md(spark, sf):
     return render.markdown(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf))
 
 
-@query()
-def export_json(spark, sf):
-    return render.json_document(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf))
-
-
 @query(NAME_SQL + f""", d AS (SELECT *, CAST(floor(duration) AS BIGINT) AS i FROM mtg), e AS (
 SELECT meeting_id, -2 AS ord, 0 AS k, 'heading' AS kind, 1 AS level, title AS text FROM mtg UNION ALL SELECT meeting_id, -1, 0, 'note', 0, 'Duration: ' || {SHORT_SQL.format(i='i')} FROM d
 UNION ALL SELECT meeting_id, ord, 0, 'heading', 3, name || ' [' || {SHORT_SQL.format(i='si')} || ']' FROM x WHERE turn UNION ALL SELECT meeting_id, ord, 1, 'paragraph', 0, text FROM x)
@@ -374,13 +326,6 @@ def export_blocks(spark, sf):
     return render.document_blocks(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf)).withColumn("block", F.col("block").cast("long"))
 
 
-@query()
-def protocol_blocks(spark, sf):
-    t = analytics.transcript_text(V.segments(spark, sf), V.speakers(spark, sf))
-    md = F.concat(F.lit("# Protocol\n\n§ 1 Opening\nOpened **on time**\nby *all*.\n---\n- DECISION: go\n1. one\nACTION: write\n\n"), "transcript")
-    return learned.block_rows(t.withColumn("md", md), "md", "meeting_id")
-
-
 @query(f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) / 16 AS t FROM orders), i AS (SELECT *, CAST(floor(t) AS BIGINT) AS i FROM t)
 SELECT k, {_clock_sql('t', 'i', ',')} AS srt, {SHORT_SQL.format(i='i')} AS short, CASE WHEN i >= 60 THEN (i // 60) || 'm ' || (i % 60) || 's' ELSE i || 's' END AS spoken, (i // 60) || ':' || lpad(CAST(i % 60 AS VARCHAR), 2, '0') AS minutes,
   CAST(i % 3600 AS DOUBLE) AS parsed FROM i""", views=False)
@@ -467,16 +412,20 @@ def edit_texts(spark, sf):
 
 @query("SELECT meeting_id, ord, text FROM seg")
 def encrypt_roundtrip(spark, sf):
-    key = learned.recording_key("secret", b"0123456789abcdef", rounds=1000)
+    key = learned.recording_key("secret", b"0123456789abcdef")
     s = mutate.crypt_texts(V.segments(spark, sf), ["text"], lambda c: learned.encrypted(c, key))
     return mutate.crypt_texts(s, ["text"], lambda c: learned.decrypted(c, key)).select("meeting_id", "ord", "text")
 
 
-@query("""SELECT meeting_id, r * 3 + i AS ord, k AS insight_type, 'open' AS status, k || i AS content, CASE WHEN r = 1 THEN 'Ann' END AS assignee, CAST(i AS DOUBLE) AS source_start_time FROM mtg, (VALUES (0, 'decision'), (1, 'action_item'), (2, 'open_question')) v(r, k), range(0, 3) g(i)""")
+@query("""SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY r, i) - 1 AS ord, k AS insight_type, 'open' AS status, CASE WHEN i = 1 THEN '' ELSE k || i || ' of ' || meeting_id END AS content, CASE WHEN r = 1 THEN 'Ann ' || meeting_id END AS assignee, CAST(i * 2 AS DOUBLE) AS source_start_time FROM mtg, (VALUES (0, 'decision'), (1, 'action_item'), (2, 'open_question')) v(r, k), range(0, 4) g(i) WHERE i <= (meeting_id + r) % 4""")
 def insight_rows(spark, sf):
     kinds = [("decisions", "decision"), ("action_items", "action_item"), ("open_questions", "open_question")]
-    item = lambda k: F.array(*(F.struct(F.lit(f"{k}{i}").alias("content"), F.lit("Ann").alias("assignee"), F.lit(float(i)).alias("timestamp")) for i in range(3)))
-    a = V.meetings(spark, sf).select("meeting_id", F.to_json(F.struct(*(item(k).alias(n) for n, k in kinds))).alias("answer"))
+
+    def items(r, k):
+        content = lambda i: F.when(i != 1, F.concat(F.lit(k), i.cast("string"), F.lit(" of "), F.col("meeting_id").cast("string")))
+        return F.transform(F.sequence(F.lit(0).cast("long"), (F.col("meeting_id") + r) % 4), lambda i: F.struct(content(i).alias("content"), F.concat(F.lit("Ann "), F.col("meeting_id").cast("string")).alias("assignee"), (i * 2.0).alias("timestamp")))
+
+    a = V.meetings(spark, sf).select("meeting_id", F.to_json(F.struct(*(items(r, k).alias(n) for r, (n, k) in enumerate(kinds)))).alias("answer"))
     return chunks.insight_rows(a).withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -487,11 +436,6 @@ def intro_chunks(spark, sf):
     return chunks.until_intro_ends(c, c.select("meeting_id", "chunk", (F.col("chunk") % 3 != 2).alias("ongoing"))).select("meeting_id", "chunk")
 
 
-@query("SELECT * FROM (VALUES ('actions', 'own'), ('analysis', 'gemini-flash-lite'), ('live', 'gemini-flash-lite'), ('transcription', 'whisper-large-v3-turbo'), ('live_transcription', 'whisper-small')) v(task, preset_id)", views=False)
-def preset_assignments(spark, sf):
-    return models.assignments(spark.createDataFrame([("actions", "own"), ("other", "x")], "task string, preset_id string"))
-
-
 # --- live ---------------------------------------------------------------------------------------------
 
 
@@ -506,17 +450,10 @@ def rms_level(spark, sf):
     return g.select("k", F.round(X.rms("x"), 6).alias("rms"))
 
 
-@query()
-def live_assign(spark, sf):
-    return live.live_batch(V.live_chunks(spark, sf))
-
-
 @query("SELECT time_bucket(INTERVAL 4 SECONDS, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2", views=False)
 def live_windows(spark, sf):
     return live.windows(V.table(spark, sf, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query("SELECT l_quantity * 30 AS t, l_linenumber - 1 AS count, l_quantity * 30 >= 60 AND l_quantity * 30 >= CASE WHEN l_linenumber - 1 < 5 THEN l_linenumber * 60 ELSE (l_linenumber - 4) * 300 END AS due FROM lineitem", views=False)
-def polish_schedule(spark, sf):
-    l = V.table(spark, sf, "lineitem").select((F.col("l_quantity") * 30).alias("t"), (F.col("l_linenumber") - 1).alias("count"))
-    return l.withColumn("due", chunks.polish_due("t", "count"))
+# The other modules of this folder register theirs.
+from parlance.plans import changes, intake, texts, work  # noqa: E402, F401

@@ -49,7 +49,7 @@ TABLES: dict[str, StructType] = {
     "vocabulary_entries": _table("term:s frequency:i source_meeting_id:s? created_at:t updated_at:t"),
 }
 
-#: Values of the string-typed enumerations.
+#: Values of the string-typed enumerations; fixed values.
 ENUMS = {
     ("meetings", "status"): ["uploading", "uploaded", "processing", "recording", "finalizing", "completed", "failed"],
     ("meetings", "mode"): ["upload", "live"],

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from parlance import schemas
 from parlance.functions import exprs as X
@@ -60,7 +63,7 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
-def checked_uploads(df: DataFrame, default_vocabulary: str = "") -> DataFrame:
+def checked_uploads(df: DataFrame, default_vocabulary: str = "", *keys: str) -> DataFrame:
     """Requests (title, name, size, min_speakers, max_speakers, vocabulary) with cleaned values and ``error``."""
     title, ext = F.substring(F.trim("title"), 1, MAX_TITLE), F.lower(F.regexp_extract("name", r"(\.[^./\\]+)$", 1))
     vocabulary = F.coalesce(F.nullif(F.substring(F.trim("vocabulary"), 1, MAX_VOCABULARY), F.lit("")), F.nullif(F.lit(default_vocabulary), F.lit("")))
@@ -71,22 +74,67 @@ def checked_uploads(df: DataFrame, default_vocabulary: str = "") -> DataFrame:
         .when(F.col("min_speakers") > F.col("max_speakers"), "min_speakers exceeds max_speakers")
         .when(F.col("size") > MAX_UPLOAD, "file too large")
     )
-    return df.select(title.alias("title"), X.upload_filename("name").alias("name"), ext.alias("extension"), "size", "min_speakers", "max_speakers", vocabulary.alias("vocabulary"), error.alias("error"))
+    return df.select(*keys, title.alias("title"), X.upload_filename("name").alias("name"), ext.alias("extension"), "size", "min_speakers", "max_speakers", vocabulary.alias("vocabulary"), error.alias("error"))
 
 
 def presets(spark: SparkSession, path: str) -> DataFrame:
-    """Preset files of a folder: (id, type, body); unreadable files are skipped, a later file of an id wins."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file")).where(F.col("file").endswith(".json"))
-    j = raw.withColumn("id", F.coalesce(F.get_json_object("body", "$.id"), F.regexp_replace("file", r"\.json$", ""))).where(F.try_parse_json("body").isNotNull())
+    """Preset files of a folder: (id, type, body)."""
+    return preset_rows(spark.read.text(path, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file")))
+
+
+def preset_rows(files: DataFrame) -> DataFrame:
+    """Presets of ``files(file, body)``: unreadable ones are skipped, the id defaults to the file's name, a later file of an id wins."""
+    j = files.where(F.col("file").endswith(".json") & F.try_parse_json("body").isNotNull())
+    j = j.withColumn("id", F.coalesce(F.get_json_object("body", "$.id"), F.regexp_replace("file", r"\.json$", "")))
     return j.groupBy("id").agg(F.max(F.struct("file", "body"))["body"].alias("body")).select("id", F.get_json_object("body", "$.type").alias("type"), "body")
 
 
 def preferences(spark: SparkSession, stored: str | None) -> DataFrame:
     """Stored preferences (JSON text) over the defaults, secrets masked in ``shown``; bad JSON gives the defaults."""
-    rows = spark.createDataFrame(list(schemas.PREFERENCE_DEFAULTS.items()), "key string, default string")
-    given = spark.createDataFrame([(stored,)], "body string").select(F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
-    both = rows.join(given, "key", "full").select("key", F.coalesce("value", "default").alias("value"))
-    return both.withColumn("shown", F.when(F.col("key").isin(schemas.SECRET_KEYS), X.masked("value")).otherwise(F.col("value")))
+    return merged_preferences(spark.createDataFrame([(0, stored)], "owner int, body string")).drop("owner")
+
+
+def merged_preferences(stored: DataFrame) -> DataFrame:
+    """(owner, key, value, shown) of ``stored(owner, body)``; unknown keys are kept."""
+    given = F.coalesce(F.from_json("body", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    defaults = F.create_map(*(F.lit(x) for kv in schemas.PREFERENCE_DEFAULTS.items() for x in kv))
+    keys = F.array_union(F.map_keys(defaults), F.map_keys("given"))
+    rows = stored.select("owner", given.alias("given")).select("owner", F.explode(F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(F.col("given"), k), F.element_at(defaults, k)).alias("value")))).alias("p"))
+    return rows.select("owner", "p.*").withColumn("shown", F.when(F.col("key").isin(schemas.SECRET_KEYS), X.masked("value")).otherwise(F.col("value")))
+
+
+#: Typed settings and their defaults; the names are ours.
+SETTINGS = {"llm_base_url": "http://localhost:11434/v1", "live_chunk_seconds": 4.0, "max_upload_bytes": MAX_UPLOAD, "profile_threshold": 0.55, "polish_minimum_seconds": 60.0}
+
+
+def settings(spark: SparkSession, prefix: str = "parlance.") -> dict[str, object]:
+    """Settings from the session's ``parlance.*`` entries over the defaults, each in its default's type."""
+    held = ((name, default, spark.conf.get(prefix + name, None)) for name, default in SETTINGS.items())
+    return {name: default if given is None else type(default)(given) for name, default, given in held}
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """Folder names of a storage listing ``entries(path, is_directory)``; files do not count."""
+    return entries.where("is_directory").select(F.regexp_extract("path", r"([^/]+)/*$", 1).alias("name"))
+
+
+def storage_folders(spark: SparkSession, path: str) -> DataFrame:
+    """The folders below a path of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return listed(spark.createDataFrame([(f.getPath().toString(), f.isDirectory()) for f in found], "path string, is_directory boolean"))
+
+
+@F.pandas_udf(BinaryType())
+def vector_blob(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats."""
+    return vectors.map(lambda v: np.asarray(v, dtype="<f4").tobytes(), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def blob_vector(blobs: pd.Series) -> pd.Series:
+    """Vectors of blobs; bytes beyond whole floats are left out."""
+    return blobs.map(lambda b: np.frombuffer(bytes(b)[: len(b) // 4 * 4], dtype="<f4"), na_action="ignore")
 
 
 def folders(spark: SparkSession, names: list[str]) -> DataFrame:

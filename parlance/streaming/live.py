@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -115,11 +115,24 @@ def live_stream(chunks: DataFrame) -> DataFrame:
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def upsert_sink(path: str, *keys: str):
-    """``foreachBatch`` writer that is idempotent per batch: each micro-batch has its own folder, overwritten on retry."""
+def upsert_sink(path: str, *keys: str, buckets: int = 16):
+    """``foreachBatch`` writer that merges by key across batches: rows of a batch replace stored ones of equal keys.
+
+    The table is partitioned by a bucket of its keys; a batch rewrites the buckets it touches, from a stored
+    copy of the merge. A batch that is tried again gives the same table, so retries neither lose nor repeat rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.dropDuplicates(list(keys)) if keys else batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(list(keys)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        held, merged = f"{path}/rows", f"{path}/batch"
+        at = spark._jvm.org.apache.hadoop.fs.Path(held)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            old = spark.read.schema(new.schema).parquet(held).join(new.select("bucket").distinct(), "bucket", "left_semi")
+            new = old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+        new.write.mode("overwrite").parquet(merged)
+        stored = spark.read.schema(new.schema).parquet(merged)
+        stored.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(held)
 
     return write
 
@@ -132,7 +145,38 @@ def windows(events: DataFrame, length: str = "4 seconds", late: str = "10 minute
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
 
 
+#: Message types that a live client gets; fixed values.
+RELAYED = ["polish_started", "polish_complete", "finalize_started", "finalize_complete", "progress", "error"]
+
+
 def relayed(messages: DataFrame) -> DataFrame:
     """Channel messages that a live client gets."""
-    kinds = ["polish_started", "polish_complete", "finalize_started", "finalize_complete", "progress", "error"]
-    return messages.where(F.get_json_object("value", "$.type").isin(kinds))
+    return messages.where(F.get_json_object("value", "$.type").isin(RELAYED))
+
+
+#: Samples a second and bytes a sample of recorded audio; fixed values.
+RATE, WIDTH = 16_000, 2
+
+
+def pcm_seconds(size) -> Column:
+    """Seconds of so many bytes of audio."""
+    return F.col(size) / F.lit(float(RATE * WIDTH))
+
+
+def pcm_bounds(start, end, size) -> Column:
+    """(first, last) byte of the audio between two times, whole samples, within ``size`` bytes."""
+    at = lambda t: F.floor(F.greatest(F.col(t), F.lit(0.0)) * RATE) * WIDTH
+    last = F.least(at(end), F.col(size))
+    return F.struct(F.least(at(start), last).alias("first"), last.alias("last"))
+
+
+def pcm_slice(df: DataFrame, audio: str, start: str, end: str, to: str = "slice") -> DataFrame:
+    """``df`` with the bytes of ``audio`` between two times."""
+    rows = df.withColumn("_size", F.octet_length(audio))
+    at = pcm_bounds(start, end, "_size")
+    return rows.withColumn(to, F.substring(F.col(audio), (at["first"] + 1).cast("int"), (at["last"] - at["first"]).cast("int"))).drop("_size")
+
+
+def input_level(samples) -> Column:
+    """Mean of byte levels as a share of 128; 0 without samples."""
+    return F.coalesce(F.aggregate(F.col(samples), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(samples), F.lit(0)) / 128, F.lit(0.0))

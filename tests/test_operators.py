@@ -1,7 +1,9 @@
-"""Edge tables with expected values, and differential tests against plain loops."""
+"""Edge tables with expected values, and differential tests against the rules as stated here."""
 
 import json
 import random
+from collections import Counter
+from itertools import accumulate, groupby
 
 import pytest
 from pyspark.sql import Row
@@ -28,18 +30,15 @@ def one(spark, column):
 # --- alignment ---------------------------------------------------------------------------------------
 
 
-def loop_align(segments, turns):
-    out = []
-    for a, b in segments:
-        best, most = None, 0
-        for s, e, lab in turns:
-            ov = max(0, min(b, e) - max(a, s))
-            if ov > most:
-                best, most = lab, ov
-        if best is None:
-            best = next((lab for s, e, lab in turns if s <= (a + b) / 2 <= e), None)
-        out.append(best or "UNKNOWN")
-    return out
+def stated_align(segments, turns):
+    """The rule as a sort: most overlap then first turn; failing that the first turn around the middle."""
+
+    def label(a, b):
+        common = sorted((max(a, s) - min(b, e), i) for i, (s, e, _) in enumerate(turns) if max(a, s) < min(b, e))
+        around = [(0, i) for i, (s, e, _) in enumerate(turns) if 2 * s <= a + b <= 2 * e]
+        return next((turns[i][2] for _, i in common + around), "") or "UNKNOWN"
+
+    return [label(a, b) for a, b in segments]
 
 
 def run_align(spark, segments, turns):
@@ -51,7 +50,7 @@ def run_align(spark, segments, turns):
 def test_align_ties_and_fallbacks(spark):
     segments = [(0, 4), (4, 6), (7, 7), (100, 101), (58, 62), (0, 300)]
     turns = [(0, 2, "A"), (2, 4, "B"), (6, 8, "C"), (6, 9, "D"), (50, 59, "E"), (61, 200, "F"), (3, 4, "")]
-    assert run_align(spark, segments, turns) == loop_align(segments, turns)
+    assert run_align(spark, segments, turns) == stated_align(segments, turns)
     assert run_align(spark, [(0, 1)], []) == ["UNKNOWN"]
 
 
@@ -59,26 +58,15 @@ def test_align_random(spark):
     rng = random.Random(3)
     segments = [(a := rng.randint(0, 400) / 2, a + rng.choice([0, 0.5, 1, 4, 70])) for _ in range(150)]
     turns = [(a := rng.randint(0, 400) / 2, a + rng.choice([0, 0.5, 2, 30, 130]), f"S{rng.randint(0, 4)}") for _ in range(60)]
-    assert run_align(spark, segments, turns) == loop_align(segments, turns)
-
-
-def loop_nearest(rows):
-    groups = {}
-    for i, (a, b, s) in enumerate(rows):
-        groups.setdefault(s, []).append((i, (a + b) / 2))
-    out = [s for _, _, s in rows]
-    for s, own in groups.items():
-        if len(own) < 2:
-            for i, mid in own:
-                best, dist = None, float("inf")
-                for t, other in groups.items():
-                    if len(other) >= 2:
-                        for _, m in other:
-                            if abs(mid - m) < dist:
-                                best, dist = t, abs(mid - m)
-                if best:
-                    out[i] = best
-    return out
+    assert run_align(spark, segments, turns) == stated_align(segments, turns)
+
+
+def stated_nearest(rows):
+    """The rule as a minimum over (distance, first appearance of the speaker, place)."""
+    count, mids = Counter(s for *_, s in rows), [(a + b) / 2 for a, b, _ in rows]
+    first = {s: i for i, (*_, s) in reversed(list(enumerate(rows)))}
+    receivers = [(m, first[s], i, s) for i, ((*_, s), m) in enumerate(zip(rows, mids, strict=True)) if s is not None and count[s] > 1]
+    return [min(((abs(m - x), f, i, t) for x, f, i, t in receivers), default=(s,))[-1] if count[s] < 2 else s for (*_, s), m in zip(rows, mids, strict=True)]
 
 
 def test_nearest_random(spark):
@@ -86,7 +74,7 @@ def test_nearest_random(spark):
         rng = random.Random(seed)
         rows = [(a := rng.randint(0, 30), a + rng.randint(0, 4), rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 8])) for _ in range(rng.choice([6, 14]))]
         df = segs(spark, [(a, b, "t", s) for a, b, s in rows])
-        assert [r.new_speaker_id for r in align.nearest_reassign(df).orderBy("ord").collect()] == loop_nearest(rows)
+        assert [r.new_speaker_id for r in align.nearest_reassign(df).orderBy("ord").collect()] == stated_nearest(rows)
 
 
 def test_preserve_edits(spark):
@@ -99,25 +87,20 @@ def test_preserve_edits(spark):
 # --- sequences ----------------------------------------------------------------------------------------
 
 
-def loop_chunks(rows, seconds=30.0):
-    out, texts, start = [], [], rows[0][0]
-    end = start
-    for a, b, t in rows:
-        if not t.strip():
-            continue
-        if a - start >= seconds and texts:
-            out.append((" ".join(texts), start, end))
-            texts, start = [], a
-        texts.append(t.strip())
-        end = b
-    return out + ([(" ".join(texts), start, end)] if texts else [])
+def stated_chunks(rows, seconds=30.0):
+    """The rule as a scan: where each utterance's chunk starts; then utterances grouped by that start."""
+    said = [(a, b, t.strip()) for a, b, t in rows if t.strip()]
+    # The first utterance with words belongs to the chunk that the recording opens with, however late it comes.
+    starts = list(accumulate((a for a, *_ in said[1:]), lambda at, a: a if a - at >= seconds else at, initial=rows[0][0]))[: len(said)]
+    by = [list(g) for _, g in groupby(zip(starts, said, strict=True), key=lambda x: x[0])]
+    return [(" ".join(t for _, (*_, t) in g), g[0][0], g[-1][1][1]) for g in by]
 
 
 def test_time_chunks(spark):
     rng = random.Random(5)
     for rows in ([(1, 2, " "), (5, 6, "a"), (31, 32, "b"), (61, 90, "c"), (200, 201, "d")], [(0, 1, "")], [(t := i * rng.randint(3, 9), t + 3, rng.choice(["x", "yy ", "  "])) for i in range(60)]):
         got = chunks.time_chunks(segs(spark, [(a, b, t, 1) for a, b, t in rows])).orderBy("chunk").collect()
-        assert [(r.text, r.start_time, r.end_time) for r in got] == loop_chunks(rows)
+        assert [(r.text, r.start_time, r.end_time) for r in got] == stated_chunks(rows)
 
 
 def test_runs_with_nulls(spark):
@@ -179,13 +162,26 @@ def test_json_recovery(spark):
     assert got == list(cases.values())
 
 
-def test_protocol_blocks():
-    b = learned.protocol_blocks("# **Title**\n\n§ 2 Next\ntext one\nDECISION: inside\n- ACTION: do *it*\n3. three\n---\nDECISION: go\nmore")
+def test_json_spans_ignore_brackets_in_strings():
+    assert learned.recovered_json('say {"a": "}]{"} [1]') == '{"a":"}]{"}'
+    assert learned.recovered_json('[1, {"b": ') is None and learned.recovered_json("{x} [2]") == "[2]"
+    assert learned.recovered_json('```\n{bad}\n``` then {"ok": [1, 2]}') == '{"ok":[1,2]}'
+
+
+def test_protocol_blocks(spark):
+    text = "# **Title**\n\n§ 2 Next\ntext one\nDECISION: inside\n- ACTION: do *it*\n3. three\n---\nDECISION: go\nmore\nACTION: also\n#tag line\njoined\n"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, md string")
+    b = learned.block_rows(df, "md", "k").orderBy("block").collect()
     assert [(x["kind"], x["level"], x["mark"], x["text"]) for x in b] == [
-        ("heading", 1, None, "Title"), ("heading", 2, None, "§ 2 Next"), ("paragraph", 0, None, "text one DECISION: inside"), ("bullet", 0, "action", "ACTION: do *it*"), ("number", 0, None, "three"), ("rule", 0, None, ""), ("paragraph", 0, "decision", "DECISION: go"), ("paragraph", 0, None, "more"),
+        ("heading", 1, None, "Title"), ("heading", 2, None, "§ 2 Next"), ("paragraph", 0, None, "text one DECISION: inside"), ("bullet", 0, "action", "ACTION: do *it*"), ("number", 0, None, "three"), ("rule", 0, None, ""),
+        ("paragraph", 0, "decision", "DECISION: go"), ("paragraph", 0, None, "more ACTION: also"), ("paragraph", 0, None, "#tag line joined"),
     ]
-    assert b[3]["runs"] == [{"text": "ACTION: do ", "bold": False, "italic": False}, {"text": "it", "bold": False, "italic": True}]
-    assert learned.inline_runs("a ***b*** **c**") == [("a ", False, False), ("b", True, True), (" ", False, False), ("c", True, False)]
+    assert [tuple(r) for r in b[3].runs] == [("ACTION: do ", False, False), ("it", False, True)]
+    assert b[6].runs[0].bold and {x.k for x in b} == {1}
+    runs = {t: [tuple(r) for r in one(spark, learned.inline_runs(F.lit(t)))] for t in ("a ***b*** **c**", "2 * 3 * 4", "a * b", "", "x **y")}
+    assert runs["a ***b*** **c**"] == [("a ", False, False), ("b", True, True), (" ", False, False), ("c", True, False)]
+    assert runs["2 * 3 * 4"] == [("2 ", False, False), (" 3 ", False, True), (" 4", False, False)]
+    assert runs["a * b"] == [("a * b", False, False)] and runs[""] == []
 
 
 def test_encryption(spark):
@@ -212,6 +208,7 @@ def test_profiles(spark):
     q = spark.createDataFrame([(1, [2.0, 0.1]), (2, [-1.0, -1.0]), (3, [0.0, 0.0])], "vec_id int, embedding array<double>")
     got = {r.vec_id: r.profile for r in speakers.match_profiles(q, p).collect()}
     assert got == {1: "Ann", 2: None, 3: None}
+    assert {r.vec_id: r.profile for r in speakers.match_profiles(q, p, block=1).collect()} == got
     t = spark.createDataFrame([(1, 0, 0.0, 1.9, "A"), (1, 1, 5.0, 8.0, "B"), (1, 2, 10.0, 13.0, "B"), (1, 3, 0.0, 40.0, "C")], "meeting_id int, di int, ds double, de double, lab string")
     assert {r.label: (r.ds, r.clip) for r in speakers.longest_turn(t).collect()} == {"B": (5.0, 3.0), "C": (0.0, 15.0)}
 
@@ -377,11 +374,11 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame([r for r in rows if r[1] // 9 == i], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.conf.set(*live.ROCKSDB)
     src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.live_stream(src).writeStream.foreachBatch(live.upsert_sink(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = live.live_stream(src).writeStream.foreachBatch(live.upsert_sink(str(tmp_path / "out"), "recording", "arrival", "kind")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     cols = ["recording", "arrival", "kind", "ord", "start_time", "end_time", "text", "speaker_label", "prompt", "clock"]
     key = lambda df: sorted(map(str, df.select(*cols).collect()))
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(live.live_batch(spark.createDataFrame(rows, SCHEMA)))
+    assert key(spark.read.parquet(str(tmp_path / "out" / "rows"))) == key(live.live_batch(spark.createDataFrame(rows, SCHEMA)))
     assert live.relayed(spark.createDataFrame([('{"type": "error"}',), ('{"type": "x"}',)], "value string")).count() == 1
 
 
