@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance import schemas
-from parlance.functions import learned
+from parlance.functions import learned, office
 from parlance.operators import analytics, chunks, jobs, models, mutate, render, speakers, vocabulary
-from parlance.plans.catalogue import CHUNK_SQL, NAME_SQL
+from parlance.plans.catalogue import CHUNK_SQL, NAME_SQL, SHORT_SQL
 from parlance.plans.registry import query
 from parlance.sources import views as V
 
@@ -84,6 +84,24 @@ def progress_steps(spark, sf):
     return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 101).alias("p")).select("k", jobs.step_of("p").alias("step"))
 
 
+@query(NAME_SQL + f""", d AS (SELECT *, CAST(floor(duration) AS BIGINT) AS i FROM mtg), e AS (
+SELECT meeting_id, -2 AS ord, 0 AS k, title AS text FROM mtg UNION ALL SELECT meeting_id, -1, 0, 'Duration: ' || {SHORT_SQL.format(i='i')} FROM d UNION ALL SELECT meeting_id, ord, 0, name || ' [' || {SHORT_SQL.format(i='si')} || ']' FROM x WHERE turn UNION ALL SELECT meeting_id, ord, 1, text FROM x)
+SELECT meeting_id, md5(string_agg(text, chr(10) ORDER BY ord, k)) AS docx_text, true AS pdf_whole FROM e GROUP BY 1""")
+def export_files(spark, sf):
+    """Word-processor and page files of every recording; the former's text as read back from the file."""
+    blocks = render.document_blocks(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf))
+    f = office.document_files(blocks, "meeting_id")
+    text = F.decode("pdf", "iso-8859-1")
+    return f.select("meeting_id", F.md5(office.docx_paragraphs("docx")).alias("docx_text"), (text.startswith("%PDF-1.4") & text.endswith("%%EOF\n")).alias("pdf_whole"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) + 44 AS bytes, '52494646' AS head FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) % 2 = 0", views=False)
+def audio_files(spark, sf):
+    """Audio files of sample bytes (texts of even length stand for these)."""
+    d = V.table(spark, sf, "documents").where("text is not null and octet_length(text) % 2 = 0").select("doc_id", office.wav_file(F.col("text").cast("binary")).alias("w"))
+    return d.select("doc_id", F.octet_length("w").cast("long").alias("bytes"), F.hex(F.substring("w", 1, 4)).alias("head"))
+
+
 # --- model inputs and answers -----------------------------------------------------------------------------
 
 CUT = "CASE WHEN length(t) > 15000 THEN substring(t, 1, 15000) || chr(10) || chr(10) || '[...transcript truncated...]' ELSE t END"

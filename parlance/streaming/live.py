@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -53,23 +53,32 @@ class LiveState:
         self.centroids.append(e.tolist())
         return f"Speaker {len(self.centroids)}"
 
+    def said(self, recording, arrival, seconds, at, start, end, text, embedding, clock) -> tuple:
+        """The row of a voiced chunk that starts at ``at``."""
+        a, b = round(start + at, 3), round(end + at, 3)
+        inside = min(seconds, b - at) - max(0.0, a - at)
+        label, prompt = self.speaker(b - a, inside, embedding), " ".join(self.words[-PROMPT:]) or None
+        self.count += 1
+        self.words = (self.words + text.split())[-BUFFER:]
+        return (recording, arrival, "segment", self.count, a, b, text, label, prompt, clock)
+
+    def mark(self, recording, arrival, clock) -> list[tuple]:
+        """The mark of a polish pass that is due at ``clock``; at most one a chunk."""
+        target = (self.polished + 1) * 60 if self.polished < 5 else (self.polished - 3) * 300
+        if clock < 60 or clock < target:
+            return []
+        self.polished += 1
+        return [(recording, arrival, "polish", self.polished, None, None, None, None, None, clock)]
+
     def step(self, recording, arrival, seconds, loudness, start, end, text, embedding) -> Iterator[tuple]:
         if seconds is None or np.isnan(seconds):  # the chunk could not be decoded
             return
         at = self.clock
         self.clock += seconds
-        said = (text or "").strip()
-        if loudness is not None and loudness >= SILENCE and said and "<|" not in said and "|>" not in said and len(said) > 2:
-            a, b = round(start + at, 3), round(end + at, 3)
-            inside = min(seconds, b - at) - max(0.0, a - at)
-            label, prompt = self.speaker(b - a, inside, embedding), " ".join(self.words[-PROMPT:]) or None
-            self.count += 1
-            self.words = (self.words + said.split())[-BUFFER:]
-            yield (recording, arrival, "segment", self.count, a, b, said, label, prompt, self.clock)
-        target = (self.polished + 1) * 60 if self.polished < 5 else (self.polished - 3) * 300
-        if self.clock >= 60 and self.clock >= target:
-            self.polished += 1
-            yield (recording, arrival, "polish", self.polished, None, None, None, None, None, self.clock)
+        text = (text or "").strip()
+        if loudness is not None and loudness >= SILENCE and "<|" not in text and "|>" not in text and len(text) > 2:
+            yield self.said(recording, arrival, seconds, at, start, end, text, embedding, self.clock)
+        yield from self.mark(recording, arrival, self.clock)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -83,13 +92,37 @@ def _fold(state: LiveState, frame: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def live_batch(chunks: DataFrame) -> DataFrame:
-    """All recordings folded in arrival order."""
+def _voiced(text: Column, loudness: Column) -> Column:
+    """The gate of ``LiveState.step`` as a column: loud enough, and not a leaked token or next to nothing."""
+    return F.coalesce((loudness >= SILENCE) & (F.length(text) > 2) & ~text.contains("<|") & ~text.contains("|>"), F.lit(False))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_fold(LiveState(), frame))
 
-    return chunks.select(*INPUT).groupBy("recording").applyInPandas(run, OUTPUT)
+def live_batch(chunks: DataFrame) -> DataFrame:
+    """All recordings folded in arrival order, as the stream does it.
+
+    Clock and gate are columns; only what depends on all before it goes through Python: voiced chunks for
+    speakers and prompts, and the clock alone for the polish marks.
+    """
+    w = Window.partitionBy("recording").orderBy("arrival")
+    heard = chunks.select(*INPUT).where(F.col("seconds").isNotNull() & ~F.isnan("seconds"))
+    heard = heard.withColumn("clock", F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    heard = heard.withColumn("at", F.coalesce(F.lag("clock").over(w), F.lit(0.0))).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+
+    def segments(frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = LiveState(), []
+        for r in frame.sort_values("arrival").itertuples(index=False):
+            out.append(state.said(r.recording, r.arrival, r.seconds, r.at, r.start, r.end, r.text, r.embedding, r.clock))
+        return _frame(out)
+
+    def marks(frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = LiveState(), []
+        frame = frame.sort_values("arrival")
+        for recording, arrival, clock in zip(frame["recording"].tolist(), frame["arrival"].tolist(), frame["clock"].tolist(), strict=True):
+            out += state.mark(recording, arrival, clock)
+        return _frame(out)
+
+    spoken = heard.where(_voiced(F.col("text"), F.col("loudness"))).drop("loudness").groupBy("recording").applyInPandas(segments, OUTPUT)
+    return spoken.unionByName(heard.select("recording", "arrival", "clock").groupBy("recording").applyInPandas(marks, OUTPUT))
 
 
 class LiveProcessor(StatefulProcessor):
