@@ -101,3 +101,27 @@ def test_registered():
     q = __spark_entry__.queries()
     assert q["pipeline"] is corpus_pipeline.run
     assert all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11))
+
+
+def test_stages_with_edges(spark, tmp_path):
+    """Nulls, repeated rows and doc_ids, clashing column names, and an empty table go through every stage."""
+    rows = [(1, "same text here now ok"), (1, "same text here now ok"), (None, None), (None, "null id"), (2, ""), (3, "x" * 100_000), (3, "other text of the same id"), (4, "mail a.b@example.com " * 3)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.lit(c) for c in ("score", "_score", "keep_id", "own_sha", "node", "label", "row_key", "p", "at")}
+    named = docs.withColumns(extra)
+    spark.createDataFrame([(1, 0), (None, 1), (4, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (named, named.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, str(tmp_path))
+            if name != "packing":
+                assert kept.columns == named.columns, name
+            kept.write.mode("overwrite").parquet(f"{tmp_path}/out-{name}")
+            kept = spark.read.parquet(f"{tmp_path}/out-{name}")
+        if start is named:
+            texts = {r.text for r in spark.read.parquet(f"{tmp_path}/out-pii").collect()}
+            assert "same text here now ok" in texts and "x" * 100_000 in texts and any("[EMAIL]" in (t or "") for t in texts)
+            assert spark.read.parquet(f"{tmp_path}/out-exact_dedup").count() == 7 - 1
+            assert {r.label for r in spark.read.parquet(f"{tmp_path}/out-pii").collect()} == {"label"}
+        else:
+            assert kept.count() == 0
