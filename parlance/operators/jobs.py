@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance import schemas
 from parlance.functions import exprs as X
-from parlance.operators import align, analytics, mutate, speakers
+from parlance.operators import align, analytics, mutate, speakers, vocabulary
 
 #: Where a progress bar goes on to its next step; fixed values.
 STEPS = [("audio", 2), ("whisper", 10), ("llm", 30), ("diarization", 45), ("alignment", 75), ("speaker_id", 90), ("done", 100)]
@@ -123,6 +123,18 @@ def polish_prompts(segments: DataFrame, people: DataFrame, limit: int = 800) ->
     return g.select("meeting_id", F.size("b").alias("speakers"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("prompt"))
 
 
+def edit_and_learn(segments: DataFrame, edits: DataFrame, meetings: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, vocabulary) after ``edits(meeting_id, ord, text)``: terms are learned against the original text.
+
+    Edits of encrypted recordings change nothing and teach nothing; an edit repeated teaches again.
+    """
+    after = mutate.edit_texts(segments, edits, meetings)
+    locked = meetings.where(F.col("is_encrypted").eqNullSafe(True)).select("meeting_id")
+    old = segments.select("meeting_id", "ord", F.coalesce("original_text", "text").alias("old_text"))
+    pairs = edits.join(locked, "meeting_id", "left_anti").select("meeting_id", "ord", F.col("text").alias("new_text")).join(old, ["meeting_id", "ord"])
+    return after, vocabulary.merge_terms(entries, vocabulary.learn(pairs))
+
+
 def remaining(segments: DataFrame, people: DataFrame) -> DataFrame:
     """Utterances left per speaker, zeros included."""
     n = segments.groupBy("meeting_id", "speaker_id").agg(F.count("*").alias("n"))

@@ -89,6 +89,12 @@ def preset_files(spark, sf):
     return readers.preset_rows(n.select(F.concat(F.lower("n_name"), F.lit(".json")).alias("file"), body.alias("body")))
 
 
+@query(r"""WITH n AS (SELECT regexp_replace(regexp_replace(regexp_replace(lower(p_type || ' #' || p_partkey), '[^a-z0-9-]', '-', 'g'), '^-+', ''), '-+$', '') AS id, p_type || ' #' || p_partkey AS name FROM part)
+SELECT id || '.json' AS file, to_json(struct_pack(id := id, name := name, "type" := 'llm'))::VARCHAR AS body FROM n""", views=False)
+def preset_writes(spark, sf):
+    return readers.preset_texts(V.table(spark, sf, "part").select(F.concat("p_type", F.lit(" #"), "p_partkey").alias("name"), F.lit("llm").alias("type")))
+
+
 @query("""WITH u AS (SELECT c_custkey AS owner, c_custkey % 3 AS kind, c_name AS n FROM customer), r AS (
 SELECT owner, 'default_vocabulary' AS key, CASE kind WHEN 1 THEN n ELSE '' END AS value FROM u UNION ALL SELECT owner, 'speaker_profiles_enabled', CASE kind WHEN 1 THEN 'true' ELSE 'false' END FROM u
 UNION ALL SELECT owner, 'hf_auth_token', '' FROM u UNION ALL SELECT owner, 'llm_api_key', CASE kind WHEN 1 THEN n ELSE '' END FROM u UNION ALL SELECT owner, 'theme', n FROM u WHERE kind = 1)

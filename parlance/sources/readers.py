@@ -89,6 +89,12 @@ def preset_rows(files: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.max(F.struct("file", "body"))["body"].alias("body")).select("id", F.get_json_object("body", "$.type").alias("type"), "body")
 
 
+def preset_texts(presets: DataFrame) -> DataFrame:
+    """(file, body) to be written of presets (name, type, ...): the id is a slug of the name, which names the file too."""
+    id_ = X.slug("name")
+    return presets.select(F.concat(id_, F.lit(".json")).alias("file"), F.to_json(F.struct(id_.alias("id"), *presets.columns)).alias("body"))
+
+
 def preferences(spark: SparkSession, stored: str | None) -> DataFrame:
     """Stored preferences (JSON text) over the defaults, secrets masked in ``shown``; bad JSON gives the defaults."""
     return merged_preferences(spark.createDataFrame([(0, stored)], "owner int, body string")).drop("owner")
