@@ -410,7 +410,9 @@ def _open_owner(table: pa.Table) -> pa.Table:
 
 def _mailer(step, held, *args):
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_mail(step(table, held.value, *args))])
+        out = pa.Table.from_batches([_mail(step(table, held.value, *args))])
+        release()
+        return out
 
     return run
 
@@ -470,15 +472,14 @@ def _score(model: Model, own: dict, cells: dict[int, dict]) -> dict[str, pa.Arra
     """The documents of a batch, from the answers of its cells."""
     order = own["cells"].tolist()
     log, known = (np.concatenate([cells[c][f] for c in order]) for f in ("log", "known"))
-    docs, size = own["docs"], len(own["n"])
-    dish = np.repeat(np.arange(len(own["times"])), own["times"])
-    word = np.repeat(np.arange(len(known)), own["dishes"])[dish]
+    docs, size, times = own["docs"], len(own["n"]), own["times"]
     base = np.log10((known + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    sums = lambda x: np.bincount(docs, weights=x, minlength=size)
-    score, n = sums(log[dish].astype(float)), own["n"]
+    sums = lambda x: np.bincount(docs, weights=np.repeat(x, times), minlength=size)
+    by_dish = lambda x: np.repeat(x, own["dishes"])
+    score, n = sums(log), own["n"]
     return {
-        "doc_id": pa.array(own["doc"].view(np.int64), mask=own["null"].astype(bool)), "held_out": pa.array(own["out"].astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(sums(known[word] > 0).astype(np.int64)),
-        "train_tokens": pa.array(np.full(size, model.n, np.int64)), "base_score": pa.array(sums(base[word])), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / n, 300)),
+        "doc_id": pa.array(own["doc"].view(np.int64), mask=own["null"].astype(bool)), "held_out": pa.array(own["out"].astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(sums(by_dish(known > 0)).astype(np.int64)),
+        "train_tokens": pa.array(np.full(size, model.n, np.int64)), "base_score": pa.array(sums(by_dish(base))), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / n, 300)),
     }
 
 
@@ -495,7 +496,7 @@ def _bucketed(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
     return out
 
 
-def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 2_000_000, batch_bytes: int = 12_000_000, batch_rows: int = 30_000) -> DataFrame:
+def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float = 1.0, theta2: float = 1.0, seed: int = 1, cell_tokens: int = 1_500_000, batch_bytes: int = 12_000_000, batch_rows: int = 30_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     if not 0 <= burn_in < sweeps:
         raise ValueError("burn_in must be less than sweeps")
@@ -513,6 +514,7 @@ def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float
         for batch in batches:
             for node, head in zip(batch.column("node").to_pylist(), batch.column("head"), strict=True):
                 yield _mail(_open_cell(node, unpack(head.as_py()), side))
+                release()
 
     first = save(spark, of_cells.select("node", "head").mapInArrow(open_cells, _MAIL_SQL), "cells")
     opened = save(spark, first.where("kind = 'list'").groupBy("to").applyInArrow(_open_owner, _MAIL_SQL), "owners")
@@ -544,11 +546,16 @@ def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         mail = {(kind, k): unpack(data) for kind, k, data in zip(*(right.column(c).to_pylist() for c in ("kind", "sweep", "data")), strict=True)}
         rows = [(node, b, data) for node, head, asked in zip(*(left.column(c).to_pylist() for c in ("node", "head", "asked")), strict=True) for b, data in _answer(held.value, kept, unpack(head), unpack(asked), mail)]
+        del mail
+        release()
         return pa.table({"node": pa.array([-1 - b for _, b, _ in rows], pa.int64()), "cell": pa.array([n for n, _, _ in rows], pa.int64()), "data": pa.array([d for _, _, d in rows], pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         cells = {c: unpack(d) for c, d in zip(right.column("cell").to_pylist(), right.column("data").to_pylist(), strict=True)}
-        return pa.table(_score(held.value, unpack(left.column("head")[0].as_py()), cells))
+        out = pa.table(_score(held.value, unpack(left.column("head")[0].as_py()), cells))
+        del cells
+        release()
+        return out
 
     answers = of_cells.groupBy("node").cogroup(told.groupBy("node")).applyInArrow(answer, "node long, cell long, data binary")
     return state.where("node < 0").select("node", "head").groupBy("node").cogroup(answers.groupBy("node")).applyInArrow(score, _SCORES)
