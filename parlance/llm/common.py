@@ -78,8 +78,10 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete saved tables that nothing reads any more."""
+    """Delete saved tables that nothing reads any more; frames that are not saved tables are passed over."""
     for df in tables:
+        if not hasattr(df, "saved_at"):
+            continue
         at = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import fresh, ranges, save, ship, slices, strings, text_or_empty, words
+from parlance.llm.common import discard, fresh, ranges, save, ship, slices, strings, text_or_empty, words
 from parlance.llm.components import components, relabelled
 
 WORDS = 5
@@ -174,7 +174,7 @@ def with_node(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("node"), t.alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, keep) -> DataFrame:
     """The pairs (a, b) whose texts align."""
 
     def run(batches):
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     # A leader of many pairs is spread: one row of its text for about CHUNK of them.
     spread = lambda n: F.ceil(F.col(n) / CHUNK)
-    leads = save(pairs.sparkSession, pairs.groupBy("a").agg(F.count("*").alias("n")), "leads")
+    leads = keep(pairs.groupBy("a").agg(F.count("*").alias("n")), "leads")
     ta = leads.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "n", "ta", F.explode(F.sequence(F.lit(0).cast("long"), spread("n") - 1)).alias("part"))
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     many = leads.where(F.col("n") > CHUNK).withColumn("parts", spread("n"))
@@ -212,40 +212,48 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24) -> tup
                 keys = band_keys(strings(part.column("text")), bands)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
+    spent: list[DataFrame] = []  # stored on the way, and deleted when the labels are stored
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        spent.append(save(spark, df, name))
+        return spent[-1]
+
     sketched = save(spark, with_node(docs).mapInArrow(sketch, "doc_id long, node binary, keys array<long>"), "sketches")
-    unique = save(spark, sketched.select("node", "keys").dropDuplicates(["node"]), "unique")
-    placed = save(spark, unique.select("node", F.explode("keys").alias("key")), "buckets")
-    sizes = save(spark, placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = save(spark, placed.join(sizes.hint("merge"), "key"), "shared")
-    degree = save(spark, shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
-    ranked = save(spark, shared.join(degree.hint("merge"), "node"), "ranked")
-    lead = save(spark, ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "leaders")
-    shared = save(spark, ranked.select("key", "node").join(lead.hint("merge"), "key"), "members")
+    unique = keep(sketched.select("node", "keys").dropDuplicates(["node"]), "unique")
+    placed = keep(unique.select("node", F.explode("keys").alias("key")), "buckets")
+    sizes = keep(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = keep(placed.join(sizes.hint("merge"), "key"), "shared")
+    degree = keep(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    ranked = keep(shared.join(degree.hint("merge"), "node"), "ranked")
+    lead = keep(ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "leaders")
+    shared = keep(ranked.select("key", "node").join(lead.hint("merge"), "key"), "members")
 
     own = with_node(docs).groupBy("node").agg(F.first("text").alias("text"))
-    texts = save(spark, own.join(degree.select("node").hint("merge"), "node", "left_semi"), "texts")
-    first = save(spark, shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    labels = components(save(spark, _verified(first, texts, threshold), "near"))
+    texts = keep(own.join(degree.select("node").hint("merge"), "node", "left_semi"), "texts")
+    first = keep(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    labels = components(keep(_verified(first, texts, threshold, keep), "near"))
 
     # What is left: buckets that hold several components.
-    now = save(spark, shared.select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    now = save(spark, now.join(_mixed(spark, now).hint("merge"), "key"), "open")
-    weight = save(spark, _own_shingles(texts.join(now.select("node").hint("merge"), "node", "left_semi")), "weights")
+    now = keep(shared.select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    now = keep(now.join(keep(_mixed(now), "mixed").hint("merge"), "key"), "open")
+    weight = keep(_own_shingles(texts.join(now.select("node").hint("merge"), "node", "left_semi")), "weights")
     # A partner of size m must satisfy threshold * n <= m <= most, and n <= most of the partner.
     most = F.floor((F.col("n") - F.col("u")) * (1 + threshold) / threshold - F.col("n") + 1e-6)
-    weight = save(spark, weight.join(unique.hint("merge"), "node"), "weights")
-    now = save(spark, now.join(weight.hint("merge"), "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
-    found = save(spark, _across(spark, now, texts, threshold), "near")
+    weight = keep(weight.join(unique.hint("merge"), "node"), "weights")
+    now = keep(now.join(weight.hint("merge"), "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
+    found = keep(_across(now, texts, threshold, keep), "near")
     if not found.isEmpty():
         parent = components(relabelled(relabelled(found, "a", labels), "b", labels))
+        spent += [labels, parent]
         labels = save(spark, relabelled(labels, "label", parent).unionByName(parent.join(labels.select("node"), "node", "left_anti")), "labels")
+    discard(spark, *spent)
     return labels, sketched.select("doc_id", "node")
 
 
 CHUNK = 64
 
 
-def _across(spark, now: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _across(now: DataFrame, texts: DataFrame, threshold: float, keep) -> DataFrame:
     """The near pairs (a, b) between components of a bucket, among ``now``'s (key, node, label, main, n, most, keys)."""
     size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)))
     least = F.greatest(F.lit(1.0), threshold * F.col("n") - 1e-6)
@@ -255,7 +263,7 @@ def _across(spark, now: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     group = ["key", "size"]
     cp = pivots.groupBy(*group).agg(F.count("*").alias("cp"))
     cm = members.groupBy(*group).agg(F.count("*").alias("cm"))
-    both = save(spark, cp.join(cm.hint("merge"), group), "groups")
+    both = keep(cp.join(cm.hint("merge"), group), "groups")
     chunk = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / CHUNK))
     held = F.collect_list(F.struct("node", "label", "pivot", "n", "most", "keys", "text"))
     own = texts.select("node", "text")
@@ -328,10 +336,10 @@ def _block(key: int, pivots: pa.StructArray, members: pa.StructArray, threshold:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.binary()), pa.array([x for _, x in keep], pa.binary())], names=["a", "b"])
 
 
-def _mixed(spark, members: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame) -> DataFrame:
     """(key, main): the buckets that hold several components, with the largest."""
     groups = members.groupBy("key", "label").agg(F.count("*").alias("c"))
-    return save(spark, groups.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("l")).where("l > 1").select("key", "main"), "mixed")
+    return groups.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("l")).where("l > 1").select("key", "main")
 
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
