@@ -65,19 +65,39 @@ def live_summary(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 
 
 STYLES = {
-    "insights": lambda: F.format_string("[%s] %s: %s", X.seconds_text("start_time"), "speaker_name", "text"),
+    "insights": lambda: F.format_string("[%s] [%s]: %s", X.seconds_text("start_time"), "speaker_name", "text"),
     "action": lambda: F.format_string("[%s]: %s", "speaker_name", "text"),
     "protocol": lambda: F.format_string("[%s] [%s]: %s", X.minutes_time("start_time"), "speaker_name", "text"),
     "intro": lambda: F.format_string("[%s]: %s", F.coalesce("label", F.lit("UNKNOWN")), "text"),
 }
 
 
+#: What follows a transcript that is cut; fixed values.
+CUT_MARKS = {"protocol": "\n\n[...transcript truncated...]", "insights": "\n\n[...transcription truncated...]", "action": "\n\n[...transcription truncated...]", "intro": ""}
+
+
 def transcript_text(segments: DataFrame, speakers: DataFrame, style: str = "protocol", limit: int = 15_000, until: float | None = None) -> DataFrame:
     """One text per recording for a model call: a line per utterance, cut at ``limit`` characters."""
     s = with_speaker(segments, speakers)
     s = s if until is None else s.where(F.col("start_time") < until)
     lines = s.select("meeting_id", "ord", STYLES[style]().alias("line")).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
-    return lines.select("meeting_id", X.cut(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), limit, "\n\n[...transcript truncated...]").alias("transcript"))
+    return lines.select("meeting_id", X.cut(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), limit, CUT_MARKS[style]).alias("transcript"))
+
+
+def model_inputs(meetings: DataFrame, segments: DataFrame, speakers: DataFrame, style: str) -> DataFrame:
+    """(meeting_id, input): what a model is told about a recording: for a protocol its date, length and attendees too.
+
+    Recordings without utterances have no input.
+    """
+    m = meetings.join(transcript_text(segments, speakers, style), "meeting_id")
+    title = F.concat(F.lit("Meeting title: "), "title")
+    if style != "protocol":
+        return m.select("meeting_id", F.concat(title, F.lit("\n\nTranscription:\n"), "transcript").alias("input"))
+    known = speakers.where("label <> 'UNKNOWN'").groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("label", X.shown_name().alias("name")))).alias("p"))
+    names = F.coalesce(F.array_join(F.transform("p", lambda x: x["name"]), ", "), F.lit(""))
+    length = F.when(F.coalesce("duration", F.lit(0.0)) != 0, F.concat(X.whole_minutes("duration").cast("string"), F.lit(" minutes"))).otherwise("")
+    lines = (title, F.concat(F.lit("Date: "), F.coalesce(X.day_text("created_at"), F.lit(""))), F.concat(F.lit("Duration: "), length), F.concat(F.lit("Attendees: "), names, F.lit("\n")), F.concat(F.lit("Transcript:\n"), "transcript"))
+    return m.join(known, "meeting_id", "left").select("meeting_id", F.concat_ws("\n", *lines).alias("input"))
 
 
 def speaker_texts(segments: DataFrame, limit: int = 800) -> DataFrame:

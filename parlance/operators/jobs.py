@@ -5,12 +5,14 @@ Each is a function from tables to tables; a failing call or an empty input chang
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance import schemas
 from parlance.functions import exprs as X
-from parlance.operators import align, analytics, mutate, speakers, vocabulary
+from parlance.operators import align, analytics, chunks, models, mutate, speakers, vocabulary
 
 #: Where a progress bar goes on to its next step; fixed values.
 STEPS = [("audio", 2), ("whisper", 10), ("llm", 30), ("diarization", 45), ("alignment", 75), ("speaker_id", 90), ("done", 100)]
@@ -123,6 +125,32 @@ def polish_prompts(segments: DataFrame, people: DataFrame, limit: int = 800) ->
     return g.select("meeting_id", F.size("b").alias("speakers"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("prompt"))
 
 
+def run_action(meetings: DataFrame, segments: DataFrame, people: DataFrame, actions: DataFrame, model: Callable[[str, str], str | None]) -> DataFrame:
+    """Results (action_id, meeting_id, status, result_text) of every action on every recording with utterances.
+
+    ``model(prompt, input)`` answers; a call that fails gives a failed result.
+    """
+    inputs = analytics.model_inputs(meetings, segments, people, "action")
+    # The actions travel as one array value: each recording is called with each of them, as was asked for.
+    held = actions.agg(F.array_sort(F.collect_list(F.struct("action_id", "prompt"))).alias("a"))
+    asked = inputs.withColumn("a", F.explode(held.scalar())).select("meeting_id", "input", "a.*")
+    answered = models.run_model(asked, ["prompt", "input"], model, "result_text")
+    return answered.select("action_id", "meeting_id", F.when(F.col("result_text").isNull(), "failed").otherwise("completed").alias("status"), "result_text")
+
+
+def write_protocols(meetings: DataFrame, segments: DataFrame, people: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
+    """``meetings`` with the protocols that the model wrote of completed ones; others keep what they have."""
+    done = analytics.model_inputs(meetings.where("status = 'completed'"), segments, people, "protocol")
+    answers = models.run_model(done, ["input"], model, "protocol_text").select("meeting_id", "protocol_text")
+    return mutate.patch(meetings, answers, "meeting_id")
+
+
+def extract_insights(insights: DataFrame, answers: DataFrame) -> DataFrame:
+    """``insights`` with those of the answered recordings replaced by what ``answers(meeting_id, answer)`` hold."""
+    new = chunks.insight_rows(answers)
+    return mutate.remove(insights, answers, "meeting_id").unionByName(new, allowMissingColumns=True)
+
+
 def edit_and_learn(segments: DataFrame, edits: DataFrame, meetings: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments, vocabulary) after ``edits(meeting_id, ord, text)``: terms are learned against the original text.
 

@@ -104,18 +104,58 @@ def audio_files(spark, sf):
 
 # --- model inputs and answers -----------------------------------------------------------------------------
 
-CUT = "CASE WHEN length(t) > 15000 THEN substring(t, 1, 15000) || chr(10) || chr(10) || '[...transcript truncated...]' ELSE t END"
+def cut_sql(t: str, mark: str = "transcription") -> str:
+    return f"CASE WHEN length({t}) > 15000 THEN substring({t}, 1, 15000) || chr(10) || chr(10) || '[...{mark} truncated...]' ELSE {t} END"
 
 
-@query(NAME_SQL + f""", t AS (SELECT meeting_id, string_agg('[' || printf('%.1f', round_even(start_time, 1)) || 's] ' || name || ': ' || text, chr(10) ORDER BY ord) AS i, string_agg('[' || name || ']: ' || text, chr(10) ORDER BY ord) AS a FROM n GROUP BY 1),
-u AS (SELECT s.meeting_id, string_agg('[' || coalesce(p.label, 'UNKNOWN') || ']: ' || text, chr(10) ORDER BY ord) AS o FROM seg s LEFT JOIN spk p USING (meeting_id, speaker_id) WHERE start_time < 120 GROUP BY 1)
-SELECT meeting_id, {CUT.replace('length(t)', 'length(i)').replace('(t,', '(i,').replace('ELSE t', 'ELSE i')} AS insights, {CUT.replace('length(t)', 'length(a)').replace('(t,', '(a,').replace('ELSE t', 'ELSE a')} AS action, o AS intro FROM t LEFT JOIN u USING (meeting_id)""")
+TOLD_SQL = NAME_SQL + """, t AS (SELECT meeting_id, string_agg('[' || printf('%.1f', round_even(start_time, 1)) || 's] [' || name || ']: ' || text, chr(10) ORDER BY ord) AS i, string_agg('[' || name || ']: ' || text, chr(10) ORDER BY ord) AS a,
+  string_agg('[' || CAST(floor(start_time / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(start_time) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '] [' || name || ']: ' || text, chr(10) ORDER BY ord) AS p FROM n GROUP BY 1)"""
+
+
+@query(TOLD_SQL + f""", u AS (SELECT s.meeting_id, string_agg('[' || coalesce(p.label, 'UNKNOWN') || ']: ' || text, chr(10) ORDER BY ord) AS o FROM seg s LEFT JOIN spk p USING (meeting_id, speaker_id) WHERE start_time < 120 GROUP BY 1)
+SELECT meeting_id, {cut_sql('i')} AS insights, {cut_sql('a')} AS action, o AS intro FROM t LEFT JOIN u USING (meeting_id)""")
 def model_transcripts(spark, sf):
     s, p = V.segments(spark, sf), V.speakers(spark, sf)
     text = lambda style, **how: analytics.transcript_text(s, p, style, **how).withColumnRenamed("transcript", style if style != "intro" else "intro")
     return text("insights").join(text("action"), "meeting_id").join(text("intro", limit=10**9, until=120.0), "meeting_id", "left")
 
 
+PROTOCOL_INPUT_SQL = f"""'Meeting title: ' || m.title || chr(10) || 'Date: ' || strftime(m.created_at, '%Y-%m-%d') || chr(10) || 'Duration: ' || CAST(floor(m.duration / 60) AS BIGINT) || ' minutes' || chr(10) || 'Attendees: ' || (SELECT string_agg(coalesce(display_name, label), ', ' ORDER BY label) FROM spk q WHERE q.meeting_id = m.meeting_id) || chr(10) || chr(10) || 'Transcript:' || chr(10) || {cut_sql('t.p', 'transcript')}"""
+
+
+def _echo(*told):
+    """A stand-in for a model: fails on some inputs, else answers with the length and the start of what it was told."""
+    if len(told[-1]) % 5 == 0:
+        raise ValueError("no answer")
+    return f"{len(told[-1])} {' '.join(told)[:40]}"
+
+
+@query(TOLD_SQL + f""", i AS (SELECT m.meeting_id, {PROTOCOL_INPUT_SQL} AS x FROM mtg m JOIN t USING (meeting_id))
+SELECT m.meeting_id, CASE WHEN m.meeting_id % 3 <> 0 AND length(x) % 5 <> 0 THEN length(x) || ' ' || substring(x, 1, 40) WHEN m.meeting_id % 2 = 0 THEN 'old' END AS protocol_text FROM mtg m LEFT JOIN i USING (meeting_id)""")
+def protocol_texts(spark, sf):
+    """Protocols of completed recordings; a failed call keeps what there was."""
+    k = F.col("meeting_id")
+    m = V.meetings(spark, sf).withColumns({"status": F.when(k % 3 == 0, "recording").otherwise("completed"), "protocol_text": F.when(k % 2 == 0, "old")})
+    return jobs.write_protocols(m, V.segments(spark, sf), V.speakers(spark, sf), _echo).select("meeting_id", "protocol_text")
+
+
+@query(TOLD_SQL + f""", i AS (SELECT m.meeting_id, 'Meeting title: ' || m.title || chr(10) || chr(10) || 'Transcription:' || chr(10) || {cut_sql('t.a')} AS x FROM mtg m JOIN t USING (meeting_id))
+SELECT action_id, meeting_id, CASE WHEN length(x) % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN length(x) % 5 <> 0 THEN length(x) || ' ' || substring(prompt || ' ' || x, 1, 40) END AS result_text FROM i, (SELECT r_regionkey AS action_id, 'Do ' || r_name AS prompt FROM region)""")
+def action_runs(spark, sf):
+    a = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("action_id"), F.concat(F.lit("Do "), "r_name").alias("prompt"))
+    return jobs.run_action(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf), a, _echo)
+
+
+@query("""SELECT meeting_id, i AS ord, 'decision' AS insight_type, CASE WHEN meeting_id % 3 = 0 THEN 'new ' || i ELSE 'old ' || i END AS content FROM mtg, range(0, 3) g(i) WHERE meeting_id % 3 <> 0 OR i <= meeting_id % 2""")
+def insight_replacement(spark, sf):
+    """Insights of the recordings that were analysed again are replaced, those of others stay."""
+    m = V.meetings(spark, sf).select("meeting_id")
+    old = m.select("meeting_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("meeting_id", F.col("i").cast("long").alias("ord"), F.lit("decision").alias("insight_type"), F.concat(F.lit("old "), "i").alias("content"))
+    item = F.transform(F.sequence(F.lit(0).cast("long"), F.col("meeting_id") % 2), lambda i: F.struct(F.concat(F.lit("new "), i.cast("string")).alias("content")))
+    answers = m.where("meeting_id % 3 = 0").select("meeting_id", F.to_json(F.struct(item.alias("decisions"))).alias("answer"))
+    return jobs.extract_insights(old, answers).select("meeting_id", F.col("ord").cast("long").alias("ord"), "insight_type", "content")
+
+
 @query("""SELECT meeting_id, count(*) AS speakers, string_agg('[' || label || '] (' || n || ' segment): ' || CASE WHEN length(t) > 800 THEN substring(t, 1, 800) || '...' ELSE t END, chr(10) || chr(10) ORDER BY label) AS prompt FROM (
 SELECT s.meeting_id, p.label, count(*) AS n, string_agg(s.text, ' ' ORDER BY ord) AS t FROM seg s JOIN spk p USING (meeting_id, speaker_id) GROUP BY 1, 2) GROUP BY 1""".replace(", p.label, count", ", p.label, count"))
 def polish_prompts(spark, sf):
