@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
 from parlance.functions import learned
-from parlance.operators import align, analytics, chunks, models, mutate, render, search, speakers, vocabulary
-from parlance.plans.registry import QUERIES, SQL, query
-from parlance.sources import readers
+from parlance.operators import align, analytics, chunks, mutate, render, search, speakers, vocabulary
+from parlance.plans.registry import QUERIES, SQL, query  # noqa: F401
 from parlance.sources import views as V
 from parlance.streaming import live
 
