@@ -93,8 +93,17 @@ def test_exact_dedup_edges(spark):
 
 
 def test_exact_dedup_is_native(spark, sf_dir):
-    plan = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
+    out = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(9), fan_in=2)
+    plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    # Runs are merged in order at every level: 9, 5, 3, 2, 1 runs, each by a sort-based aggregation before and after its exchange.
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortAggregate(key=[digest") >= 5
+
+
+def test_exact_dedup_by_any_fan_in(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(13)
+    rows = [sorted(map(tuple, exact_dedup(docs, fan_in=n).collect())) for n in (2, 3, 16)]
+    assert rows[0] == rows[1] == rows[2]
 
 
 def test_url_rules_and_parts(spark):
