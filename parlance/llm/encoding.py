@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from parlance.llm.common import ranges, strings
 
-MEMO_WORDS, MEMO_BYTES = 600_000, 32_000_000
+MEMO_WORDS, MEMO_BYTES = 500_000, 24_000_000
 TOGETHER, TOGETHER_CHARS = 256, 8192
 SENTINEL = "\x01"
 

@@ -192,12 +192,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, keep) -> Dat
     # A leader of many pairs is spread: one row of its text for about CHUNK of them.
     spread = lambda n: F.ceil(F.col(n) / CHUNK)
     leads = keep(pairs.groupBy("a").agg(F.count("*").alias("n")), "leads")
-    ta = leads.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "n", "ta", F.explode(F.sequence(F.lit(0).cast("long"), spread("n") - 1)).alias("part"))
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    ta = leads.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "n", "ta", F.explode(F.sequence(F.lit(0).cast("long"), spread("n") - 1)).alias("part"))
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     many = leads.where(F.col("n") > CHUNK).withColumn("parts", spread("n"))
     one = one.join(F.broadcast(many.select("a", "parts")) if many.count() <= 100_000 else many.select("a", "parts"), "a", "left")
     one = one.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("b"), F.col("parts")))).drop("parts")
-    two = one.join(ta.drop("n").hint("merge"), ["a", "part"])
+    two = one.join(ta.drop("n"), ["a", "part"])
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
@@ -222,25 +222,25 @@ def near_labels(docs: DataFrame, threshold: float = 0.8, bands: int = 24) -> tup
     unique = keep(sketched.select("node", "keys").dropDuplicates(["node"]), "unique")
     placed = keep(unique.select("node", F.explode("keys").alias("key")), "buckets")
     sizes = keep(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = keep(placed.join(sizes.hint("merge"), "key"), "shared")
+    shared = keep(placed.join(sizes, "key"), "shared")
     degree = keep(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
-    ranked = keep(shared.join(degree.hint("merge"), "node"), "ranked")
+    ranked = keep(shared.join(degree, "node"), "ranked")
     lead = keep(ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "leaders")
-    shared = keep(ranked.select("key", "node").join(lead.hint("merge"), "key"), "members")
+    shared = keep(ranked.select("key", "node").join(lead, "key"), "members")
 
     own = with_node(docs).groupBy("node").agg(F.first("text").alias("text"))
-    texts = keep(own.join(degree.select("node").hint("merge"), "node", "left_semi"), "texts")
+    texts = keep(own.join(degree.select("node"), "node", "left_semi"), "texts")
     first = keep(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     labels = components(keep(_verified(first, texts, threshold, keep), "near"))
 
     # What is left: buckets that hold several components.
-    now = keep(shared.select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    now = keep(now.join(keep(_mixed(now), "mixed").hint("merge"), "key"), "open")
-    weight = keep(_own_shingles(texts.join(now.select("node").hint("merge"), "node", "left_semi")), "weights")
+    now = keep(shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    now = keep(now.join(keep(_mixed(now), "mixed"), "key"), "open")
+    weight = keep(_own_shingles(texts.join(now.select("node"), "node", "left_semi")), "weights")
     # A partner of size m must satisfy threshold * n <= m <= most, and n <= most of the partner.
     most = F.floor((F.col("n") - F.col("u")) * (1 + threshold) / threshold - F.col("n") + 1e-6)
-    weight = keep(weight.join(unique.hint("merge"), "node"), "weights")
-    now = keep(now.join(weight.hint("merge"), "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
+    weight = keep(weight.join(unique, "node"), "weights")
+    now = keep(now.join(weight, "node").withColumn("most", most).where(F.col("most") >= F.ceil(threshold * F.col("n") - 1e-6)), "alive")
     found = keep(_across(now, texts, threshold, keep), "near")
     if not found.isEmpty():
         parent = components(relabelled(relabelled(found, "a", labels), "b", labels))
@@ -263,18 +263,18 @@ def _across(now: DataFrame, texts: DataFrame, threshold: float, keep) -> DataFra
     group = ["key", "size"]
     cp = pivots.groupBy(*group).agg(F.count("*").alias("cp"))
     cm = members.groupBy(*group).agg(F.count("*").alias("cm"))
-    both = keep(cp.join(cm.hint("merge"), group), "groups")
+    both = keep(cp.join(cm, group), "groups")
     chunk = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / CHUNK))
     held = F.collect_list(F.struct("node", "label", "pivot", "n", "most", "keys", "text"))
     own = texts.select("node", "text")
 
     def chunked(df, c, name):
-        df = df.join(both.hint("merge"), group).withColumn("chunk", chunk(c))
-        df = df.join(own.hint("merge"), "node")
+        df = df.join(both, group).withColumn("chunk", chunk(c))
+        df = df.join(own, "node")
         return df.groupBy(*group, "chunk").agg(held.alias(name), F.first("cm").alias("cm"))
 
     left = chunked(pivots, "cp", "pivots").drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("cm") / CHUNK) - 1))).drop("cm")
-    blocks = left.join(chunked(members, "cm", "members").drop("cm").hint("merge"), [*group, "chunk"])
+    blocks = left.join(chunked(members, "cm", "members").drop("cm"), [*group, "chunk"])
 
     def run(batches):
         for batch in batches:
@@ -358,7 +358,7 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
     held = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     own = held.where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
     size = texts.select("node", F.size(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")).select("node", F.greatest(F.col("w") - (WORDS - 1), F.lit(1)).alias("n"))
-    return size.join(own.hint("merge"), "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    return size.join(own, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
@@ -366,10 +366,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
     spark = docs.sparkSession
     labels, own = near_labels(docs, threshold, **how)
     node = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    node = save(spark, node.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    node = save(spark, node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     sums = save(spark, node.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts")), "classes")
-    of_node = save(spark, node.select("node", "label").join(sums.hint("merge"), "label").drop("label"), "node-classes")
-    return own.join(of_node.hint("merge"), "node").select("doc_id", "class_id", "class_size", "n_texts", F.lower(F.hex("node")).alias("text_id"))
+    of_node = save(spark, node.select("node", "label").join(sums, "label").drop("label"), "node-classes")
+    return own.join(of_node, "node").select("doc_id", "class_id", "class_size", "n_texts", F.lower(F.hex("node")).alias("text_id"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
@@ -378,7 +378,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFram
     labels, own = near_labels(docs, threshold, **how)
     rows = own.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
     rows = save(spark, rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n")).alias("r")), "nodes")
-    rows = rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     once = rows.groupBy("label").agg(F.min(F.struct("r.last", "r.doc_id", "node", "r.n")).alias("r"))
     again = save(spark, once.select("r.doc_id", F.lower(F.hex("r.node")).alias("node"), "r.n"), "kept")
     own_sha, id_, sha = fresh(docs, "own_sha", "kept_id", "kept_sha")

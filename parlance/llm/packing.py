@@ -102,7 +102,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
     def cut(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6_000_000):
                 ids, per = enc.encode(part.column("text"))
                 out = np.full(len(ids) + len(per), end_id, dtype="<u4")
                 total = per + 1

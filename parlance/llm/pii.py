@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ship, strings, text_or_empty
+from parlance.llm.common import release, ship, strings, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, fixed by contract.
@@ -373,10 +373,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = strings(batch.column("text")).to_pylist()
             base, added = [], []
-            for at in range(0, len(texts), 2000):
-                b, a = spans_of(held.value, texts[at : at + 2000])
+            for at in range(0, len(texts), 1000):
+                b, a = spans_of(held.value, texts[at : at + 1000])
                 base += b
                 added += a
+                release()
             n = [[sum(s[0] == k for s in own) for own in base] for k in KINDS]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(b + a) for b, a in zip(base, added, strict=True)], pa.string()), pa.array([len(a) for a in added], pa.int64())],
@@ -407,11 +408,12 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = list(texts)
-            for at in range(0, len(texts), 2000):
-                part = [t or "" for t in texts[at : at + 2000]]
+            for at in range(0, len(texts), 1000):
+                part = [t or "" for t in texts[at : at + 1000]]
                 for k, (b, a) in enumerate(zip(*spans_of(held.value, part), strict=True)):
                     if b or a:
                         out[at + k] = redact_text(part[k], b + a)
+                release()
             columns = []
             for name in batch.schema.names:
                 if name == "text":
