@@ -505,7 +505,8 @@ def lm_scores(docs: DataFrame, sweeps: int = 4, burn_in: int = 1, theta1: float
     tokens = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     cells = max(1, tokens / cell_tokens, min(partitions(spark), tokens / 50_000))
     side = int(np.ceil(np.sqrt(cells)))
-    buckets = max(partitions(spark), side * side)
+    # A bucket may hold several cells: there are at most as many as Spark allows, whatever the corpus.
+    buckets = min(max(partitions(spark), side * side), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     dealt = _deal(docs, Grid(side), batch_bytes, batch_rows).repartition(buckets, "node")
     state = _bucketed(spark, dealt.groupBy("node").applyInArrow(_gather, "node long, head binary, asked binary"), buckets)
     of_cells = state.where("node >= 0")

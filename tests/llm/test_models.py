@@ -176,6 +176,11 @@ def test_grid_does_not_change_scores(spark):
     for how in ({"cell_tokens": 100}, {"cell_tokens": 10**9}, {"batch_rows": 3, "cell_tokens": 500}):
         got = hpylm.lm_scores(docs, sweeps=2, burn_in=0, **how).collect()
         same_base(got, rows)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")  # fewer buckets than cells
+    try:
+        same_base(hpylm.lm_scores(docs, sweeps=2, burn_in=0, cell_tokens=100).collect(), rows)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
     parts = [pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a b", "a b c"], "out": [False, True]})]
     own, cells = hpylm.batch_cells(parts[0], hpylm.Grid(3))
     assert sum(len(hpylm.unpack(d)["context"]) for _, d in cells) == 6 and len(hpylm.unpack(own)["docs"]) == 9
