@@ -159,7 +159,7 @@ def decrypted(c, key: bytes) -> Column:
     return F.aes_decrypt(F.unbase64(F.col(c) if isinstance(c, str) else c), F.lit(key), F.lit("GCM")).cast("string")
 
 
-VERIFY = "transcriber-encryption-verify"  # fixed value
+VERIFY = "parlance-verify"
 
 
 def verify_token(key: bytes) -> Column:
