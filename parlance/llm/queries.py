@@ -76,6 +76,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_lm_scores": op2_lm_scores,
@@ -87,6 +93,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
