@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.common import shared_dir, table
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), shared_dir(spark, "ledger"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.alignment import align
 
@@ -93,10 +99,36 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
+    "op11_secret_scan": op11_secret_scan,
     "op13_token_alignment": op13_token_alignment,
 }
 
+def _secrets_sql() -> str:
+    """Matches and the parts between them give every start; a match that fails its rule's condition is dropped."""
+    from parlance.llm.secrets import BASE, RULES
+
+    quoted = lambda s: s.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"""SELECT r, {k} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, '{quoted(rule.pattern)}') AS m, regexp_extract_all(t, '{quoted(rule.pattern)}', {rule.least[0]}) AS g,
+                string_split_regex(t, '{quoted(rule.pattern)}') AS p, {rule.least[1]} AS least FROM d WHERE regexp_matches(t, '{quoted(rule.hint)}')"""
+        for k, rule in enumerate(RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+        f AS ({found}),
+        s AS (SELECT r, k, kind, unnest(range(1, len(m) + 1)) AS i, m, g, p, least FROM f),
+        e AS (SELECT r, k, kind, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
+              FROM s WHERE length(g[i]) >= least),
+        o AS (SELECT r, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (kind IN ({base})) AS b, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans
+              FROM e GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)
+    """
+
+
 SQL: dict[str, str] = {
+    "op11_secret_scan": _secrets_sql(),
     "op1_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
