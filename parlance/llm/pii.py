@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import release, ship, strings, text_or_empty
+from parlance.llm.common import ship, slices, strings, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, fixed by contract.
@@ -42,6 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 WINDOW, CENTRE = 96, 48
 EDGE = (WINDOW - CENTRE) // 2
+SLICE = 4_000_000  # bytes of text that are tagged at once (a longer text alone)
 
 
 def luhn(digits: str) -> bool:
@@ -91,7 +92,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 PUNCTUATION = "@.-+() _%/:,;\"'#$&*!?\n|<>="
 SYMBOLS = 10 + 26 + len(PUNCTUATION) + 2
-_CODE = np.full(128, SYMBOLS - 1, dtype=np.int64)
+_CODE = np.full(128, SYMBOLS - 1, dtype=np.uint8)
 _CODE[48:58] = np.arange(10)
 _CODE[97:123] = _CODE[65:91] = np.arange(10, 36)
 for _i, _c in enumerate(PUNCTUATION):
@@ -104,7 +105,7 @@ _IS_TRIGGER[[*range(10), int(_CODE[ord("@")])]] = True
 def codes(text: str) -> np.ndarray:
     """Symbol of each code point; characters beyond ASCII share one."""
     point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return np.where(point < 128, _CODE[np.minimum(point, 127)], SYMBOLS - 2)
+    return np.where(point < 128, _CODE[np.minimum(point, 127)], np.uint8(SYMBOLS - 2))
 
 
 class Tagger:
@@ -370,17 +371,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(trained())
 
     def find(batches):
-        for batch in batches:
-            texts = strings(batch.column("text")).to_pylist()
-            base, added = [], []
-            for at in range(0, len(texts), 1000):
-                b, a = spans_of(held.value, texts[at : at + 1000])
-                base += b
-                added += a
-                release()
+        for part in (part for batch in batches for part in slices(batch, "text", SLICE)):
+            base, added = spans_of(held.value, strings(part.column("text")).to_pylist())
             n = [[sum(s[0] == k for s in own) for own in base] for k in KINDS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(b + a) for b, a in zip(base, added, strict=True)], pa.string()), pa.array([len(a) for a in added], pa.int64())],
+                [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(b + a) for b, a in zip(base, added, strict=True)], pa.string()), pa.array([len(a) for a in added], pa.int64())],
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
             )
 
@@ -405,23 +400,21 @@ def redact(docs: DataFrame) -> DataFrame:
     held, schema = spark.sparkContext.broadcast(trained()), docs.schema
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for part in (part for batch in batches for part in slices(batch, "text", SLICE)):
+            texts = part.column("text").to_pylist()
             out = list(texts)
-            for at in range(0, len(texts), 1000):
-                part = [t or "" for t in texts[at : at + 1000]]
-                for k, (b, a) in enumerate(zip(*spans_of(held.value, part), strict=True)):
-                    if b or a:
-                        out[at + k] = redact_text(part[k], b + a)
-                release()
+            whole = [t or "" for t in texts]
+            for k, (b, a) in enumerate(zip(*spans_of(held.value, whole), strict=True)):
+                if b or a:
+                    out[k] = redact_text(whole[k], b + a)
             columns = []
-            for name in batch.schema.names:
+            for name in part.schema.names:
                 if name == "text":
                     columns.append(pa.array(out, pa.string()))
                 elif name == "n_chars":
-                    columns.append(pa.array([old if new is same or new is None else len(new) for old, new, same in zip(batch.column(name).to_pylist(), out, texts, strict=True)], batch.column(name).type))
+                    columns.append(pa.array([old if new is same or new is None else len(new) for old, new, same in zip(part.column(name).to_pylist(), out, texts, strict=True)], part.column(name).type))
                 else:
-                    columns.append(batch.column(name))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    columns.append(part.column(name))
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return docs.mapInArrow(run, schema)

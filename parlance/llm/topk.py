@@ -4,7 +4,7 @@ Rows are sparse vectors (terms, integer weights). The stated query set is stored
 blocks of about ``block`` queries, one broadcast at a time whatever their number. Each corpus partition
 turns its rows, a batch at a time, into postings by term; every posting of a query scatters query weight
 x corpus weights into the query's dense score array. Each partition selects its k best per query, the
-selections of a block are merged, and a block's results are stored before the next block goes out.
+selections of a block are merged, and every block appends its results to one folder, which is read once.
 
 Scores are exact: where a bound on them leaves 64 bits, the accumulation runs in Python integers.
 
@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import save, ship
+from parlance.llm.common import clean_shuffles, discard, save, shared_dir, ship
+from parlance.llm.wide import HIGHEST, LIMBS, LOWEST, descending, limbs, saturated
 
 CELLS = 3_000_000
-LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-LIMB = 62
-HALF = (1 << LIMB) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int = 1024) -> DataFrame:
@@ -112,7 +110,9 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int =
     stored = save(spark, queries.select("id", "terms", "weights").withColumn("row", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-stored.count() // block))
     of_block = F.pmod(F.xxhash64("row"), F.lit(blocks))  # about even whatever ids repeat
-    done = []
+    rows, folder = corpus.select("id", "terms", "weights"), shared_dir(spark, "topk")
+    if blocks > 1:
+        rows = save(spark, rows, "corpus")  # read once a block
     for b in range(blocks):
         sent = spark.sparkContext.broadcast(stored.where(of_block == b).orderBy("row").toArrow())
 
@@ -150,20 +150,16 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int =
                 full = np.flatnonzero(n_each == k)
                 floor[full] = best_s[np.cumsum(n_each)[full] - 1]
             # Exact scores travel in three limbs, so the merge orders them as integers too.
-            wide = [int(x) for x in best_s]
-            limbs = [[x >> 2 * LIMB for x in wide], [(x >> LIMB) & HALF for x in wide], [x & HALF for x in wide]]
-            yield pa.RecordBatch.from_pydict({"query_id": qid[best_q], "query_row": qrow[best_q], "id": best_i, **{c: pa.array(x, pa.int64()) for c, x in zip("hml", limbs, strict=True)}})
-
-        part = corpus.select("id", "terms", "weights").mapInArrow(score, "query_id long, query_row long, id long, h long, m long, l long")
-        w = Window.partitionBy("query_id", "query_row").orderBy(F.desc("h"), F.desc("m"), F.desc("l"), F.asc("id"))
-        joined = lambda m: F.shiftleft(m, LIMB).bitwiseOR(F.col("l"))
-        whole = F.when((F.col("h") == 0) & (F.col("m") <= 1), joined(F.col("m"))).when((F.col("h") == -1) & (F.col("m") >= HALF - 1), joined(F.col("m") - (HALF + 1)))
-        whole = whole.when(F.col("h") >= 0, F.lit(int(HIGHEST))).otherwise(F.lit(int(LOWEST)))
-        out = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", whole.alias("score"), "query_row")
-        done.append(out if blocks == 1 else save(spark, out, "block"))
-        if blocks > 1:
-            sent.unpersist()
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+            wide = {c: pa.array(x, pa.int64()) for c, x in limbs(best_s).items()}
+            yield pa.RecordBatch.from_pydict({"query_id": qid[best_q], "query_row": qrow[best_q], "id": best_i, **wide})
+
+        part = rows.mapInArrow(score, f"query_id long, query_row long, id long, {LIMBS}")
+        w = Window.partitionBy("query_id", "query_row").orderBy(*descending(), F.asc("id"))
+        out = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", saturated().alias("score"), "query_row")
+        if blocks == 1:
+            return out
+        with clean_shuffles(spark):
+            out.write.mode("append").parquet(folder)
+        sent.unpersist()
+    discard(spark, stored, rows)
+    return spark.read.schema(out.schema).parquet(folder)

@@ -210,7 +210,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int = 1500
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = y.where("y = 1").orderBy(*by_hash).limit(max_positive).unionByName(y.where("y = 0").orderBy(*by_hash).limit(max_negative))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return own.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # at most max_positive + max_negative rows
+    found = own.join(F.broadcast(picked), "doc_id")  # at most max_positive + max_negative ids
+    # Of an id's rows the one with the smallest hash: repeated ids add no rows.
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", F.col("t.text").alias("text"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, counterfactual: float = 5.0, l2: float = 5e-5, min_g2: float = 14.0, min_df: int = 4, steps: int = 400, **how) -> tuple[dict[str, float], float]:

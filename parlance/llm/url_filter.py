@@ -185,8 +185,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], threshold:
     counts = save(spark, own.groupBy("suffix").agg(F.count("*").alias("c")), "suffixes")
     rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     common = counts.select("suffix", "c", (F.log1p("c") / F.log1p(F.lit(float(max(1, rows))))).alias("common"))
-    top = [(r.common, r.c) for r in common.orderBy(F.desc("c"), "suffix").limit(256).collect()]
-    model = spark.sparkContext.broadcast(train(top, labelled))
+    top = [(r.suffix, r.common, r.c) for r in common.orderBy(F.desc("c"), "suffix").limit(256).collect()]
+    model = spark.sparkContext.broadcast(train([t[1:] for t in top], labelled))
 
     def judge(batches):
         trees = model.value
@@ -196,5 +196,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], threshold:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "said")), pa.array(score)], names=["page_id", "host", "path", "rule", "said", "score"])
 
     kind = dict(own.dtypes)["page_id"]
-    judged = own.join(common.drop("c"), "suffix", "left").select("page_id", "host", "path", "rest", "rule", "said", "url", "common").mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, said string, score double")
+    # The commonest suffixes (256 at most) go out as a broadcast; any other has less than a 256th of the rows.
+    head = F.broadcast(spark.createDataFrame([(suffix, share) for suffix, share, _ in top], "suffix string, common double"))
+    tail = own.join(head.select("suffix"), "suffix", "left_anti").join(common.drop("c"), "suffix", "left")
+    judged = own.join(head, "suffix").unionByName(tail).select("page_id", "host", "path", "rest", "rule", "said", "url", "common").mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, said string, score double")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

@@ -468,3 +468,33 @@ def test_pii_frames(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(pii.joined(own).encode()).hexdigest()
         assert r.n_email == sum(k == "email" for k, _, _ in own)
         assert set(pii.joined(own).split(",")) <= set(r.spans.split(",")) or not own
+
+
+def test_a_labelled_id_of_many_rows_is_one_row_of_the_sample(spark):
+    many = spark.range(100_000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("rude words "), F.col("id") % 7).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(1, "calm"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (4, 0)], "doc_id long, toxic int")
+    got = toxicity.training_sample(docs, labels).collect()
+    assert len({r.doc_id for r in got}) == len(got) <= 3 and {r.doc_id for r in got} >= {1}
+    assert sorted(got) == sorted(toxicity.training_sample(docs.repartition(7), labels).collect())
+
+
+def test_many_long_texts_in_one_batch_are_tagged_in_bounded_memory():
+    """1,000 texts of 120 kB: the tagging's arrays are a slice's, not the batch's."""
+    import tracemalloc
+
+    from parlance.llm.common import slices
+
+    text = ("call (555) 123-4567 now or mail a.b@example.com, " + "words and more words " * 40) * 140
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [text] * 1000})
+    assert len(text) > 115_000
+    tagger, parts = pii.trained(), slices(batch, "text", pii.SLICE)
+    tracemalloc.start()
+    seen = 0
+    for _, part in zip(range(3), parts, strict=False):
+        base, added = pii.spans_of(tagger, part.column("text").to_pylist())
+        seen += part.num_rows
+        assert all(len(b) >= 140 for b in base) and base[0] == base[-1] and added[0] == added[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen < 120 and peak < 500e6
