@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.sources.committed import Conflict, KeyedTable
+
 #: Error of a job that a restart interrupted; fixed value.
 INTERRUPTED = "Task interrupted by server restart. Please retry."
 CHILDREN = ("segments", "speakers", "jobs", "action_results", "meeting_insights")
@@ -118,3 +120,32 @@ def append_polish(meetings: DataFrame, passes: DataFrame) -> DataFrame:
 def crypt_texts(df: DataFrame, columns: list[str], how) -> DataFrame:
     """Text columns through ``how`` (a column function); nulls stay."""
     return df.withColumns({c: how(F.col(c)) for c in columns})
+
+
+def start_committed(table: KeyedTable, wanted: DataFrame, busy: tuple[str, ...] = ("processing", "finalizing")) -> DataFrame:
+    """Compare and set on a committed table: (meeting_id, started) of the wanted recordings that are there.
+
+    The change is committed on top of the version it was decided on. Where another writer was first, it is
+    decided anew on that writer's version, so of two that want a recording one starts it and the other gets False.
+    """
+    while True:
+        version = table.version()
+        asked = start_processing(table.read(version), wanted, busy).join(wanted.select("meeting_id").distinct(), "meeting_id", "left_semi")
+        if asked.where("started").isEmpty():
+            return asked.select("meeting_id", "started")
+        try:
+            table.merge(asked.where("started").drop("started"), expected=version)
+            return asked.select("meeting_id", "started")
+        except Conflict:
+            continue
+
+
+def replace_recordings(table: KeyedTable, rows: DataFrame, by: str = "meeting_id") -> int:
+    """All rows of the recordings in ``rows`` replaced by these, in one version."""
+    while True:
+        version = table.version()
+        old = table.read(version).select(by, *(k for k in table.keys if k != by)).join(rows.select(by).distinct(), by, "left_semi")
+        try:
+            return table.merge(rows, gone=old.join(rows.select(*table.keys), table.keys, "left_anti"), expected=version)
+        except Conflict:
+            continue

@@ -168,7 +168,7 @@ def client_lists(spark, sf):
 
 
 LIVE_SQL = r"""WITH RECURSIVE c AS (SELECT user_id AS recording, event_id AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value * 20 AS loudness, CASE WHEN event_id % 7 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(3.5 AS DOUBLE) END AS stop,
-  trim(CASE WHEN event_id % 13 = 0 THEN '<|x|>' ELSE event_type || ' ' || props END) AS said, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM events v LEFT JOIN embeddings e ON e.vec_id = v.event_id % 500),
+  trim(CASE WHEN event_id % 13 = 0 THEN '<|x|>' ELSE event_type || ' ' || props END) AS said, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM events v LEFT JOIN embeddings e ON e.vec_id = v.event_id % (SELECT max(vec_id) + 1 FROM embeddings)),
 g AS (SELECT *, loudness >= 500 AND NOT contains(said, '<|') AND NOT contains(said, '|>') AND length(said) > 2 AS voiced, (k - 1) * CAST(4 AS DOUBLE) AS clk, list_filter(regexp_split_to_array(said, '\s+'), lambda x: x <> '') AS w FROM c),
 v AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY arrival) AS n FROM g WHERE voiced),
 s AS (SELECT recording, n, arrival, clk, stop, said, w, [e] AS centroids, 1 AS label, CAST([] AS VARCHAR[]) AS before, w AS words FROM v WHERE n = 1 AND stop >= 2 AND e IS NOT NULL AND len(e) > 0
@@ -180,7 +180,7 @@ s AS (SELECT recording, n, arrival, clk, stop, said, w, [e] AS centroids, 1 AS l
   FROM (SELECT y.*, CASE WHEN y.full AND list_max(y.sims) >= 0.45 THEN list_position(y.sims, list_max(y.sims)) END AS best FROM (
     SELECT v.recording, v.n, v.arrival, v.clk, v.stop, v.said, v.w, v.e, s.centroids, s.words, v.stop >= 2 AND v.e IS NOT NULL AND len(v.e) > 0 AS full, list_transform(s.centroids, lambda c: list_cosine_similarity(c, v.e)) AS sims FROM s JOIN v ON v.recording = s.recording AND v.n = s.n + 1) y) x)
 SELECT recording, arrival, 'segment' AS kind, CAST(n AS BIGINT) AS ord, round(clk, 3) AS start_time, round(clk + stop, 3) AS end_time, said AS text, 'Speaker ' || label AS speaker_label, CASE WHEN len(before) > 0 THEN array_to_string(before[-30:], ' ') END AS prompt, clk + 4 AS clock FROM s"""
-POLISH_SQL = """ UNION ALL SELECT recording, arrival, 'polish', p.i, NULL, NULL, NULL, NULL, NULL, clk + 4 FROM g JOIN (SELECT i, CASE WHEN i <= 5 THEN i * 60 ELSE (i - 4) * 300 END AS t FROM range(1, 400) r(i)) p ON clk + 4 >= p.t AND clk < p.t"""
+POLISH_SQL = """ UNION ALL SELECT recording, arrival, 'polish', p.i, NULL, NULL, NULL, NULL, NULL, clk + 4 FROM g JOIN (SELECT i, CASE WHEN i <= 5 THEN i * 60 ELSE (i - 4) * 300 END AS t FROM (SELECT unnest(range(1, 7 + CAST((SELECT max(k) FROM c) // 15 AS BIGINT))) AS i)) p ON clk + 4 >= p.t AND clk < p.t"""
 
 
 @query(LIVE_SQL + POLISH_SQL, views=False)

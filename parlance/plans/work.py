@@ -49,12 +49,12 @@ ANSWERS_SQL = "(SELECT meeting_id, label, name || meeting_id AS name FROM mtg, (
 
 def _voices(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    labels = V.speakers(spark, sf).select("meeting_id", "label", ((F.col("speaker_id") * 7 + 1) % 500).alias("vec_id"))
+    labels = V.speakers(spark, sf).crossJoin(F.broadcast(V.vectors(spark, sf))).select("meeting_id", "label", ((F.col("speaker_id") * 7 + 1) % F.col("vectors")).alias("vec_id"))
     return labels.join(e, "vec_id").select("meeting_id", "label", "embedding")
 
 
 VOICES_SQL = """, longest AS (SELECT meeting_id, lab AS label FROM diar GROUP BY 1, 2 HAVING max(de - ds) >= 2),
-probe AS (SELECT f.meeting_id, f.label, CAST(e.embedding AS DOUBLE[]) AS v FROM found f JOIN longest USING (meeting_id, label) JOIN spk USING (meeting_id, label) JOIN embeddings e ON e.vec_id = (spk.speaker_id * 7 + 1) % 500 WHERE NOT coalesce(f.identified_by = 'intro_llm' AND f.confidence > 0.7, false) AND f.label <> 'UNKNOWN'),
+probe AS (SELECT f.meeting_id, f.label, CAST(e.embedding AS DOUBLE[]) AS v FROM found f JOIN longest USING (meeting_id, label) JOIN spk USING (meeting_id, label) JOIN embeddings e ON e.vec_id = (spk.speaker_id * 7 + 1) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE NOT coalesce(f.identified_by = 'intro_llm' AND f.confidence > 0.7, false) AND f.label <> 'UNKNOWN'),
 hit AS (SELECT b.meeting_id, b.label, p.name, list_cosine_similarity(b.v, p.e) AS c FROM probe b, p QUALIFY row_number() OVER (PARTITION BY b.meeting_id, b.label ORDER BY c DESC, CAST(p.profile_id AS VARCHAR)) = 1),
 voiced AS (SELECT f.meeting_id, f.label, CASE WHEN c >= 0.55 THEN h.name ELSE f.display_name END AS display_name, CASE WHEN c >= 0.55 THEN 'voice_profile' ELSE f.identified_by END AS identified_by, CASE WHEN c >= 0.55 THEN round_even(c, 3) ELSE f.confidence END AS confidence, f.color FROM found f LEFT JOIN hit h USING (meeting_id, label))"""
 

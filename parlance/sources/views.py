@@ -60,11 +60,16 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 2 = 1").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many ids the vectors span, to deal them out to other tables."""
+    return table(spark, sf_dir, "embeddings").agg((F.coalesce(F.max("vec_id"), F.lit(0)) + 1).alias("vectors"))
+
+
 def live_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live chunks of a recording (user) in arrival order (event_id): 4 seconds each, one utterance."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    v = table(spark, sf_dir, "events")
-    return v.withColumn("vec_id", F.col("event_id") % 500).join(e, "vec_id", "left").select(
+    v = table(spark, sf_dir, "events").crossJoin(F.broadcast(vectors(spark, sf_dir)))  # one row
+    return v.withColumn("vec_id", F.col("event_id") % F.col("vectors")).join(e, "vec_id", "left").select(
         F.col("user_id").alias("recording"), F.col("event_id").alias("arrival"), F.lit(4.0).alias("seconds"), (F.col("value") * 20).alias("loudness"),
         F.lit(0.0).alias("start"), F.when(F.col("event_id") % 7 == 0, 1.5).otherwise(3.5).alias("end"), F.when(F.col("event_id") % 13 == 0, F.lit("<|x|>")).otherwise(F.concat_ws(" ", "event_type", "props")).alias("text"), "embedding",
     )

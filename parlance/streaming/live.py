@@ -1,15 +1,16 @@
 """Live recordings: chunks in arrival order, with state per recording.
 
 ``LiveState`` holds what a recording needs between chunks: its audio clock, utterance counter, speaker
-centroids in order of creation, the last words said, and the number of polish passes. One ``step``
-serves both the batch fold (``live_batch``) and the stream (``LiveProcessor`` under
-``transformWithStateInPandas``), so both give the same rows. State survives restarts with the
-checkpoint: a reconnect goes on where the recording stopped.
+centroids in order of creation, the last words said, and the number of polish passes. The batch fold
+(``live_batch``) and the stream (``LiveProcessor`` under ``transformWithStateInPandas``) share its rules, so
+both give the same rows. The stream keeps clock and counters in a value state, centroids in a map state and
+words in a list state; a batch writes only the centroids that it has moved. A chunk with ``stop`` set ends the
+recording: it gives a row of its own and clears the state. State survives restarts with the checkpoint: a
+reconnect goes on where the recording stopped.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from parlance.streaming.replay import ROCKSDB  # noqa: F401
+
 #: Gate, durations and thresholds; fixed values.
 SILENCE, SHORT, LEAST_AUDIO, SAME, KEEP, BUFFER, PROMPT = 500.0, 2.0, 1.0, 0.45, 0.7, 60, 30
 
@@ -26,31 +29,31 @@ INPUT = ["recording", "arrival", "seconds", "loudness", "start", "end", "text",
 
 
 class LiveState:
-    def __init__(self, saved: str | None = None):
-        s = json.loads(saved) if saved else {}
-        self.clock, self.count, self.polished = s.get("clock", 0.0), s.get("count", 0), s.get("polished", 0)
-        self.words: list[str] = s.get("words", [])
-        self.centroids: list[list[float]] = s.get("centroids", [])
+    """What a recording needs between chunks; ``moved`` holds the centroids that have changed."""
 
-    def saved(self) -> str:
-        return json.dumps({"clock": self.clock, "count": self.count, "polished": self.polished, "words": self.words, "centroids": self.centroids})
+    def __init__(self, clock: float = 0.0, count: int = 0, polished: int = 0, words: list[str] | None = None, centroids: list[np.ndarray] | None = None):
+        self.clock, self.count, self.polished, self.words = clock, count, polished, words or []
+        self.centroids = np.array(centroids) if centroids else np.zeros((0, 0))
+        self.norms = np.linalg.norm(self.centroids, axis=1) if centroids else np.zeros(0)
+        self.moved: set[int] = set()
 
     def speaker(self, length: float, audio: float, embedding) -> str:
         """Label of an utterance: the most similar centroid, a new one, or the newest if it is too short."""
         if length < SHORT or audio < LEAST_AUDIO or embedding is None or not len(embedding):
             return f"Speaker {max(1, len(self.centroids))}"
         e = np.asarray(embedding, dtype=np.float64)
-        best, sim = -1, 0.0
-        for i, c in enumerate(self.centroids):
-            c = np.asarray(c)
-            n = np.linalg.norm(e) * np.linalg.norm(c)
-            s = float(e @ c / n) if n else 0.0
-            if s > sim:
-                best, sim = i, s
-        if best >= 0 and sim >= SAME:
-            self.centroids[best] = (np.asarray(self.centroids[best]) * KEEP + e * (1 - KEEP)).tolist()
-            return f"Speaker {best + 1}"
-        self.centroids.append(e.tolist())
+        if len(self.centroids):
+            norms = self.norms * np.linalg.norm(e)
+            sims = np.divide(self.centroids @ e, norms, out=np.zeros(len(norms)), where=norms > 0)
+            best = int(sims.argmax())
+            if sims[best] > 0 and sims[best] >= SAME:
+                self.centroids[best] = self.centroids[best] * KEEP + e * (1 - KEEP)
+                self.norms[best] = np.linalg.norm(self.centroids[best])
+                self.moved.add(best)
+                return f"Speaker {best + 1}"
+        self.centroids = np.vstack([self.centroids, e]) if len(self.centroids) else e[None].copy()
+        self.norms = np.append(self.norms, np.linalg.norm(e))
+        self.moved.add(len(self.norms) - 1)
         return f"Speaker {len(self.centroids)}"
 
     def said(self, recording, arrival, seconds, at, start, end, text, embedding, clock) -> tuple:
@@ -80,33 +83,52 @@ class LiveState:
             yield self.said(recording, arrival, seconds, at, start, end, text, embedding, self.clock)
         yield from self.mark(recording, arrival, self.clock)
 
+    def stopped(self, recording, arrival) -> tuple:
+        """The row of a recording's end: its utterances and length."""
+        return (recording, arrival, "stopped", self.count, None, None, None, None, None, self.clock)
+
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")])
 
 
-def _fold(state: LiveState, frame: pd.DataFrame) -> list[tuple]:
-    out: list[tuple] = []
-    for row in frame.sort_values("arrival")[INPUT].itertuples(index=False):
-        out += state.step(*row)
-    return out
-
-
 def _voiced(text: Column, loudness: Column) -> Column:
     """The gate of ``LiveState.step`` as a column: loud enough, and not a leaked token or next to nothing."""
     return F.coalesce((loudness >= SILENCE) & (F.length(text) > 2) & ~text.contains("<|") & ~text.contains("|>"), F.lit(False))
 
 
+def _with_stop(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*INPUT, (F.coalesce("stop", F.lit(False)) if "stop" in chunks.columns else F.lit(False)).alias("stop"))
+
+
+def polish_marks(heard: DataFrame) -> DataFrame:
+    """Polish marks of ``heard(recording, part, arrival, clock)``: pass j comes with the first chunk that reaches its time, at most one a chunk.
+
+    With f(j) the first chunk that reaches pass j's time, pass j comes with chunk j + max(f(i) - i) over i up to j.
+    """
+    w = Window.partitionBy("recording", "part").orderBy("arrival")
+    due = F.least(F.floor(F.col("clock") / 60), F.lit(5)) + F.greatest(F.floor(F.col("clock") / 300) - 1, F.lit(0))
+    rows = heard.withColumns({"n": F.row_number().over(w), "due": due}).withColumn("late", F.coalesce(F.lag("due").over(w), F.lit(0)))
+    passes = rows.where(F.col("due") > F.col("late")).select("recording", "part", F.col("n").alias("f"), F.explode(F.sequence(F.col("late") + 1, F.col("due"))).alias("ord"))
+    order = Window.partitionBy("recording", "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = passes.select("recording", "part", "ord", (F.col("ord") + F.max(F.col("f") - F.col("ord")).over(order)).alias("n"))
+    return rows.select("recording", "part", "n", "arrival", "clock").join(placed, ["recording", "part", "n"])
+
+
 def live_batch(chunks: DataFrame) -> DataFrame:
     """All recordings folded in arrival order, as the stream does it.
 
-    Clock and gate are columns; only what depends on all before it goes through Python: voiced chunks for
-    speakers and prompts, and the clock alone for the polish marks.
+    Clock, gate, marks and ends are columns; only what depends on all before it goes through Python: voiced
+    chunks for speakers and prompts. ``part`` counts the stops before a chunk.
     """
     w = Window.partitionBy("recording").orderBy("arrival")
-    heard = chunks.select(*INPUT).where(F.col("seconds").isNotNull() & ~F.isnan("seconds"))
-    heard = heard.withColumn("clock", F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    heard = heard.withColumn("at", F.coalesce(F.lag("clock").over(w), F.lit(0.0))).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    every = _with_stop(chunks).withColumn("part", F.coalesce(F.sum(F.col("stop").cast("long")).over(before), F.lit(0)))
+    heard = every.where(F.col("stop") | (F.col("seconds").isNotNull() & ~F.isnan("seconds"))).withColumn("seconds", F.when(~F.col("stop"), F.col("seconds")).otherwise(F.lit(0.0)))
+    own = Window.partitionBy("recording", "part").orderBy("arrival")
+    heard = heard.withColumn("clock", F.sum("seconds").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    heard = heard.withColumn("at", F.coalesce(F.lag("clock").over(own), F.lit(0.0))).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    voiced = _voiced(F.col("text"), F.col("loudness")) & ~F.col("stop")
 
     def segments(frame: pd.DataFrame) -> pd.DataFrame:
         state, out = LiveState(), []
@@ -114,68 +136,95 @@ def live_batch(chunks: DataFrame) -> DataFrame:
             out.append(state.said(r.recording, r.arrival, r.seconds, r.at, r.start, r.end, r.text, r.embedding, r.clock))
         return _frame(out)
 
-    def marks(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = LiveState(), []
-        frame = frame.sort_values("arrival")
-        for recording, arrival, clock in zip(frame["recording"].tolist(), frame["arrival"].tolist(), frame["clock"].tolist(), strict=True):
-            out += state.mark(recording, arrival, clock)
-        return _frame(out)
-
-    spoken = heard.where(_voiced(F.col("text"), F.col("loudness"))).drop("loudness").groupBy("recording").applyInPandas(segments, OUTPUT)
-    return spoken.unionByName(heard.select("recording", "arrival", "clock").groupBy("recording").applyInPandas(marks, OUTPUT))
+    null = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, kind: df.select("recording", "arrival", F.lit(kind).alias("kind"), F.col("ord").cast("long").alias("ord"), *(null(t).alias(c) for c, t in (("start_time", "double"), ("end_time", "double"), ("text", "string"), ("speaker_label", "string"), ("prompt", "string"))), "clock")
+    spoken = heard.where(voiced).drop("loudness", "stop").groupBy("recording", "part").applyInPandas(segments, OUTPUT)
+    marks = polish_marks(heard.where(~F.col("stop")).select("recording", "part", "arrival", "clock"))
+    ends = heard.withColumn("ord", F.sum(voiced.cast("long")).over(own)).where("stop")
+    return spoken.unionByName(row(marks, "polish")).unionByName(row(ends, "stopped"))
 
 
 class LiveProcessor(StatefulProcessor):
+    """``keep_ms``: a recording that is silent for so long loses its state; None keeps it until it is stopped."""
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle) -> None:
-        self.state = handle.getValueState("live", "saved string")
+        self.book = handle.getValueState("book", "clock double, count long, polished int, speakers int", self.keep_ms)
+        self.centroids = handle.getMapState("centroids", "label int", "centroid array<double>", self.keep_ms)
+        self.words = handle.getListState("words", "word string", self.keep_ms)
+
+    def _load(self) -> LiveState:
+        held = self.book.get()
+        if held is None:
+            return LiveState()
+        clock, count, polished, speakers = held
+        return LiveState(clock, count, polished, [w[0] for w in self.words.get()], [np.array(self.centroids.getValue((i,))[0]) for i in range(speakers)])
+
+    def _clear(self) -> None:
+        for state in (self.book, self.centroids, self.words):
+            state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        live = LiveState(held[0] if held else None)
-        out = _fold(live, pd.concat(list(rows)))
-        self.state.update((live.saved(),))
+        live, said, ended, out = self._load(), 0, False, []
+        for row in pd.concat(list(rows)).sort_values("arrival")[[*INPUT, "stop"]].itertuples(index=False):
+            if row.stop:
+                out.append(live.stopped(row.recording, row.arrival))
+                live, said, ended = LiveState(), 0, True
+                continue
+            had = live.count
+            out += live.step(*row[:-1])
+            said += live.count - had
+        if ended:
+            self._clear()
+        if live.clock or not ended:
+            self.book.update((live.clock, live.count, live.polished, len(live.centroids)))
+            for i in live.moved:
+                self.centroids.updateValue((i,), (live.centroids[i].tolist(),))
+            if said:
+                self.words.put([(w,) for w in live.words])
         yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
-def live_stream(chunks: DataFrame) -> DataFrame:
-    """The same over a stream; the state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``)."""
-    return chunks.select(*INPUT).groupBy("recording").transformWithStateInPandas(LiveProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+def live_stream(chunks: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """The same over a stream; the state store must be RocksDB (``ROCKSDB``)."""
+    how = "ProcessingTime" if keep_ms else "None"
+    return _with_stop(chunks).groupBy("recording").transformWithStateInPandas(LiveProcessor(keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode=how)
 
 
-ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.withWatermark("ts", late) if e.isStreaming else e
 
 
-def upsert_sink(path: str, *keys: str, buckets: int = 16):
-    """``foreachBatch`` writer that merges by key across batches: rows of a batch replace stored ones of equal keys.
+def windows(events: DataFrame, length: str = "4 seconds", late: str = "10 minutes") -> DataFrame:
+    """Tumbling windows over event time with a watermark (batch or stream): count and mean loudness."""
+    g = _timed(events, late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
 
-    The table is partitioned by a bucket of its keys; a batch rewrites the buckets it touches, from a stored
-    copy of the merge. A batch that is tried again gives the same table, so retries neither lose nor repeat rows.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(list(keys)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        held, merged = f"{path}/rows", f"{path}/batch"
-        at = spark._jvm.org.apache.hadoop.fs.Path(held)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            old = spark.read.schema(new.schema).parquet(held).join(new.select("bucket").distinct(), "bucket", "left_semi")
-            new = old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(merged)
-        stored = spark.read.schema(new.schema).parquet(merged)
-        stored.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(held)
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Spells of a user's events with no gap of ``gap`` between them; late events are dropped by the watermark."""
+    g = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
 
-    return write
 
+def delivered_once(messages: DataFrame, *keys: str, late: str = "10 minutes") -> DataFrame:
+    """Each message once, however often it is delivered within the watermark's delay."""
+    m = _timed(messages, late)
+    return m.dropDuplicatesWithinWatermark(list(keys)) if m.isStreaming else m.dropDuplicates(list(keys))
 
-def windows(events: DataFrame, length: str = "4 seconds", late: str = "10 minutes") -> DataFrame:
-    """Tumbling windows over event time with a watermark (batch or stream): count and mean loudness."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    e = e.withWatermark("ts", late) if e.isStreaming else e
-    g = e.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
-    return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
+
+def transcribed(chunks: DataFrame, transcripts: DataFrame, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Chunks with the transcripts that follow within so long in the same recording; both sides' state ends by their watermarks."""
+    c = _timed(chunks, late).select("recording", "chunk_id", F.col("ts").alias("chunk_ts"))
+    t = _timed(transcripts, late).select(F.col("recording").alias("_recording"), "transcript_id", F.col("ts").alias("transcript_ts"))
+    near = (F.col("recording") == F.col("_recording")) & (F.col("transcript_ts") >= F.col("chunk_ts")) & (F.col("transcript_ts") < F.col("chunk_ts") + F.expr(f"INTERVAL {within}"))
+    return c.join(t, near).drop("_recording")
 
 
 #: Message types that a live client gets; fixed values.

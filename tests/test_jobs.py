@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from parlance.functions import learned, office
 from parlance.operators import jobs, mutate
 from parlance.sources import readers
-from parlance.streaming import live
 
 HEARD = "meeting_id long, ord long, text string, start_time double, end_time double, confidence double"
 TURNS = "meeting_id long, di long, ds double, de double, lab string"
@@ -68,15 +67,6 @@ def test_new_speakers_go_on_with_the_colours(spark):
     assert again.count() == 4  # the same chunk twice makes nothing new
 
 
-def test_sink_merges_by_key_and_survives_retries(spark, tmp_path):
-    write = live.upsert_sink(str(tmp_path), "k", buckets=3)
-    batch = lambda rows: spark.createDataFrame(rows, "k long, v string")
-    write(batch([(1, "a"), (2, "b")]), 0)
-    for _ in range(2):
-        write(batch([(2, "c"), (3, "d"), (3, "d")]), 1)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [(1, "a"), (2, "c"), (3, "d")]
-
-
 def test_files(spark):
     blocks = [("heading", 1, "T & <x>"), ("note", 0, "Duration: 1:00"), ("paragraph", 0, "a\nb \x01é " + "w" * 400)] + [("paragraph", 0, "many words " * 60)] * 40
     assert office.docx_text(office.docx(blocks))[:3] == ["T & <x>", "Duration: 1:00", "a\nb é " + "w" * 400]

@@ -368,20 +368,6 @@ def test_live_rules(spark):
     assert got[1].prompt == "hello there"
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = chunk_rows()
-    for i in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 9 == i], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.conf.set(*live.ROCKSDB)
-    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.live_stream(src).writeStream.foreachBatch(live.upsert_sink(str(tmp_path / "out"), "recording", "arrival", "kind")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    cols = ["recording", "arrival", "kind", "ord", "start_time", "end_time", "text", "speaker_label", "prompt", "clock"]
-    key = lambda df: sorted(map(str, df.select(*cols).collect()))
-    assert key(spark.read.parquet(str(tmp_path / "out" / "rows"))) == key(live.live_batch(spark.createDataFrame(rows, SCHEMA)))
-    assert live.relayed(spark.createDataFrame([('{"type": "error"}',), ('{"type": "x"}',)], "value string")).count() == 1
-
-
 def test_rolling_prompt_and_clock(spark):
     p = chunks.rolling_prompt(segs(spark, [(0, 1, " ".join(f"w{i}_{j}" for j in range(20)), 1) for i in range(3)])).orderBy("ord").collect()
     assert p[0].prompt is None and len(p[1].prompt.split()) == 20 and p[2].prompt.split()[0] == "w0_10" and len(p[2].prompt.split()) == 30
