@@ -33,25 +33,30 @@ def learned_terms(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([corrected_phrases(a, b) for a, b in zip(old, new, strict=True)])
 
 
-def balanced(text: str, at: int) -> str | None:
-    """The bracketed span that opens at ``at``, by depth; brackets inside of strings do not count."""
-    depth, inside = 0, False
-    k = at
-    while k < len(text):
-        c = text[k]
-        if inside:
-            k += c == "\\"
-            inside = c != '"'
-        elif c == '"':
-            inside = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if not depth:
-                return text[at : k + 1]
-        k += 1
-    return None
+def bracketed(text: str) -> list[tuple[int, int]]:
+    """Bracketed spans by depth, by their start; brackets inside of strings do not count.
+
+    One pass with a stack. A quote that nothing closes opens no string: the pass goes on behind it, once more.
+    """
+    spans, at = [], 0
+    for _ in range(2):
+        stack, quote, k = [], None, at
+        while k < len(text):
+            c = text[k]
+            if quote is not None:
+                k += c == "\\"
+                quote = None if c == '"' else quote
+            elif c == '"':
+                quote = k if stack else None  # a string stands in a value
+            elif c in "[{":
+                stack.append(k)
+            elif c in "]}" and stack:
+                spans.append((stack.pop(), k + 1))
+            k += 1
+        if quote is None:
+            break
+        at = quote + 1
+    return sorted(set(spans), key=lambda s: (s[0], -s[1]))
 
 
 def json_spans(text: str) -> Iterator[str]:
@@ -59,15 +64,22 @@ def json_spans(text: str) -> Iterator[str]:
     yield text
     inner = text.split("```")[1:]
     yield from (re.sub(r"\A\s*(json)?\s*", "", x) for x in inner if re.match(r"\s*(json)?\s*[\[{]", x))
-    yield from filter(None, (balanced(text, m.start()) for m in re.finditer(r"[\[{]", text)))
+    yield from (text[a:b] for a, b in bracketed(text))
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
 def recovered_json(text: str | None) -> str | None:
-    """The JSON value in a model's answer, as compact text; null if there is none. Thoughts are not searched."""
+    """The JSON value in a model's answer, as compact text with sorted keys; null if there is none.
+
+    Thoughts are not searched. Numbers that are not finite are no JSON, written as such or too large.
+    """
     for span in json_spans(re.sub(r"(?s)<think>.*?</think>", "", text or "").strip()):
         try:
-            return json.dumps(json.loads(span), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
+            return json.dumps(json.loads(span, parse_constant=_refuse), ensure_ascii=False, separators=(",", ":"), sort_keys=True, allow_nan=False)
+        except (ValueError, RecursionError):
             pass
     return None
 
@@ -78,10 +90,8 @@ def json_from_answer(text: pd.Series) -> pd.Series:
 
 
 def answer_json(text) -> Column:
-    """Plain JSON answers are kept by the JVM's own parser; Python gets a null for them, and the text of the rest."""
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
-    plain = F.to_json(F.try_parse_json(t))
-    return F.coalesce(plain, json_from_answer(F.when(plain.isNull(), t)))
+    """``recovered_json`` of a column: one writer, however the value is wrapped."""
+    return json_from_answer(F.col(text) if isinstance(text, str) else text)
 
 
 # --- inline marks and blocks: built-in functions only -------------------------------------------------
@@ -104,7 +114,9 @@ def inline_runs(text) -> Column:
 
     none = F.array().cast("array<struct<text:string,bold:boolean,italic:boolean,plain:boolean>>")
     joined = F.aggregate(F.transform(tokens, run), none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(join(done, r)))
-    return F.transform(joined, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic")))
+    # Only a star without a partner leaves text beside text, so most texts need no fold.
+    runs = F.when(F.exists(tokens, lambda t: t == "*"), joined).otherwise(F.transform(tokens, run))
+    return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic")))
 
 
 #: Kinds of a protocol's lines, the first that fits; fixed values.

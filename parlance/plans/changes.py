@@ -8,7 +8,7 @@ from parlance import schemas
 from parlance.functions import exprs as X
 from parlance.functions import learned
 from parlance.operators import chunks, jobs, mutate, speakers, vocabulary
-from parlance.plans.registry import query
+from parlance.plans.registry import query, told_apart
 from parlance.sources import views as V
 from parlance.streaming import live
 
@@ -55,15 +55,14 @@ def vocabulary_merge(spark, sf):
     return vocabulary.merge_terms(count(p.where("p_partkey % 2 = 0"), F.col("p_brand")), count(p, F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_type"))))
 
 
-@query(r""", e AS (SELECT meeting_id, ord, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM seg WHERE meeting_id % 4 <> 0 AND NOT contains(text, 'Q')), n AS (
-SELECT term, count(*) AS frequency, min(meeting_id) AS source FROM (SELECT meeting_id, 'Qx' || ord % 3 AS term FROM e WHERE len(w) BETWEEN 1 AND 150 UNION ALL SELECT meeting_id, 'Qy Zoë' FROM e WHERE len(w) BETWEEN 1 AND 150) GROUP BY 1), o AS (SELECT 'Qx0' AS term, 5 AS frequency, -1 AS source UNION ALL SELECT 'kept', 2, -2)
+@query(r""", e AS (SELECT meeting_id, ord, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM seg WHERE meeting_id % 4 <> 0), """ + told_apart("e", "meeting_id, ord", 0, 3) + r""", n AS (
+SELECT term, count(*) AS frequency, min(meeting_id) AS source FROM (SELECT meeting_id, 'Qx' || ord % 3 AS term FROM good UNION ALL SELECT meeting_id, 'Qy Zoë' FROM good) GROUP BY 1), o AS (SELECT 'Qx0' AS term, 5 AS frequency, -1 AS source UNION ALL SELECT 'kept', 2, -2)
 SELECT term, coalesce(o.frequency, 0) + coalesce(n.frequency, 0) AS frequency, CASE WHEN o.term IS NULL THEN n.source ELSE o.source END AS source_meeting_id FROM o FULL JOIN n USING (term)""")
 def edit_learning(spark, sf):
-    """Edits that put a word before and two after short texts; encrypted recordings teach nothing."""
+    """Edits that put a word before and two after texts of any length; encrypted recordings teach nothing."""
     s = V.segments(spark, sf).withColumn("original_text", F.col("text"))
     m = V.meetings(spark, sf).withColumn("is_encrypted", F.col("meeting_id") % 4 == 0)
-    w = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
-    edits = s.where(~F.col("text").contains("Q") & F.size(w).between(1, 150)).select("meeting_id", "ord", F.concat(F.lit("Qx"), F.col("ord") % 3, F.lit(" "), "text", F.lit(" Qy Zoë")).alias("text"))
+    edits = s.select("meeting_id", "ord", F.concat(F.lit("Qx"), F.col("ord") % 3, F.lit(" "), "text", F.lit(" Qy Zoë")).alias("text"))
     entries = spark.createDataFrame([("Qx0", 5, -1), ("kept", 2, -2)], "term string, frequency long, source_meeting_id long")
     return jobs.edit_and_learn(s, edits, m, entries)[1]
 

@@ -112,10 +112,12 @@ def storage_listing(spark, sf):
     return readers.listed(o)
 
 
-@query("SELECT vec_id, 4 * len(embedding) AS bytes, true AS same FROM embeddings WHERE embedding IS NOT NULL", views=False)
+@query("SELECT vec_id, 4 * len(embedding) AS bytes, round(list_sum(list_transform(embedding, lambda x, i: i * CAST(x AS DOUBLE))), 9) AS digest FROM embeddings WHERE embedding IS NOT NULL", views=False)
 def vector_blobs(spark, sf):
+    """Vectors as stored bytes and read back: every component counts by its place."""
     e = V.table(spark, sf, "embeddings").where("embedding is not null").withColumn("blob", readers.vector_blob("embedding"))
-    return e.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), (readers.blob_vector("blob") == F.col("embedding")).alias("same"))
+    back = F.transform(readers.blob_vector("blob"), lambda x, i: (i + 1) * x.cast("double"))
+    return e.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 9).alias("digest"))
 
 
 @query("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity / 8 AS a, l_quantity / 8 + l_linenumber AS b, CAST(l_quantity * 4000 AS BIGINT) AS size FROM lineitem),
@@ -126,12 +128,12 @@ def pcm_positions(spark, sf):
     return t.select("k", "n", live.pcm_seconds("size").alias("seconds"), live.pcm_bounds("a", "b", "size").alias("x")).select("k", "n", "seconds", F.col("x.first"), F.col("x.last"))
 
 
-@query("SELECT doc_id, md5(substring(text, 1 + 2 * (doc_id % 5) * 1600, 3200)) AS slice FROM documents WHERE text IS NOT NULL AND length(text) = octet_length(encode(text))", views=False)
+@query("SELECT doc_id, md5(substring(hex(encode(text)), 1 + 4 * (doc_id % 5) * 1600, 6400)) AS slice FROM documents WHERE text IS NOT NULL", views=False)
 def audio_slices(spark, sf):
-    """Slices of a byte column at sample positions (ASCII texts stand for audio)."""
-    d = V.table(spark, sf, "documents").where("text is not null and length(text) = octet_length(text)")
+    """Slices of a byte column at sample positions (the bytes of texts stand for audio)."""
+    d = V.table(spark, sf, "documents").where("text is not null")
     d = d.select("doc_id", F.col("text").cast("binary").alias("audio"), ((F.col("doc_id") % 5) / 10.0).alias("a"), ((F.col("doc_id") % 5) / 10.0 + 0.1).alias("b"))
-    return live.pcm_slice(d, "audio", "a", "b").select("doc_id", F.md5("slice").alias("slice"))
+    return live.pcm_slice(d, "audio", "a", "b").select("doc_id", F.md5(F.hex("slice")).alias("slice"))
 
 
 @query("""SELECT l_orderkey AS k, avg(l_quantity) / 128 AS level FROM lineitem GROUP BY 1""", views=False)

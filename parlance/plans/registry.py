@@ -29,3 +29,10 @@ def query(sql: str | None = None, views: bool = True):
         return f
 
     return add
+
+
+def told_apart(words: str, key: str, skip: int, more: int) -> str:
+    """CTEs ``rare`` and ``good``: rows of ``words(key, w)`` whose equal words are found again. The diff leaves words out that make up over 1 % of 200 or more."""
+    n = f"len(w) + {more}"
+    return f"""u AS (SELECT {key}, unnest(w[{skip + 1}:]) AS x FROM {words}), rare AS (SELECT {key}, min(c) AS least FROM (SELECT {key}, x, count(*) AS c FROM u GROUP BY ALL) GROUP BY {key}),
+good AS (SELECT * FROM {words} JOIN rare USING ({key}) WHERE {n} < 200 OR least <= ({n}) // 100 + 1)"""

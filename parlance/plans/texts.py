@@ -8,7 +8,7 @@ from parlance import schemas
 from parlance.functions import learned, office
 from parlance.operators import analytics, chunks, jobs, models, mutate, render, speakers, vocabulary
 from parlance.plans.catalogue import CHUNK_SQL, NAME_SQL, SHORT_SQL
-from parlance.plans.registry import query
+from parlance.plans.registry import query, told_apart
 from parlance.sources import views as V
 
 
@@ -20,7 +20,7 @@ def export_json(spark, sf):
 
 PROTOCOL = "# **Protocol**\n\n§ 1 Opening\nOpened **on time**\nby *all*.\n---\n- DECISION: go\n1. one\nACTION: write\nplain\nACTION: joined\n#tag\nmore\n\n"
 PROTOCOL_SQL = f""", t AS (SELECT s.meeting_id, '{PROTOCOL}' || string_agg('[' || coalesce(p.display_name, p.label, 'Unknown') || ']: ' || text, chr(10) ORDER BY ord) AS md FROM seg s LEFT JOIN spk p USING (meeting_id, speaker_id) GROUP BY 1),
-l AS (SELECT meeting_id, i - 1 AS pos, trim(string_split(md, chr(10))[i]) AS line FROM t, range(1, 2000) r(i) WHERE i <= len(string_split(md, chr(10)))),
+l AS (SELECT meeting_id, i - 1 AS pos, trim(p[i]) AS line FROM (SELECT meeting_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT meeting_id, string_split(md, chr(10)) AS p FROM t))),
 k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_full_match(line, '-{{3,}}|\\*{{3,}}|_{{3,}}') THEN 'rule' WHEN regexp_full_match(line, '#{{1,4}}\\s+.*') THEN 'heading' WHEN regexp_full_match(line, '§\\s*\\d+.*') THEN 'section' WHEN regexp_full_match(line, '[-*]\\s+.*') THEN 'bullet'
   WHEN regexp_full_match(line, '\\d+\\.\\s+.*') THEN 'number' WHEN contains(line, 'DECISION:') THEN 'decision' WHEN contains(line, 'ACTION:') THEN 'action' ELSE 'paragraph' END AS kind,
   line = '' OR line LIKE '#%' OR line LIKE '- %' OR line LIKE '* %' OR regexp_matches(line, '^\\d+\\.\\s|^§\\s*\\d+') OR regexp_full_match(line, '-{{3,}}|\\*{{3,}}|_{{3,}}') AS breaks FROM l),
@@ -39,16 +39,17 @@ def protocol_blocks(spark, sf):
     return rows.select("meeting_id", F.col("block").cast("long").alias("block"), "kind", "level", "mark", "text")
 
 
-@query(r"""WITH t AS (SELECT doc_id, 'a ' || regexp_replace(substring(text, 1, 200), '(\w+) (\w+) (\w+)', '**\1** *\2* ***\3***', 'g') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '*') AND NOT contains(substring(text, 1, 200), chr(10))),
-x AS (SELECT doc_id, regexp_extract_all(t, '\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*|[^*]+') AS x FROM t)
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS run, trim(x[i], '*') AS text, x[i] LIKE '**%' AS bold, (x[i] LIKE '*%' AND x[i] NOT LIKE '**%') OR x[i] LIKE '***%' AS italic FROM x, range(1, 200) r(i) WHERE i <= len(x)""", views=False)
+@query(r"""WITH l AS (SELECT doc_id, n, 'a ' || regexp_replace(translate(s[n], '*', '+'), '(\w+) (\w+) (\w+)', '**\1** *\2* ***\3***', 'g') AS t FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+x AS (SELECT doc_id, n, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, n, regexp_extract_all(t, '\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*|[^*]+') AS x FROM l))
+SELECT doc_id, CAST(n - 1 AS INTEGER) AS line, CAST(i - 1 AS INTEGER) AS run, trim(x[i], '*') AS text, x[i] LIKE '**%' AS bold, (x[i] LIKE '*%' AND x[i] NOT LIKE '**%') OR x[i] LIKE '***%' AS italic FROM x""", views=False)
 def inline_marks(spark, sf):
-    d = V.table(spark, sf, "documents").where(~F.col("text").contains("*") & ~F.substring("text", 1, 200).contains("\n"))
-    t = F.concat(F.lit("a "), F.regexp_replace(F.substring("text", 1, 200), r"(\w+) (\w+) (\w+)", "**$1** *$2* ***$3***"))
-    return d.select("doc_id", F.posexplode(learned.inline_runs(t)).alias("run", "r")).select("doc_id", "run", "r.*")
+    """Marked runs of every line of every document; a document's own stars become plus signs first."""
+    d = V.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    t = F.concat(F.lit("a "), F.regexp_replace(F.translate("s", "*", "+"), r"(\w+) (\w+) (\w+)", "**$1** *$2* ***$3***"))
+    return d.select("doc_id", "line", F.posexplode(learned.inline_runs(t)).alias("run", "r")).select("doc_id", "line", "run", "r.*")
 
 
-@query("SELECT doc_id AS result_id, i - 1 AS block, CASE WHEN regexp_matches(l, '^#{1,3} ') THEN length(regexp_extract(l, '^(#{1,3}) ', 1)) ELSE 0 END AS level, CASE WHEN regexp_matches(l, '^#{1,3} ') THEN regexp_replace(l, '^#{1,3} ', '') ELSE l END AS text FROM (SELECT doc_id, i, CASE i % 3 WHEN 0 THEN repeat('#', CAST(1 + i % 4 AS INTEGER)) || ' ' ELSE '' END || s[i] AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), range(1, 3000) r(i) WHERE i <= len(s))", views=False)
+@query("SELECT doc_id AS result_id, i - 1 AS block, CASE WHEN regexp_matches(l, '^#{1,3} ') THEN length(regexp_extract(l, '^(#{1,3}) ', 1)) ELSE 0 END AS level, CASE WHEN regexp_matches(l, '^#{1,3} ') THEN regexp_replace(l, '^#{1,3} ', '') ELSE l END AS text FROM (SELECT doc_id, i, CASE i % 3 WHEN 0 THEN repeat('#', CAST(1 + i % 4 AS INTEGER)) || ' ' ELSE '' END || s[i] AS l FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)))", views=False)
 def action_blocks(spark, sf):
     d = V.table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("result_id"), F.split("text", "\n").alias("s"))
     head = lambda x, i: F.concat(F.when((i + 1) % 3 == 0, F.concat(F.repeat(F.lit("#"), (1 + (i + 1) % 4).cast("int")), F.lit(" "))).otherwise(""), x)
@@ -95,11 +96,14 @@ def export_files(spark, sf):
     return f.select("meeting_id", F.md5(office.docx_paragraphs("docx")).alias("docx_text"), (text.startswith("%PDF-1.4") & text.endswith("%%EOF\n")).alias("pdf_whole"))
 
 
-@query("SELECT doc_id, octet_length(encode(text)) + 44 AS bytes, '52494646' AS head FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) % 2 = 0", views=False)
+@query("""WITH d AS (SELECT doc_id, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN text ELSE text || ' ' END AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, hex(encode(t)) AS body, octet_length(encode(t)) AS n FROM d),
+b AS (SELECT *, printf('%08X', n) AS dn, printf('%08X', n + 36) AS rn FROM s)
+SELECT doc_id, n + 44 AS bytes, md5('52494646' || substring(rn, 7, 2) || substring(rn, 5, 2) || substring(rn, 3, 2) || substring(rn, 1, 2) || '57415645666D7420100000000100010080' || '3E0000007D00000200100064617461' || substring(dn, 7, 2) || substring(dn, 5, 2) || substring(dn, 3, 2) || substring(dn, 1, 2) || body) AS digest FROM b""", views=False)
 def audio_files(spark, sf):
-    """Audio files of sample bytes (texts of even length stand for these)."""
-    d = V.table(spark, sf, "documents").where("text is not null and octet_length(text) % 2 = 0").select("doc_id", office.wav_file(F.col("text").cast("binary")).alias("w"))
-    return d.select("doc_id", F.octet_length("w").cast("long").alias("bytes"), F.hex(F.substring("w", 1, 4)).alias("head"))
+    """Audio files of sample bytes, compared byte by byte (every text stands for samples, padded to whole ones)."""
+    even = F.when(F.octet_length("text") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" ")))
+    d = V.table(spark, sf, "documents").where("text is not null").select("doc_id", office.wav_file(even.cast("binary")).alias("w"))
+    return d.select("doc_id", F.octet_length("w").cast("long").alias("bytes"), F.md5(F.hex("w")).alias("digest"))
 
 
 # --- model inputs and answers -----------------------------------------------------------------------------
@@ -180,23 +184,38 @@ def intro_results(spark, sf):
     return r.select("meeting_id", "speaker_count", F.array_join("names", ",").alias("names"), "intro_end_time")
 
 
-@query("""SELECT meeting_id, ord, CASE WHEN ord % 4 < 3 THEN to_json(struct_pack(meeting_id := meeting_id, ord := ord))::VARCHAR END AS answer FROM seg""")
+@query("""SELECT meeting_id, ord, CASE WHEN ord % 4 < 3 AND ord % 7 = 6 THEN '[' || (ord * 1000000000000000000000::HUGEINT) || ',true]' WHEN ord % 4 < 3 THEN '{"Zoë":2.5,"a":[' || (ord * 1000000000000000000000::HUGEINT) || ',true],"meeting":' || meeting_id || '}' END AS answer FROM seg""")
 def llm_json(spark, sf):
+    """Values wrapped in four ways, keys out of order, large numbers; where one is not finite, only the list inside is JSON."""
     s = V.segments(spark, sf)
-    body = F.to_json(F.struct("meeting_id", "ord"))
+    big = F.concat(F.col("ord").cast("string"), F.when(F.col("ord") > 0, "0" * 21).otherwise(""))
+    tail = F.when(F.col("ord") % 7 == 6, F.when(F.col("ord") % 2 == 0, "1e400").otherwise("NaN")).otherwise("2.50")
+    body = F.concat(F.lit('{"meeting": '), "meeting_id", F.lit(', "a": ['), big, F.lit(', true], "Zoë": '), tail, F.lit("}"))
     wrapped = F.when(F.col("ord") % 4 == 0, body).when(F.col("ord") % 4 == 1, F.concat(F.lit("<think>no {</think>```json\n"), body, F.lit("\n```"))).when(F.col("ord") % 4 == 2, F.concat(F.lit("Here [it is: "), body, F.lit(" end"))).otherwise("none")
     return s.select("meeting_id", "ord", learned.answer_json(wrapped).alias("answer"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'Q'))
-SELECT term, count(*) AS frequency, min(doc_id) AS source_meeting_id FROM (SELECT doc_id, 'Qx' || doc_id % 7 AS term FROM d WHERE len(w) BETWEEN 1 AND 150 UNION ALL SELECT doc_id, 'Qy Zoë' FROM d WHERE len(w) BETWEEN 1 AND 150) GROUP BY 1""", views=False)
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL), """ + told_apart("d", "doc_id", 0, 3) + """
+SELECT term, count(*) AS frequency, min(doc_id) AS source_meeting_id FROM (SELECT doc_id, 'Qx' || doc_id % 7 AS term FROM good UNION ALL SELECT doc_id, 'Qy Zoë' FROM good) GROUP BY 1""", views=False)
 def vocab_learn(spark, sf):
-    """Edits of short texts: a word put before the first and two after the last; the words between are equal."""
-    d = V.table(spark, sf, "documents").where("text is not null and not contains(text, 'Q')").select("doc_id", "text", F.filter(F.split(F.trim(F.col("text")), r"\s+"), lambda w: w != "").alias("w")).where("size(w) between 1 and 150")
+    """Edits of whole texts of any length: a word put before the first and two after the last; the words between are equal."""
+    d = V.table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
     edited = F.concat(F.lit("Qx"), F.col("doc_id") % 7, F.lit(" "), "text", F.lit(" Qy Zoë"))
     return vocabulary.learn(d.select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("old_text"), edited.alias("new_text")))
 
 
+@query(r""", d AS (SELECT meeting_id, ord, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM seg), """ + told_apart("d", "meeting_id, ord", 1, 0) + """,
+t AS (SELECT meeting_id, 'Qr' || ord % 5 || 'ed' AS term, w[1] AS was FROM good WHERE w[1] <> w[2])
+SELECT term, count(*) AS frequency, min(meeting_id) AS source_meeting_id FROM t WHERE abs(length(term) - length(was)) < length(was) GROUP BY 1""")
+def vocab_replaced(spark, sf):
+    """Edits of utterances: the first word replaced by another; it is learned if its length is near the old one's."""
+    w = F.filter(F.split(F.trim(F.col("text")), r"\s+"), lambda x: x != "")
+    d = V.segments(spark, sf).select("meeting_id", "ord", "text", w.alias("w")).where("size(w) > 1 and w[0] <> w[1]")
+    term = F.concat(F.lit("Qr"), F.col("ord") % 5, F.lit("ed"))
+    edited = F.array_join(F.concat(F.array(term), F.slice("w", 2, F.size("w"))), " ")
+    return vocabulary.learn(d.select("meeting_id", F.col("text").alias("old_text"), edited.alias("new_text")))
+
+
 @query("SELECT p_partkey AS k, p_name = lower(p_name) AND p_name <> upper(p_name) AS words, false AS digits FROM part", views=False)
 def lower_case_tests(spark, sf):
     from parlance.functions import exprs as X
@@ -251,3 +270,23 @@ def ordered_lists(spark, sf):
     c = mutate.placed(V.table(spark, sf, "customer"), "c_nationkey", "c_name", "c_custkey").select(F.lit("profile").alias("kind"), F.col("c_custkey").alias("id"), "place")
     o = mutate.placed(V.table(spark, sf, "orders"), "o_custkey", F.desc("o_orderdate"), "o_orderkey").select(F.lit("insight").alias("kind"), F.col("o_orderkey").alias("id"), "place")
     return c.unionByName(o)
+
+
+def _listener(history: str, prompt: str) -> str:
+    """A stand-in for the model that reads introductions: its answer follows from the chunk's length; some calls fail."""
+    text = prompt.split("\n", 1)[1]
+    if len(text) % 11 == 5:
+        raise ValueError("no answer")
+    start = "Well: " if len(text) % 2 else ""
+    return f'{start}{{"intro_ongoing": {"true" if len(text) % 3 else "false"}, "speaker_count": {len(text) % 7}, "names": ["N{len(text) % 13}"]}}'
+
+
+@query(CHUNK_SQL.replace("SELECT r.meeting_id, r.chunk, string_agg", ", c AS (SELECT r.meeting_id, r.chunk, string_agg") + """),
+l AS (SELECT meeting_id, chunk, end_time, length(text) AS n FROM c WHERE chunk < 20),
+o AS (SELECT *, n % 11 = 5 AS failed, coalesce(bool_and(n % 11 = 5 OR n % 3 <> 0) OVER (PARTITION BY meeting_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS asked FROM l),
+k AS (SELECT meeting_id, max(chunk) FILTER (NOT failed) AS last, count(*) AS asked FROM o WHERE asked GROUP BY 1)
+SELECT k.meeting_id, coalesce(n % 7, 0) AS speaker_count, coalesce('N' || n % 13, '') AS names, end_time AS intro_end_time, asked FROM k LEFT JOIN l ON l.meeting_id = k.meeting_id AND l.chunk = k.last""")
+def intro_rounds(spark, sf):
+    """The introduction's conversation in rounds: a recording is asked about until its introduction is over."""
+    r = models.intro_rounds(chunks.time_chunks(V.segments(spark, sf)), _listener, tries=1)
+    return r.select("meeting_id", F.col("speaker_count").cast("long").alias("speaker_count"), F.array_join("names", ",").alias("names"), "intro_end_time", F.col("asked").cast("long").alias("asked"))
