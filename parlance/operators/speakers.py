@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,52 @@ def longest_turn(turns: DataFrame, least: float = 2.0) -> DataFrame:
     return best.where(F.col("t.key") >= least).select("meeting_id", F.col("lab").alias("label"), "t.ds", "t.de", F.least(F.col("t.key"), F.lit(15.0)).alias("clip"))
 
 
+def _nearest(sent):
+    """The most similar voice of a sent block (ids, names, unit vectors) as a column function."""
+
+    @F.pandas_udf("s double, id string, name string")
+    def nearest(e: pd.Series) -> pd.DataFrame:
+        ids, names, unit = sent.value
+        found = pd.DataFrame({"s": np.full(len(e), np.nan), "id": None, "name": None}, dtype=object)
+        rows = [i for i, x in enumerate(e) if x is not None and len(x) == unit.shape[1]] if len(ids) else []
+        if rows:
+            x = np.stack([np.asarray(e.iloc[i], dtype=np.float64) for i in rows])
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            score = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
+            # Equal voices may differ in the last place of the product: within it the least id counts.
+            at = (score >= score.max(axis=1, keepdims=True) - 1e-15).argmax(axis=1)
+            best = score[np.arange(len(rows)), at]
+            found.loc[rows, "s"], found.loc[rows, "id"], found.loc[rows, "name"] = best, [ids[k] for k in at], [names[k] for k in at]
+        return found.astype({"s": float})
+
+    return nearest
+
+
 def match_profiles(probes: DataFrame, profiles: DataFrame, threshold: float = 0.55, block: int = MAX_PROFILES) -> DataFrame:
     """Probes with the most similar profile: name, similarity; nulls below the threshold.
 
-    The profiles travel as array values of at most about ``block`` voices, one after the other where a user
-    has more, so probes are neither shuffled nor multiplied. Of equal similarities the least profile_id wins.
+    The profiles are normalised once and travel as one matrix of at most about ``block`` voices, one after the
+    other where a user has more; a batch of probes is scored by one product. Of equal similarities the least
+    profile_id wins. Probes without a vector, or of another length than all voices, match none.
     """
+    spark = probes.sparkSession
     blocks = max(1, -(-profiles.count() // block))
-    own = profiles.select(F.col("profile_id").cast("string").alias("id"), "name", "embedding")
+    own = profiles.where("embedding is not null").select(F.col("profile_id").cast("string").alias("id"), "name", "embedding")
     out = probes.withColumn("_best", F.lit(None).cast("struct<s:double,id:string,name:string>"))
     for b in range(blocks):
         part = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else own
-        held = part.agg(F.array_sort(F.collect_list(F.struct("id", "name", "embedding"))).alias("p"))
-        scored = F.transform("_held", lambda p: F.struct(X.cosine("embedding", p["embedding"]).alias("s"), p["id"].alias("id"), p["name"].alias("name")))
-        # Largest similarity, then least id.
-        best = F.aggregate(scored, F.col("_best"), lambda a, x: F.when(a.isNull() | (x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["id"] < a["id"])), x).otherwise(a))
-        out = out.withColumn("_held", held.scalar()).withColumn("_best", best).drop("_held")
+        voices = sorted((r.id, r.name, list(r.embedding)) for r in part.collect())  # a block
+        size = len(voices[0][2]) if voices else 0
+        voices = [v for v in voices if len(v[2]) == size]
+        matrix = np.array([v[2] for v in voices], dtype=np.float64).reshape(len(voices), size)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        sent = spark.sparkContext.broadcast(([v[0] for v in voices], [v[1] for v in voices], np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
+
+        x, a = _nearest(sent)("embedding"), F.col("_best")
+        out = out.withColumn("_new", x)
+        x = F.col("_new")
+        better = a.isNull() | a["s"].isNull() | (x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["id"] < a["id"]))
+        out = out.withColumn("_best", F.when(x["id"].isNotNull() & better, x).otherwise(a)).drop("_new")
     ok = (F.col("_best.s") > 0) & (F.col("_best.s") >= threshold)
     return out.withColumns({"profile": F.when(ok, F.col("_best.name")), "similarity": F.when(ok, F.col("_best.s"))}).drop("_best")
 

@@ -455,4 +455,4 @@ def live_windows(spark, sf):
 
 
 # The other modules of this folder register theirs.
-from parlance.plans import changes, indexed, intake, streams, texts, work  # noqa: E402, F401
+from parlance.plans import changes, indexed, intake, sealed, streams, texts, work  # noqa: E402, F401
