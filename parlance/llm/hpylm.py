@@ -2,13 +2,15 @@
 
 One restaurant per context (the word before; texts start in a context of their own), all of them sharing
 the root as their parent; the root's base is uniform over the vocabulary and one unknown word. A
-context's tables are the root's customers. A sweep draws, for every (context, word), its number of tables
-from its conditional given everything else: generalised Stirling number x new-table weights x parent
-probability; then the root's tables alike. Stirling numbers are exact up to ``EXACT`` customers; beyond,
-they come from an alternating series or a saddle point (``log_stirling``; tests hold it to the exact
-recursion) and the draw is from the whole conditional as before. All dishes of a sweep see the totals of
-the sweep before, so they are drawn side by side. Predictive probabilities are averaged over the sweeps
-after ``burn_in``. The discounts come from counts of counts; the strengths are parameters.
+context's tables are the root's customers. A sweep draws, for every (context, word), its number of tables,
+then the root's alike. The dishes of a restaurant hang together only by the weight of its T tables,
+d^T Gamma(theta/d + T) / Gamma(theta/d). Each sweep first draws the restaurant's latent value x from
+Gamma(theta/d + T); given x the dishes are independent, with weights S(c, t) (d x parent)^t (S: generalised
+Stirling numbers), so drawing them side by side is a Gibbs step of the restaurant, whatever cells they lie in.
+The parent probability is the root's predictive one after the sweep before. Stirling numbers are exact up to
+``EXACT`` customers; beyond, they come from an alternating series or a saddle point (``log_stirling``; tests
+hold it to the exact recursion). Predictive probabilities are averaged over the sweeps after ``burn_in``. The
+discounts come from counts of counts; the strengths are parameters.
 
 Layout: a grid of word blocks x context blocks. Texts are turned into (context, word) counts per batch of
 documents and cell of the grid before anything is shuffled, so no word, context or pair has a row or a task
@@ -131,22 +133,18 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out.reshape(shape)
 
 
-def _draw_large(rng, c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, theta: float, points: int = 384) -> np.ndarray:
+def _draw_large(rng, c: np.ndarray, weight: np.ndarray, d: float, points: int = 384) -> np.ndarray:
     """Tables of dishes of more than EXACT customers, from the conditional over a grid of table numbers.
 
     The grid is first coarse over 1 .. c, then spread over all that is not negligible; where it is wider
     than one, the number is uniform within its interval.
     """
-
-    def weight(t):
-        rising = log_gamma(theta / d + others[:, None] + t) - log_gamma(theta / d + others[:, None]) if d > 0 else 0
-        return log_stirling(c, t, d) + rising + t * (np.log(d) + np.log(parent[:, None]))
-
+    per_table = np.log(weight)[:, None]
     lo, hi = np.ones(len(c)), c.astype(float)
     for _ in range(2):
         step = np.linspace(0, 1, 48)
         t = np.round(np.exp(np.log(lo)[:, None] * (1 - step) + np.log(hi)[:, None] * step))
-        w = weight(t)
+        w = log_stirling(c, t, d) + t * per_table
         rows = np.arange(len(c))
         live = w >= w.max(axis=1, keepdims=True) - 40
         first, last = live.argmax(axis=1), t.shape[1] - 1 - live[:, ::-1].argmax(axis=1)
@@ -154,14 +152,29 @@ def _draw_large(rng, c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: f
     points = int(min(points, (hi - lo + 1).max()))
     width = np.maximum(1, np.ceil((hi - lo + 1) / points))
     t = lo[:, None] + np.arange(points) * width[:, None]
-    w = np.where(t <= hi[:, None], weight(np.minimum(t, c[:, None])), -np.inf)
+    own = np.minimum(t, c[:, None])
+    w = np.where(t <= hi[:, None], log_stirling(c, own, d) + own * per_table, -np.inf)
     p = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
     k = (p < rng.random((len(c), 1)) * p[:, -1:]).sum(axis=1)
     return np.minimum(t[np.arange(len(c)), k] + np.floor(rng.random(len(c)) * width), c).astype(np.int64)
 
 
-def draw_tables(rng, c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, theta: float, table: np.ndarray) -> np.ndarray:
-    """Numbers of tables of dishes of c customers in restaurants with ``others`` tables of other dishes."""
+def latent(rng, tables: np.ndarray, d: float, theta: float) -> np.ndarray:
+    """The latent value of restaurants with so many tables."""
+    return rng.gamma(theta / d + np.asarray(tables, float))
+
+
+#: Latent values travel as their logarithms in steps of a thousandth, from exp(-20) on.
+def coded(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.round((np.log(np.maximum(x, 1e-300)) + 20) * 1000), 0, 65535).astype(np.int64)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    return np.exp(code / 1000 - 20)
+
+
+def draw_tables(rng, c: np.ndarray, weight: np.ndarray, d: float, table: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes of c customers; ``weight``: d x latent value x parent probability of each."""
     out = np.minimum(c, 1).astype(np.int64)
     most = len(table) - 1
     many = np.flatnonzero((c >= 2) & (c <= most))
@@ -172,15 +185,14 @@ def draw_tables(rng, c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: f
         block = max(1, 400_000 // n)
         for at in range(a, b, block):
             rows = order[at : min(b, at + block)]
-            j = np.arange(n)
-            log = np.log(theta + d * (others[rows, None] + j)).cumsum(axis=1) + (j + 1) * np.log(parent[rows, None]) + table[n, 1 : n + 1]
+            log = np.arange(1, n + 1) * np.log(weight[rows, None]) + table[n, 1 : n + 1]
             log -= log.max(axis=1, keepdims=True)
             p = np.exp(log).cumsum(axis=1)
             out[rows] = 1 + (p < rng.random((len(rows), 1)) * p[:, -1:]).sum(axis=1)
     big = np.flatnonzero(c > most)
     for at in range(0, len(big), 128):
         rows = big[at : at + 128]
-        out[rows] = _draw_large(rng, c[rows], np.asarray(others, float)[rows], np.asarray(parent, float)[rows], d, theta)
+        out[rows] = _draw_large(rng, c[rows], np.asarray(weight, float)[rows], d)
     return out
 
 
@@ -423,8 +435,9 @@ def _sweep_cell(table: pa.Table, model: Model, k: int, side: int) -> list[tuple]
     node, cell, of_word, of_context = table.column("to")[0].as_py(), mail["cell"], mail["words"], mail["contexts"]
     rng = np.random.default_rng([model.seed, 1, node, k])
     parent = model.root_p(k - 1, of_word["tables"], of_word["root"])[cell["word"]]
-    others = of_context["tables"][cell["context"]] - cell["t"]
-    t = draw_tables(rng, cell["count"], others, parent, model.d2, model.theta2, stirling(model.d2, _table_size(cell["count"])))
+    # The chain starts from the latent values' means; after every sweep their owners draw them.
+    x = decoded(of_context["x"]) if "x" in of_context else model.theta2 / model.d2 + of_context["tables"]
+    t = draw_tables(rng, cell["count"], model.d2 * x[cell["context"]] * parent, model.d2, stirling(model.d2, _table_size(cell["count"])))
     by_word, by_context = _totals(cell, t)
     return [(node, "cell", node, pack(**{**cell, "t": t})), (2 * (node // side), "tables", node, pack(tables=by_word)), (2 * (node % side) + 1, "tables", node, pack(tables=by_context))]
 
@@ -434,21 +447,25 @@ def _table_size(c: np.ndarray) -> int:
 
 
 def _sweep_owner(table: pa.Table, model: Model, k: int) -> list[tuple]:
-    """Add the cells' tables up; a word owner draws the root's tables. Answers in the order of the cells' lists."""
+    """Add the cells' tables up; a word owner draws the root's tables, a context owner its restaurants' latent values. Answers in the order of the cells' lists."""
     to = table.column("to")[0].as_py()
     rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "sender", "data")), strict=True))
     own = unpack(next(data for kind, _, data in rows if kind == "owner"))
     held = {sender: unpack(data)["tables"] for kind, sender, data in rows if kind == "tables"}
     senders, ends = own["senders"].tolist(), np.cumsum(own["n"])
     tables = np.bincount(own["at"], weights=np.concatenate([held[s] for s in senders]), minlength=len(own["root"])).astype(np.int64)
+    rng = np.random.default_rng([model.seed, 2, to, k])
     if to % 2 == 0:
-        rng = np.random.default_rng([model.seed, 2, to, k])
-        others = model.root[k - 1][1] - own["root"]
-        own["root"] = draw_tables(rng, tables, others, np.full(len(tables), 1.0 / (model.v + 1)), model.d1, model.theta1, stirling(model.d1, _table_size(tables)))
+        # One restaurant over all owners: the same latent value for all.
+        x = latent(np.random.default_rng([model.seed, 4, k]), model.root[k - 1][1], model.d1, model.theta1)
+        own["root"] = draw_tables(rng, tables, np.full(len(tables), model.d1 * x / (model.v + 1)), model.d1, stirling(model.d1, _table_size(tables)))
+        told = {"tables": tables, "root": own["root"]}
+    else:
+        told = {"tables": tables, "x": coded(latent(rng, tables, model.d2, model.theta2))}
     out = [(to, "owner", to, pack(**own), float(tables.sum()), float(own["root"].sum()))]
     for s, a, b in zip(senders, ends - own["n"], ends, strict=True):
         mine = own["at"][a:b]
-        out.append((s, "words" if to % 2 == 0 else "contexts", to, pack(tables=tables[mine], root=own["root"][mine])))
+        out.append((s, "words" if to % 2 == 0 else "contexts", to, pack(**{f: v[mine] for f, v in told.items()})))
     return out
 
 

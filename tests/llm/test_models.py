@@ -50,12 +50,35 @@ def test_stirling_and_gibbs_draws_match_enumeration():
         assert np.allclose([math.exp(table[c, t]) for t in range(1, c + 1)], [by[t] for t in range(1, c + 1)])
     c, rng = 6, np.random.default_rng(0)
     n = 60_000
-    got = hpylm.draw_tables(rng, np.full(n, c), np.full(n, others), np.full(n, parent), d, theta, hpylm.stirling(d))
+    got = np.ones(n, int)
+    for _ in range(12):  # latent value and tables in turn
+        x = hpylm.decoded(hpylm.coded(hpylm.latent(rng, others + got, d, theta)))
+        got = hpylm.draw_tables(rng, np.full(n, c), d * x * parent, d, hpylm.stirling(d))
     by = seatings(c)
     want = np.array([by[t] * parent**t * math.prod(theta + d * (others + j) for j in range(t)) for t in range(1, c + 1)])
     assert np.allclose(np.bincount(got, minlength=c + 1)[1:] / n, want / want.sum(), atol=0.01)
 
 
+def test_dishes_of_a_restaurant_follow_their_joint_law():
+    """Two dishes drawn side by side, given the restaurant's latent value, against all pairs of table numbers."""
+    d, theta, n, rng = 0.55, 0.8, 60_000, np.random.default_rng(4)
+    c, parent = (5, 7), (0.3, 0.05)
+    table = hpylm.stirling(d)
+    want = np.zeros((c[0] + 1, c[1] + 1))
+    for a in range(1, c[0] + 1):
+        for b in range(1, c[1] + 1):
+            want[a, b] = math.exp(table[c[0], a] + table[c[1], b]) * parent[0] ** a * parent[1] ** b * math.prod(theta + d * i for i in range(a + b))
+    t = np.ones((2, n), int)
+    for _ in range(15):
+        x = hpylm.decoded(hpylm.coded(hpylm.latent(rng, t.sum(axis=0), d, theta)))
+        t = np.stack([hpylm.draw_tables(rng, np.full(n, c[k]), d * x * parent[k], d, table) for k in (0, 1)])
+    have = np.zeros_like(want)
+    np.add.at(have, (t[0], t[1]), 1 / n)
+    assert np.abs(have - want / want.sum()).max() < 0.006
+    dependent = want / want.sum() - np.outer(want.sum(axis=1), want.sum(axis=0)) / want.sum() ** 2
+    assert np.abs(dependent).max() > 0.012  # more than the test's tolerance: the law is not that of independent dishes
+
+
 def test_large_dishes_follow_the_exact_conditional():
     rng = np.random.default_rng(0)
     for d in (0.3, 0.7, 0.9):
@@ -63,11 +86,12 @@ def test_large_dishes_follow_the_exact_conditional():
         t = np.arange(1, 1301)
         assert np.abs(hpylm.log_stirling(np.array([1300]), t[None], d)[0] - exact[1300, 1:]).max() < 0.01
         for parent, others in ((0.3, 5.0), (1e-4, 1000.0), (0.2, 2000.0)):
-            log = exact[1300, 1:] + np.cumsum(np.log(1.0 + d * (others + t - 1))) + t * np.log(parent)
+            weight = d * parent * (others + 1.0 / d)
+            log = exact[1300, 1:] + t * np.log(weight)
             p = np.exp(log - log.max())
             p /= p.sum()
             n = 4000
-            got = hpylm.draw_tables(rng, np.full(n, 1300), np.full(n, others), np.full(n, parent), d, 1.0, hpylm.stirling(d))
+            got = hpylm.draw_tables(rng, np.full(n, 1300), np.full(n, weight), d, hpylm.stirling(d))
             have = np.bincount(got, minlength=1301)[1:] / n
             assert np.abs(have.cumsum() - p.cumsum()).max() < 0.04
 
