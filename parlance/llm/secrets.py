@@ -8,8 +8,8 @@ of finished runs; a run's row says of a blob which rule versions have seen it an
 2. joins the thinned texts with the ledger by blob and keeps, of each blob once, the rule versions that have not
    seen it (the joined stream is sorted by blob, so copies lie side by side);
 3. runs only those rules, and appends a run to the ledger; a run that breaks off leaves none;
-4. joins the findings of all runs back to every version of every path. Only blobs with findings take part; the
-   side of the versions is the one that Spark splits where a blob fills a partition.
+4. joins the findings of all runs back to every version of every path. Only blobs with findings are on the other
+   side, so it is repeated for each of ``SPREAD`` parts that the versions of a blob are dealt over.
 
 A rule's new version leaves older findings of that rule unused and looks at all blobs again; other rules stay.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import clean_shuffles, fresh, ship, slices, strings, text_or_empty
 
-SEEN = 100_000
+SEEN, SPREAD = 100_000, 16
 LEDGER = "blob binary, rules array<string>, found array<struct<rule:string,start:int,end:int>>"
 
 
@@ -183,7 +183,11 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     held = blob_findings(spark, ledger, rules).select(
         F.col("blob").alias(blob), F.transform("found", lambda s: F.struct(kinds[s["rule"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(found)
     )
-    out = addressed.drop("text").join(held.hint("merge"), blob, "left")
+    # A blob's versions are spread over SPREAD keys; the findings, which only blobs with secrets have, go to all of them.
+    (salt,) = fresh(addressed.drop("text"), "salt")
+    spread = addressed.drop("text").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    held = held.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    out = spread.join(held.hint("merge"), [blob, salt], "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return out.select(*(c for c in versions.columns if c.lower() != "text"), blob, F.coalesce(F.col(found), none).alias(found))
 
