@@ -111,10 +111,10 @@ def list_meetings(spark, sf):
 @query("""SELECT o_orderkey AS meeting_id, coalesce(a.n, 0) AS speaker_count, coalesce(b.n, 0) AS segment_count FROM orders
 LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) a ON a.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey = o_orderkey""", views=False)
 def list_meetings_at_scale(spark, sf):
-    o, l = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_orderdate").alias("created_at")), V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), "l_suppkey")
-    # As list_meetings, without its order; both counts in one pass over the utterances.
-    n = l.groupBy("meeting_id").agg(F.count_distinct("l_suppkey").alias("speaker_count"), F.count("*").alias("segment_count"))
-    return o.join(n, "meeting_id", "left").fillna(0, ["speaker_count", "segment_count"]).select("meeting_id", "speaker_count", "segment_count")
+    """``list_meetings`` over orders as recordings, their lines as utterances and suppliers as speakers."""
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_orderdate").alias("created_at"))
+    l = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), "l_suppkey")
+    return analytics.list_meetings(o, l.distinct(), l).select("meeting_id", "speaker_count", "segment_count")
 
 
 ANALYTICS_SQL = """, t AS (SELECT s.*, sum(total_speaking_time) OVER (PARTITION BY s.meeting_id) AS all_t, m.duration FROM spk s JOIN mtg m USING (meeting_id)),
