@@ -76,8 +76,9 @@ def pair_weight(distance: Column) -> Column:
     return F.sqrt(WEIGHT * WEIGHT * F.when(distance > 100, F.lit(1e-30)).otherwise(near))
 
 
-def rank_of(places: Column, terms: int) -> Column:
+def rank_of(places: list[Column]) -> Column:
     """Rank from ``places``: one array of positions per distinct query word."""
+    terms = len(places)
     if terms == 1:
         counted = F.transform(places[0], lambda p, k: WEIGHT / ((k + 1) * (k + 1)).cast("double"))
         return F.aggregate(counted, F.lit(0.0), lambda a, x: a + x) / ZETA
@@ -111,8 +112,10 @@ def matches(segments: DataFrame, folder: str, q: str) -> DataFrame:
         own = own.join(near, keys, "left_semi")
     hits = own.where(F.col("text").ilike(f"%{q}%")).select(*keys, F.lit(0.0).alias("rank"))
     if terms:
-        held = _postings(spark, folder, "term", terms).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("p")).where(F.size("p") == len(terms))
-        ranked = held.select(*keys, rank_of(F.transform("p", lambda s: s["positions"]), len(terms)).alias("rank"))
+        names = [f"p{i}" for i in range(len(terms))]  # each word's positions in a column of their own
+        held = _postings(spark, folder, "term", terms).groupBy(*keys).agg(*(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(n) for n, (t, _) in zip(names, terms, strict=True)))
+        held = held.where(" and ".join(f"{n} is not null" for n in names))
+        ranked = held.select(*keys, rank_of([F.col(n) for n in names]).alias("rank"))
         hits = hits.unionByName(ranked).groupBy(*keys).agg(F.max("rank").alias("rank"))
     return hits
 
