@@ -101,6 +101,27 @@ def pdf(blocks: list[tuple[str, int, str]]) -> bytes:
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table))
 
 
+def pdf_text(data: bytes) -> list[str]:
+    """The shown lines of a page document, by way of its table of places, page tree and content streams, as ``pdf`` lays them out."""
+    table = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", data)[1])
+    places = [int(p) for p in re.findall(rb"(\d{10}) \d{5} [nf] \n", data[table:])]
+
+    def find(number: int, pattern: bytes):
+        if (found := re.compile(b"%d 0 obj\n" % number + pattern).match(data, places[number])) is None:
+            raise ValueError(f"no such object at place {number}")
+        return found
+
+    out = []
+    catalogue = int(re.search(rb"/Root (\d+) 0 R", data[table:])[1])
+    pages = int(find(catalogue, rb"<< /Type /Catalog /Pages (\d+) 0 R >>\nendobj")[1])
+    for page in re.findall(rb"(\d+) 0 R", find(pages, rb"<< /Type /Pages /Kids \[([0-9R ]*)\] /Count \d+ >>\nendobj")[1]):
+        content = find(int(page), rb"<< /Type /Page .* /Contents (\d+) 0 R >>\nendobj")
+        stream = find(int(content[1]), rb"<< /Length (\d+) /Filter /FlateDecode >>\nstream\n")
+        shown = zlib.decompress(data[stream.end() : stream.end() + int(stream[1])])
+        out += [re.sub(rb"(?s)\\(.)", rb"\1", x).decode("cp1252") for x in re.findall(rb"(?s)\(((?:[^\\()]|\\.)*)\) Tj ET", shown)]
+    return out
+
+
 def wav(pcm: bytes, rate: int = 16_000) -> bytes:
     """An audio file of one channel of 16-bit samples."""
     out = io.BytesIO()
@@ -132,6 +153,12 @@ def docx_paragraphs(files: pd.Series) -> pd.Series:
     return files.map(lambda data: "\n".join(docx_text(bytes(data))))
 
 
+@F.pandas_udf(StringType())
+def pdf_lines(files: pd.Series) -> pd.Series:
+    """The text of page files, a line per shown line."""
+    return files.map(lambda data: "\n".join(pdf_text(bytes(data))))
+
+
 @F.pandas_udf(BinaryType())
 def wav_file(pcm: pd.Series) -> pd.Series:
     return pcm.map(lambda data: wav(bytes(data)), na_action="ignore")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
+from parlance.sources import folders
 
 
 def time_chunks(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
@@ -34,6 +35,64 @@ def time_chunks(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
     return g.select("meeting_id", F.posexplode(chunks).alias("chunk", "c")).select("meeting_id", "chunk", "c.*")
 
 
+def time_chunks_joined(segments: DataFrame, seconds: float = 30.0) -> DataFrame:
+    """As ``time_chunks``, for recordings of any length: no row and no group holds more than a chunk.
+
+    Only an utterance that starts later than all before it can open a chunk (the first one with words aside, which
+    is always in the first chunk). Each of these points to the first of them at least ``seconds`` later, found by one
+    ordered scan; pointers that double their reach every round mark those that the recording's start leads to. The
+    rounds are the logarithm of the most chunks of a recording, each stored in the shared folder; the last, of one
+    row a chunk, stays there for the result. Start times are not negative; a null one opens nothing, and a recording
+    whose first start is null is one chunk.
+    """
+    spark = segments.sparkSession
+    in_order = Window.partitionBy("meeting_id").orderBy("ord", "start_time", "end_time", "text")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    s = segments.select("meeting_id", "ord", "start_time", F.coalesce("end_time", "start_time").alias("end_time"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    said = s.withColumn("opened", F.first("start_time").over(so_far)).where("text <> ''").withColumn("k", F.row_number().over(in_order))
+    later = F.when(F.col("k") > 1, F.col("start_time"))
+    before = F.max(later).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    said = said.withColumn("opener", later.isNotNull() & (before.isNull() | (later > before)))
+
+    # The least start that counts can differ from the sum by rounding: the scan begins some steps of a double
+    # below it and looks at as many records as there are doubles on the way.
+    w = Window.partitionBy("meeting_id").orderBy("start_time")
+    records = said.where("opener").select("meeting_id", "start_time", F.collect_list("start_time").over(w.rowsBetween(0, 7)).alias("heads"))
+    none = F.lit(None).cast("array<double>")
+    asked = said.where("opener").select("meeting_id", F.lit(False).alias("root"), F.col("start_time").alias("from"))
+    asked = asked.unionByName(said.where("k = 1 and opened is not null").select("meeting_id", F.lit(True).alias("root"), F.col("opened").alias("from")))
+    wanted = F.col("from") + F.lit(seconds)
+    rows = records.select("meeting_id", F.col("start_time").alias("at"), "heads", F.lit(None).cast("boolean").alias("root"), F.lit(None).cast("double").alias("from"))
+    rows = rows.unionByName(asked.select("meeting_id", (wanted - wanted * 2.0**-51).alias("at"), none.alias("heads"), "root", "from"))
+    back = Window.partitionBy("meeting_id").orderBy(F.desc("at"), F.col("heads").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last("heads", ignorenulls=True).over(back)
+    links = rows.withColumn("ahead", ahead).where("from is not null")
+    links = links.withColumn("to", F.get(F.filter("ahead", lambda x: x - F.col("from") >= seconds), F.lit(0))).where("to is not null").select("meeting_id", "root", "from", "to")
+
+    place = folders.shared_folder(spark, "time-chunks")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        return spark.read.parquet(f"{place}/{name}")
+
+    links = stored(links, "links")
+    reached, jumps, n = links.where("root").select("meeting_id", F.col("to").alias("start_time")), links.where("not root").drop("root"), 0
+    while not jumps.isEmpty():
+        n += 1
+        further = reached.join(jumps.withColumnRenamed("from", "start_time"), ["meeting_id", "start_time"]).select("meeting_id", F.col("to").alias("start_time"))
+        second = jumps.select("meeting_id", F.col("from").alias("to"), F.col("to").alias("end"))
+        reached = stored(reached.unionByName(further), f"reached-{n}")
+        jumps = stored(jumps.join(second, ["meeting_id", "to"]).select("meeting_id", "from", F.col("end").alias("to")), f"jumps-{n}")
+        for name in (f"reached-{n - 1}", f"jumps-{n - 1}") if n > 1 else ("links",):
+            folders.remove(spark, f"{place}/{name}")
+    hit = reached.select("meeting_id", F.lit(True).alias("opener"), "start_time", F.lit(1).alias("new"))
+    rows = said.join(hit, ["meeting_id", "opener", "start_time"], "left").withColumn("chunk", F.coalesce(F.sum("new").over(so_far), F.lit(0)).cast("int"))
+    part = F.struct("k", "text", "end_time")
+    g = rows.groupBy("meeting_id", "chunk").agg(F.array_sort(F.collect_list(part)).alias("s"), F.max("opened").alias("opened"), F.max(F.when(F.col("new") == 1, F.col("start_time"))).alias("a"))
+    start = F.when(F.col("chunk") == 0, F.col("opened")).otherwise(F.col("a"))
+    return g.select("meeting_id", "chunk", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), start.alias("start_time"), F.element_at("s", -1)["end_time"].alias("end_time"))
+
+
 def until_intro_ends(chunks: DataFrame, answers: DataFrame, most: int = 20) -> DataFrame:
     """Chunks sent to the model: at most ``most``, up to and with the first that is answered "not ongoing".
 

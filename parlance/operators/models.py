@@ -127,6 +127,23 @@ def preset_for_task(settings: DataFrame, presets: DataFrame) -> DataFrame:
     return assignments(settings).join(presets.withColumnRenamed("id", "preset_id"), "preset_id", "left")
 
 
+def presets_of_type(presets: DataFrame, kind: str | None = None) -> DataFrame:
+    """Presets (id, type, ...) of one type, or all of them."""
+    return presets if kind is None else presets.where(F.col("type") == kind)
+
+
+def changed_assignments(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored (owner, task, preset_id) after ``changes`` of the same columns; a change of an unknown task counts for nothing."""
+    c = changes.where(F.col("task").isin(*TASK_DEFAULTS)).select("owner", "task", F.col("preset_id").alias("_new"))
+    both = stored.join(c, ["owner", "task"], "full")
+    return both.select("owner", "task", F.coalesce("_new", "preset_id").alias("preset_id"))
+
+
+def without_presets(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored assignments once presets ``gone(id)`` are deleted: their tasks go back to the defaults."""
+    return stored.join(gone.select(F.col("id").alias("preset_id")).distinct(), "preset_id", "left_anti").select(stored.columns)
+
+
 def preset_for_owner(owners: DataFrame, stored: DataFrame, presets: DataFrame) -> DataFrame:
     """(owner, task, preset_id, type) for every task of every owner: the stored preset, else the default."""
     tasks = F.array(*(F.struct(F.lit(t).alias("task"), F.lit(p).alias("default")) for t, p in TASK_DEFAULTS.items()))

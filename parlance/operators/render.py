@@ -68,9 +68,23 @@ def document_blocks(meetings: DataFrame, segments: DataFrame, speakers: DataFram
     return every.select("meeting_id", (F.row_number().over(w) - 1).alias("block"), "kind", "level", "text", X.escaped("text").alias("markup_text"))
 
 
+def _with_result(results: DataFrame) -> DataFrame:
+    """Results that hold a text, with names for an action or a recording that is gone; the others have no document."""
+    return results.where(F.coalesce("result_text", F.lit("")) != "").withColumns({"action_name": F.coalesce("action_name", F.lit("Action")), "title": F.coalesce("title", F.lit("Meeting"))})
+
+
 def action_document(results: DataFrame) -> DataFrame:
-    """Action results (action_name, title, result_text) as Markdown, and as block rows by heading marks."""
-    return results.withColumn("content", F.concat(F.lit("# "), "action_name", F.lit("\n\n**Meeting:** "), "title", F.lit("\n\n"), F.coalesce("result_text", F.lit(""))))
+    """Action results (action_name, title, result_text) as Markdown: action, recording, a rule, the text."""
+    return _with_result(results).withColumn("content", F.concat(F.lit("# "), "action_name", F.lit("\n\n**Meeting:** "), "title", F.lit("\n\n---\n\n"), "result_text"))
+
+
+def action_file_blocks(results: DataFrame) -> DataFrame:
+    """Block rows of an action result's files (result_id, block, kind, level, text): two lines on top, then its lines by heading marks; blank lines go."""
+    r = _with_result(results)
+    top = F.array(F.struct(F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.col("action_name").alias("text")), F.struct(F.lit("note").alias("kind"), F.lit(0).alias("level"), F.concat(F.lit("Meeting: "), "title").alias("text")))
+    head = r.select("result_id", F.posexplode(top).alias("block", "b")).select("result_id", (F.col("block") - 2).alias("block"), "b.*")
+    lines = action_blocks(r).where(~F.col("text").rlike(r"^\s*\z") | (F.col("level") > 0))
+    return head.unionByName(lines.select("result_id", "block", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("kind"), "level", "text"))
 
 
 def action_blocks(results: DataFrame) -> DataFrame:

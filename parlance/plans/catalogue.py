@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
@@ -189,6 +190,26 @@ def time_chunks(spark, sf):
     return chunks.time_chunks(V.segments(spark, sf))
 
 
+@query(CHUNK_SQL)
+def time_chunks_joined(spark, sf):
+    return chunks.time_chunks_joined(V.segments(spark, sf))
+
+
+@query(""", l AS (SELECT meeting_id % 3 AS rec, meeting_id * 1000 + ord AS ord, text, dur FROM (SELECT *, end_time - start_time AS dur FROM seg)),
+t AS (SELECT *, coalesce(sum(dur + 0.5) OVER (PARTITION BY rec ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+said AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY ord) AS k FROM t WHERE trim(text) <> ''),
+r AS (SELECT rec, CAST(0 AS BIGINT) AS chunk, min(a) AS a FROM t GROUP BY rec HAVING rec IN (SELECT rec FROM said) UNION ALL SELECT r.rec, r.chunk + 1, min(x.a) FROM r JOIN said x ON x.rec = r.rec AND x.k > 1 AND x.a - r.a >= 30 GROUP BY r.rec, r.chunk),
+b AS (SELECT *, lead(a) OVER (PARTITION BY rec ORDER BY chunk) AS b FROM r)
+SELECT b.rec AS meeting_id, CAST(b.chunk AS INTEGER) AS chunk, md5(string_agg(trim(x.text), ' ' ORDER BY x.ord)) AS text, min(b.a) AS start_time, max(x.a + x.dur) AS end_time FROM b JOIN said x ON x.rec = b.rec AND (x.k = 1 AND b.chunk = 0 OR x.k > 1 AND x.a >= b.a AND (b.b IS NULL OR x.a < b.b)) GROUP BY 1, 2""")
+def long_recordings(spark, sf):
+    """Chunks of three recordings that hold every conversation, one after the other."""
+    w = Window.partitionBy("rec").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    s = V.segments(spark, sf).select((F.col("meeting_id") % 3).alias("rec"), (F.col("meeting_id") * 1000 + F.col("ord")).alias("ord"), "text", (F.col("end_time") - F.col("start_time")).alias("dur"))
+    s = s.withColumn("start_time", F.coalesce(F.sum(F.col("dur") + 0.5).over(w), F.lit(0.0)))
+    s = s.select(F.col("rec").alias("meeting_id"), "ord", "text", "start_time", (F.col("start_time") + F.col("dur")).alias("end_time"))
+    return chunks.time_chunks_joined(s).withColumn("text", F.md5("text"))
+
+
 @query(""", p AS (SELECT *, coalesce(sum(end_time - start_time) OVER (PARTITION BY meeting_id, speaker_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seg WHERE speaker_id IS NOT NULL)
 SELECT meeting_id, speaker_id, ord, start_time, least(end_time - start_time, 30 - before) AS clip FROM p WHERE before < 30""")
 def clip_budget(spark, sf):
@@ -387,11 +408,12 @@ def orphan_folders(spark, sf):
     return mutate.orphans(f, V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("meeting_id")))
 
 
-@query("SELECT 'segments' AS name, count(*) AS n FROM seg WHERE meeting_id % 3 <> 0 UNION ALL SELECT 'speakers', count(*) FROM spk WHERE meeting_id % 3 <> 0 UNION ALL SELECT 'meetings', count(*) FROM mtg WHERE meeting_id % 3 <> 0")
+@query("SELECT 'segments' AS name, meeting_id, ord AS k, md5(text) AS held FROM seg WHERE meeting_id % 3 <> 0 UNION ALL SELECT 'speakers', meeting_id, speaker_id, label FROM spk WHERE meeting_id % 3 <> 0 UNION ALL SELECT 'meetings', meeting_id, 0, title FROM mtg WHERE meeting_id % 3 <> 0")
 def cascade_delete(spark, sf):
     t = {"meetings": V.meetings(spark, sf), "segments": V.segments(spark, sf), "speakers": V.speakers(spark, sf)}
     out = mutate.delete_meetings(t, t["meetings"].where("meeting_id % 3 = 0"))
-    rows = [out[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in t]
+    shown = {"segments": ("ord", F.md5("text")), "speakers": ("speaker_id", F.col("label")), "meetings": (F.lit(0), F.col("title"))}
+    rows = [out[n].select(F.lit(n).alias("name"), "meeting_id", (F.col(k) if isinstance(k, str) else k).cast("long").alias("k"), held.alias("held")) for n, (k, held) in shown.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

@@ -179,6 +179,43 @@ def preset_resolution(spark, sf):
     return found.select(F.concat_ws("/", "owner", "task").alias("owner"), "task", "preset_id", "type")
 
 
+@query("""WITH f AS (SELECT p_partkey, p_type || '-' || p_partkey % 40 AS id, CASE p_size % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'whisper' END AS type, p_partkey || '.json' AS file FROM part WHERE p_size % 7 <> 0))
+SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC) AS n FROM f) WHERE n = 1 AND type = 'whisper'""", views=False)
+def presets_by_type(spark, sf):
+    """Presets of one type, read from files of which some are broken and some share an id."""
+    p = V.table(spark, sf, "part")
+    id_ = F.concat(F.col("p_type"), F.lit("-"), F.col("p_partkey") % 40)
+    body = F.when(F.col("p_size") % 7 != 0, F.to_json(F.struct(id_.alias("id"), F.when(F.col("p_size") % 3 == 0, "llm").when(F.col("p_size") % 3 == 1, "whisper").alias("type")))).otherwise("{bad")
+    return models.presets_of_type(readers.preset_rows(p.select(F.concat("p_partkey", F.lit(".json")).alias("file"), body.alias("body"))), "whisper").select("id", "type")
+
+
+@query("""WITH t(i, task) AS (VALUES (0, 'actions'), (1, 'live'), (2, 'analysis')), s AS (SELECT c_custkey AS owner, task, 'preset-' || (c_custkey + i) % 9 AS preset_id FROM customer, t WHERE (c_custkey + i) % 4 <> 0),
+c AS (SELECT o_custkey AS owner, CASE max(o_orderkey) % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'transcription' ELSE 'unknown' END AS task, 'new-' || max(o_orderkey) % 5 AS preset_id FROM orders GROUP BY 1),
+a AS (SELECT owner, task, coalesce(c.preset_id, s.preset_id) AS preset_id FROM s FULL JOIN (SELECT * FROM c WHERE task <> 'unknown') c USING (owner, task))
+SELECT * FROM a WHERE preset_id NOT IN ('preset-4', 'new-1')""", views=False)
+def preset_assignments(spark, sf):
+    """Every customer's presets by task after changes by their last order, once two presets are deleted."""
+    n = F.col("c_custkey") + F.col("i")
+    tasks = F.posexplode(F.array(F.lit("actions"), F.lit("live"), F.lit("analysis"))).alias("i", "task")
+    stored = V.table(spark, sf, "customer").select("c_custkey", tasks).where(n % 4 != 0).select(F.col("c_custkey").alias("owner"), "task", F.concat(F.lit("preset-"), n % 9).alias("preset_id"))
+    last = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.max("o_orderkey").alias("k"))
+    task = F.when(F.col("k") % 3 == 0, "live").when(F.col("k") % 3 == 1, "transcription").otherwise("unknown")
+    changed = models.changed_assignments(stored, last.select("owner", task.alias("task"), F.concat(F.lit("new-"), F.col("k") % 5).alias("preset_id")))
+    return models.without_presets(changed, spark.createDataFrame([("preset-4",), ("new-1",)], "id string"))
+
+
+@query("""WITH d(name, kind, dflt) AS (VALUES ('llm_base_url', 't', 'http://localhost:11434/v1'), ('live_chunk_seconds', 'f', '4.0'), ('max_upload_bytes', 'i', 'MAX'), ('profile_threshold', 'f', '0.55'), ('polish_minimum_seconds', 'f', '60.0')),
+g AS (SELECT c_custkey AS owner, CASE c_custkey % 5 WHEN 0 THEN 'llm_base_url' WHEN 1 THEN 'live_chunk_seconds' WHEN 2 THEN 'max_upload_bytes' WHEN 3 THEN 'profile_threshold' ELSE 'other' END AS name, CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE CAST(c_nationkey AS VARCHAR) END AS given FROM customer)
+SELECT o.owner, d.name, CASE WHEN g.given IS NULL THEN dflt WHEN kind = 't' THEN g.given WHEN try_cast(g.given AS BIGINT) IS NULL THEN NULL WHEN kind = 'f' THEN g.given || '.0' ELSE g.given END AS value, g.given IS NULL OR kind = 't' OR try_cast(g.given AS BIGINT) IS NOT NULL AS valid
+FROM (SELECT c_custkey AS owner FROM customer) o CROSS JOIN d LEFT JOIN g ON g.owner = o.owner AND g.name = d.name""".replace("'MAX'", f"'{readers.MAX_UPLOAD}'"), views=False)
+def settings_rows(spark, sf):
+    """Every customer's typed settings: an entry of their own over the defaults, some of the wrong type or of no known name."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "LLM_Base_Url").when(k % 5 == 1, "live_chunk_seconds").when(k % 5 == 2, "MAX_UPLOAD_BYTES").when(k % 5 == 3, "profile_threshold").otherwise("other")
+    value = F.when(k % 7 == 0, F.col("c_name")).otherwise(F.col("c_nationkey").cast("string"))
+    return readers.typed_settings(V.table(spark, sf, "customer").select(k.alias("owner"), name.alias("name"), value.alias("value")))
+
+
 @query("""SELECT p_partkey AS k, CASE WHEN p_size > 0 THEN printf('%.1fs', CAST(p_size AS DOUBLE) / 8) END AS seconds, printf('%.0f', CAST(p_size AS DOUBLE) * 3) AS whole, CAST(floor(p_retailprice / 60) AS BIGINT) AS minutes, printf('%.1f MB', (p_partkey * 12347 + 11) / 1048576.0) AS megabytes FROM part""", views=False)
 def formats(spark, sf):
     p = V.table(spark, sf, "part")

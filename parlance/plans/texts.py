@@ -57,7 +57,7 @@ def action_blocks(spark, sf):
     return rows.select("result_id", F.col("block").cast("long").alias("block"), "level", "text")
 
 
-@query("""SELECT meeting_id, '# Summary' || chr(10) || chr(10) || '**Meeting:** ' || title || chr(10) || chr(10) || CASE WHEN meeting_id % 3 <> 0 THEN 'Result ' || meeting_id ELSE '' END AS content FROM mtg""")
+@query("""SELECT meeting_id, '# Summary' || chr(10) || chr(10) || '**Meeting:** ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Result ' || meeting_id AS content FROM mtg WHERE meeting_id % 3 <> 0""")
 def action_documents(spark, sf):
     m = V.meetings(spark, sf).withColumns({"action_name": F.lit("Summary"), "result_text": F.when(F.col("meeting_id") % 3 != 0, F.concat(F.lit("Result "), "meeting_id"))})
     return render.action_document(m).select("meeting_id", "content")
@@ -85,15 +85,35 @@ def progress_steps(spark, sf):
     return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 101).alias("p")).select("k", jobs.step_of("p").alias("step"))
 
 
+#: A text as pages show it, but for spaces and line breaks: characters beyond Windows-1252 are question marks.
+PDF_SQL = "regexp_replace(regexp_replace({t}, '[ \n]', '', 'g'), '[^\\x00-\\x7f\\x{{a0}}-\\x{{ff}}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g')"
+
+
+def _file_texts(files, key):
+    return files.select(key, F.md5(office.docx_paragraphs("docx")).alias("docx_text"), F.md5(F.regexp_replace(office.pdf_lines("pdf"), "[ \n]", "")).alias("pdf_text"))
+
+
 @query(NAME_SQL + f""", d AS (SELECT *, CAST(floor(duration) AS BIGINT) AS i FROM mtg), e AS (
 SELECT meeting_id, -2 AS ord, 0 AS k, title AS text FROM mtg UNION ALL SELECT meeting_id, -1, 0, 'Duration: ' || {SHORT_SQL.format(i='i')} FROM d UNION ALL SELECT meeting_id, ord, 0, name || ' [' || {SHORT_SQL.format(i='si')} || ']' FROM x WHERE turn UNION ALL SELECT meeting_id, ord, 1, text FROM x)
-SELECT meeting_id, md5(string_agg(text, chr(10) ORDER BY ord, k)) AS docx_text, true AS pdf_whole FROM e GROUP BY 1""")
+SELECT meeting_id, md5(string_agg(text, chr(10) ORDER BY ord, k)) AS docx_text, md5({PDF_SQL.format(t="string_agg(text, chr(10) ORDER BY ord, k)")}) AS pdf_text FROM e GROUP BY 1""")
 def export_files(spark, sf):
-    """Word-processor and page files of every recording; the former's text as read back from the file."""
+    """Word-processor and page files of every recording: their texts as read back from the files."""
     blocks = render.document_blocks(V.meetings(spark, sf), V.segments(spark, sf), V.speakers(spark, sf))
-    f = office.document_files(blocks, "meeting_id")
-    text = F.decode("pdf", "iso-8859-1")
-    return f.select("meeting_id", F.md5(office.docx_paragraphs("docx")).alias("docx_text"), (text.startswith("%PDF-1.4") & text.endswith("%%EOF\n")).alias("pdf_whole"))
+    return _file_texts(office.document_files(blocks, "meeting_id"), "meeting_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, CASE i % 3 WHEN 0 THEN repeat('#', CAST(1 + i % 4 AS INTEGER)) || ' ' ELSE '' END || s[i] AS l FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text <> ''))),
+b AS (SELECT doc_id, -2 AS i, CASE WHEN doc_id % 5 = 0 THEN 'Action' ELSE 'Summary ' || doc_id END AS text FROM documents WHERE text <> '' UNION ALL SELECT doc_id, -1, 'Meeting: M' || doc_id FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, i, CASE WHEN regexp_matches(l, '^#{{1,3}} ') THEN regexp_replace(l, '^#{{1,3}} ', '') ELSE l END FROM l WHERE NOT regexp_full_match(l, '[ \t\n\f\r\v]*'))
+SELECT doc_id AS result_id, md5(string_agg(text, chr(10) ORDER BY i)) AS docx_text, md5({PDF_SQL.format(t="string_agg(text, chr(10) ORDER BY i)")}) AS pdf_text FROM b GROUP BY 1""", views=False)
+def action_files(spark, sf):
+    """Word-processor and page files of action results (every document is one): their texts as read back from the files."""
+    head = lambda x, i: F.concat(F.when((i + 1) % 3 == 0, F.concat(F.repeat(F.lit("#"), (1 + (i + 1) % 4).cast("int")), F.lit(" "))).otherwise(""), x)
+    d = V.table(spark, sf, "documents").where("text <> ''").select(
+        F.col("doc_id").alias("result_id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Summary "), "doc_id")).alias("action_name"), F.concat(F.lit("M"), "doc_id").alias("title"),
+        F.array_join(F.transform(F.split("text", "\n"), head), "\n").alias("result_text"),
+    )
+    return _file_texts(office.document_files(render.action_file_blocks(d), "result_id"), "result_id")
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN text ELSE text || ' ' END AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, hex(encode(t)) AS body, octet_length(encode(t)) AS n FROM d),

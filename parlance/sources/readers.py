@@ -119,6 +119,20 @@ def settings(spark: SparkSession, prefix: str = "parlance.") -> dict[str, object
     return {name: default if given is None else type(default)(given) for name, default, given in held}
 
 
+def typed_settings(stored: DataFrame) -> DataFrame:
+    """(owner, name, value, valid) of every owner of ``stored(owner, name, value)`` and every setting: the stored text in its default's type, else the default.
+
+    Names are told apart without case; names that no setting has are left out. A text that is not of the type
+    makes the setting invalid, with a null value. Of repeated entries the greatest text counts.
+    """
+    known = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(str(d)).alias("default"), F.lit(type(d).__name__).alias("type")) for n, d in SETTINGS.items()))
+    given = stored.groupBy("owner", F.lower("name").alias("name")).agg(F.max("value").alias("given"))
+    every = stored.select("owner").distinct().select("owner", F.explode(known).alias("s")).select("owner", "s.*")
+    text = F.coalesce("given", "default")
+    value = F.when(F.col("type") == "int", text.try_cast("bigint").cast("string")).when(F.col("type") == "float", text.try_cast("double").cast("string")).otherwise(text)
+    return every.join(given, ["owner", "name"], "left").select("owner", "name", value.alias("value"), value.isNotNull().alias("valid"))
+
+
 def listed(entries: DataFrame) -> DataFrame:
     """Folder names of a storage listing ``entries(path, is_directory)``; files do not count."""
     return entries.where("is_directory").select(F.regexp_extract("path", r"([^/]+)/*$", 1).alias("name"))

@@ -4,10 +4,11 @@ import io
 import wave
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import learned, office
-from parlance.operators import jobs, mutate
+from parlance.operators import jobs, models, mutate, render
 from parlance.sources import readers
 
 HEARD = "meeting_id long, ord long, text string, start_time double, end_time double, confidence double"
@@ -78,6 +79,12 @@ def test_files(spark):
     places = [int(x[:10]) for x in data[start:].splitlines()[3:-5]]
     assert all(data[p:].startswith(b"%d 0 obj" % n) for n, p in enumerate(places, 1))
     assert office.pdf([]).count(b"/Type /Page ") == 1
+    shown = office.pdf_text(data)
+    assert shown[:3] == ["T & <x>", "Duration: 1:00", "a"] and "".join(shown[3:9]).startswith("b \x01é" + "w" * 400)
+    assert " ".join(shown).count("many words") == 2400
+    assert office.pdf_text(office.pdf([("paragraph", 0, "a (b) \\ c\\) Ł")])) == ["a (b) \\ c\\) ?"] and office.pdf_text(office.pdf([])) == []
+    with pytest.raises(ValueError):
+        office.pdf_text(data.replace(b"2 0 obj", b"9 0 obj", 1))
     with wave.open(io.BytesIO(office.wav(b"\x01\x00" * 8))) as w:
         assert (w.getnchannels(), w.getframerate(), w.getnframes()) == (1, 16_000, 8)
 
@@ -98,6 +105,32 @@ def test_settings_listing_and_vectors(spark, tmp_path):
     assert b.select(readers.blob_vector("b").alias("v")).first().v == [1.0]
 
 
+def test_action_result_files(spark):
+    r = spark.createDataFrame([(1, "Sum", "T", "# One\n\n  \n#### four\nplain\n### "), (2, None, None, "x"), (3, "Sum", "T", ""), (4, "Sum", "T", None)], "result_id int, action_name string, title string, result_text string")
+    got = [(b.result_id, b.kind, b.level, b.text) for b in render.action_file_blocks(r).orderBy("result_id", "block").collect()]
+    assert got == [
+        (1, "heading", 1, "Sum"), (1, "note", 0, "Meeting: T"), (1, "heading", 1, "One"), (1, "paragraph", 0, "#### four"), (1, "paragraph", 0, "plain"), (1, "heading", 3, ""),
+        (2, "heading", 1, "Action"), (2, "note", 0, "Meeting: Meeting"), (2, "paragraph", 0, "x"),
+    ]
+    assert [b.content for b in render.action_document(r).orderBy("result_id").collect()][1:] == ["# Action\n\n**Meeting:** Meeting\n\n---\n\nx"]
+    files = {f.result_id: f for f in office.document_files(render.action_file_blocks(r), "result_id").collect()}
+    assert office.docx_text(bytes(files[1].docx)) == ["Sum", "Meeting: T", "One", "#### four", "plain", ""] == office.pdf_text(bytes(files[1].pdf))
+
+
+def test_presets_and_settings_by_type(spark):
+    p = spark.createDataFrame([("a", "llm"), ("b", "whisper"), ("c", None)], "id string, type string")
+    assert [r.id for r in models.presets_of_type(p, "llm").collect()] == ["a"] and models.presets_of_type(p).count() == 3
+    stored = spark.createDataFrame([(1, "live", "a"), (1, "actions", "b")], "owner int, task string, preset_id string")
+    changes = spark.createDataFrame([(1, "live", "c"), (2, "live", "b"), (2, "nonsense", "b")], "owner int, task string, preset_id string")
+    after = models.changed_assignments(stored, changes)
+    assert sorted(tuple(r) for r in after.collect()) == [(1, "actions", "b"), (1, "live", "c"), (2, "live", "b")]
+    assert [tuple(r) for r in models.without_presets(after, spark.createDataFrame([("b",), ("b",), (None,)], "id string")).collect()] == [(1, "live", "c")]
+    s = spark.createDataFrame([(1, "LIVE_CHUNK_SECONDS", "2"), (1, "max_upload_bytes", "2.5e"), (1, "other", "x"), (2, None, None)], "owner int, name string, value string")
+    got = {(r.owner, r.name): (r.value, r.valid) for r in readers.typed_settings(s).collect()}
+    assert len(got) == 2 * len(readers.SETTINGS)
+    assert got[1, "live_chunk_seconds"] == ("2.0", True) and got[1, "max_upload_bytes"] == (None, False) and got[2, "live_chunk_seconds"] == ("4.0", True)
+
+
 def test_tokens_and_passwords(spark):
     key = learned.recording_key("pw", b"s" * 16, rounds=10)
     t = spark.range(1).select(learned.verify_token(key).alias("t"), F.lit("nonsense").alias("n"), F.lit(None).cast("string").alias("z"))

@@ -103,6 +103,34 @@ def test_time_chunks(spark):
         assert [(r.text, r.start_time, r.end_time) for r in got] == stated_chunks(rows)
 
 
+def test_time_chunks_joined(spark):
+    """Starts out of order, missing, equal, a rounding step from the limit; recordings without words; several at once."""
+    rng = random.Random(11)
+    fixed = [
+        [(1, 2, " "), (5, 6, "a"), (31, 32, "b"), (61, 90, "c"), (200, 201, "d")],
+        [(0, 1, "")],
+        [(500, 501, "late first"), (3, 4, "a"), (40, 41, "b")],
+        [(0, 1, " "), (90, 91, "a"), (95, 96, "b"), (5, 6, "c"), (130, 131, "d")],
+    ]
+    drawn = [[(rng.choice([x * 0.1, x * 7.3, 30.0 * (x // 3), 0.1 + 30 * x]), 1.0, rng.choice(["x", "yy ", "  "])) for x in (rng.randint(0, 40) for _ in range(50))] for _ in range(25)]
+    rising = [sorted(r) for r in drawn] + [[(round(0.1 + i * 0.1, 1), 1.0, "w") for i in range(1500)]]
+    recordings = fixed + drawn + rising
+    rows = [(m, i, float(a), float(b), t) for m, r in enumerate(recordings) for i, (a, b, t) in enumerate(r)]
+    s = spark.createDataFrame(rows, "meeting_id long, ord long, start_time double, end_time double, text string")
+    got = {}
+    for r in chunks.time_chunks_joined(s).orderBy("meeting_id", "chunk").collect():
+        got.setdefault(r.meeting_id, []).append((r.text, r.start_time, r.end_time))
+    assert got == {m: c for m, r in enumerate(recordings) if (c := stated_chunks(r))}
+
+
+def test_time_chunks_joined_with_nulls(spark):
+    rows = [(1, 0, None, None, "a"), (1, 1, 90.0, None, "b"), (2, 0, 0.0, None, "a"), (2, 1, None, 7.0, "b"), (2, 2, 31.0, None, "c"), (2, 3, 32.0, 33.0, None)]
+    s = spark.createDataFrame(rows, "meeting_id long, ord long, start_time double, end_time double, text string").withColumn("chunk", F.lit("x"))
+    want = [tuple(r) for r in chunks.time_chunks(s).orderBy("meeting_id", "chunk").collect()]
+    assert [tuple(r) for r in chunks.time_chunks_joined(s).orderBy("meeting_id", "chunk").collect()] == want == [(1, 0, "a b", None, 90.0), (2, 0, "a b", 0.0, 7.0), (2, 1, "c", 31.0, 31.0)]
+    assert chunks.time_chunks_joined(s.where("false")).count() == 0
+
+
 def test_runs_with_nulls(spark):
     got = chunks.run_groups(segs(spark, [(i, i + 1, "t", s) for i, s in enumerate([None, None, 1, 1, None, 2])])).orderBy("run").collect()
     assert [(r.speaker_id, r.n) for r in got] == [(None, 2), (1, 2), (None, 1), (2, 1)]
