@@ -179,7 +179,7 @@ def preset_resolution(spark, sf):
     return found.select(F.concat_ws("/", "owner", "task").alias("owner"), "task", "preset_id", "type")
 
 
-@query("""WITH f AS (SELECT p_partkey, p_type || '-' || p_partkey % 40 AS id, CASE p_size % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'whisper' END AS type, p_partkey || '.json' AS file FROM part WHERE p_size % 7 <> 0))
+@query("""WITH f AS (SELECT p_partkey, p_type || '-' || p_partkey % 40 AS id, CASE p_size % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'whisper' END AS type, p_partkey || '.json' AS file FROM part WHERE p_size % 7 <> 0)
 SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC) AS n FROM f) WHERE n = 1 AND type = 'whisper'""", views=False)
 def presets_by_type(spark, sf):
     """Presets of one type, read from files of which some are broken and some share an id."""
