@@ -90,6 +90,7 @@ class PieceEncoder:
             raise ValueError("pieces reach across spaces")
         order = sorted({-model.get_score(i) for i in plain})
         place = {s: k for k, s in enumerate(order)}
+        self.ties = len(order) < len(plain)
         self.rank = {pieces[i]: place[-model.get_score(i)] for i in plain}
         self.ids = {pieces[i]: i for i in plain}
         byte_ids = {pieces[i]: i for i in range(size) if model.is_byte(i)}
@@ -176,7 +177,8 @@ class PieceEncoder:
         open_ = np.arange(len(state)) if self.limit else np.zeros(0, np.int64)
         limit = np.uint64(self.limit)
         while len(live):
-            i = best[live].argmin(axis=1)
+            # Of pieces of equal score the leftmost goes first, whatever its id (the lower half).
+            i = (best[live] >> 32 if self.ties else best[live]).argmin(axis=1)
             value = best[live, i]
             go = value < none
             live, i, value = live[go], i[go], value[go]

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -309,6 +310,41 @@ def agenda(text, key, enc):
     return out
 
 
+class TiedModel:
+    """Pieces of which several have one score, with ids against their places in texts."""
+
+    PIECES = [*(f"<0x{b:02X}>" for b in range(256)), "bb", "ba", "ab", "aa", "aba", "▁b", "▁a", "▁", "a", "b"]
+
+    def get_piece_size(self):
+        return len(self.PIECES)
+
+    def id_to_piece(self, i):
+        return self.PIECES[i]
+
+    def is_byte(self, i):
+        return i < 256
+
+    def is_control(self, i):
+        return False
+
+    is_unknown = is_unused = is_control
+
+    def get_score(self, i):
+        return -2.0 if self.PIECES[i] == "aba" else -1.0 if len(self.PIECES[i]) == 2 else -9.0
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.4])
+def test_pieces_of_equal_score_go_leftmost_first(monkeypatch, rate):
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file: TiedModel())
+    enc, rng = PieceEncoder("tied", rate, 1), random.Random(3)
+    parts = sorted({" " + "".join(rng.choice("abbaé") for _ in range(rng.randint(1, 40))) for _ in range(300)})
+    code = np.array([rng.randrange(len(parts)) for _ in range(900)])
+    key = np.array([rng.getrandbits(64) for _ in code], dtype=np.uint64)
+    ids, start, length = enc.encode_parts(parts, code, key)
+    for c, k, a, n in zip(code.tolist(), key.tolist(), start.tolist(), length.tolist(), strict=True):
+        assert ids[a : a + n].tolist() == enc.part(parts[c], k)
+
+
 def test_pieces_query_against_a_plain_agenda(spark, sf_dir):
     enc = PieceEncoder(MODEL, 0.1, 1)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy(F.length("text")).limit(120).collect()
