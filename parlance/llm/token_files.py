@@ -4,7 +4,8 @@ Layout below one folder, in ascending document order:
 
 * ``ids-<shard>.bin``: the ids of the shard's documents, back to back, little-endian unsigned 16-bit
   integers where the whole vocabulary fits, else 32-bit (``dtype`` in the manifest);
-* ``docs-<shard>.i64``: pairs of little-endian 64-bit integers, document id and place in the shard;
+* ``docs-<shard>.i64``: pairs of little-endian 64-bit integers, document id and place in the shard; where the
+  id is null, the place is complemented (negative), and the id stands for nothing;
 * ``offsets-<shard>.i64``: the global 64-bit offset of each document and of the shard's end.
 
 Shards come from a range partitioning on doc_id, so shard order is document order. Each task writes to
@@ -12,8 +13,8 @@ a name of its own and renames, so retried or duplicated tasks leave whole files.
 only one (ids, documents) pair per shard: their prefix sums are the shards' bases.
 
 Defined results: null text counts as empty (only the end id); rows with equal doc_id are all kept, in
-order of their text hash; a null doc_id sorts first, and is stored as the least 64-bit integer and read
-back as null; an empty table gives no rows; extra columns are ignored.
+order of their text hash; a null doc_id sorts first and is read back as null, and every 64-bit integer as
+itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,6 @@ from pyspark.sql import functions as F
 from parlance.llm.common import partitions, posix, shared_dir, ship, slices, text_or_empty
 from parlance.llm.encoding import encoder
 
-NO_ID = -(2**63)
-
-
 def _put(path: str, write) -> None:
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(own, "wb") as f:
@@ -68,8 +66,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                     keep[mark] = False
                     out[keep] = ids
                     f.write(out.tobytes())
-                    doc = np.asarray(part.column("doc_id").fill_null(NO_ID), dtype="<i8")
-                    rows.append(np.stack([doc, at + mark - per], axis=1))
+                    doc, place = part.column("doc_id"), at + mark - per
+                    none = np.asarray(doc.is_null())
+                    rows.append(np.stack([np.asarray(doc.fill_null(0), dtype="<i8"), np.where(none, ~place, place)], axis=1))
                     at += len(out)
             f.flush()
             os.fsync(f.fileno())
@@ -106,7 +105,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for shard, n_docs, n_ids, base, folder, dtype in frame[["shard", "n_docs", "n_ids", "base", "folder", "dtype"]].itertuples(index=False):
                 docs = np.memmap(f"{folder}/docs-{shard:06d}.i64", dtype="<i8", mode="r").reshape(-1, 2)
                 path = f"{folder}/offsets-{shard:06d}.i64"
-                offsets = np.append(docs[:, 1], n_ids) + base
+                offsets = np.append(np.where(docs[:, 1] < 0, ~docs[:, 1], docs[:, 1]), n_ids) + base
                 _put(path, lambda f, x=offsets: f.write(x.astype("<i8").tobytes()))
                 offsets, ids = np.memmap(path, dtype="<i8", mode="r"), np.memmap(f"{folder}/ids-{shard:06d}.bin", dtype=f"<{dtype}", mode="r")
                 if len(docs) != n_docs or len(ids) != n_ids:
@@ -118,10 +117,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     cut = (local - local[0]) * 4
                     view = memoryview(held).cast("B")
                     crc = [zlib.crc32(view[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                    yield pd.DataFrame({"doc_id": docs[a:b, 0], "start": offsets[a:b], "n_tokens": np.diff(local), "ids_crc32": np.asarray(crc, dtype=np.int64)})
+                    doc = pd.arrays.IntegerArray(np.array(docs[a:b, 0], dtype=np.int64), np.array(docs[a:b, 1] < 0))
+                    yield pd.DataFrame({"doc_id": doc, "start": offsets[a:b], "n_tokens": np.diff(local), "ids_crc32": np.asarray(crc, dtype=np.int64)})
 
-    out = manifest.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return manifest.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, **how) -> DataFrame:

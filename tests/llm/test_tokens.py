@@ -6,6 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from parlance.llm.exact_dedup import drop_copies
+from parlance.llm.near_dedup import drop_near_copies
 from parlance.llm.packing import best_fit_decreasing, pack
 from parlance.llm.token_files import token_files, write_token_files
 
@@ -39,6 +41,20 @@ def test_token_files_round_trip(spark, dtype):
     assert order == sorted(order, key=lambda x: (x is not None, x))
 
 
+def test_every_long_is_an_id_of_its_own(spark):
+    ids = [None, -(2**63), 0, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), shards=2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 0, 2**63 - 1]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(5)]
+
+
+def test_copies_with_other_columns_leave_one_row(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", None), (2, "other", "z")], "doc_id long, text string, source string")
+    for drop in (drop_copies, drop_near_copies):
+        assert sorted(r.doc_id for r in drop(docs).collect()) == [1, 2]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert write_token_files(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
