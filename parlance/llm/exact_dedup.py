@@ -55,7 +55,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", keep: str = "max", fan_in:
 
 
 def drop_copies(docs: DataFrame, text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows that stay, with all their columns, whatever those are called."""
+    """The rows that stay, with all their columns, whatever those are called.
+
+    Of rows equal in doc_id and text, one stays; which one's other columns stay with it is not defined.
+    """
     spark = docs.sparkSession
     verdict = save(spark, exact_dedup(docs, text, keep), "verdict")
     id_, sha, own_sha = fresh(docs, "keep_id", "keep_sha", "own_sha")

@@ -374,7 +374,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
-    """The rows that stay, with all their columns: of each class the one with the smallest doc_id."""
+    """The rows that stay, with all their columns: of each class the one with the smallest doc_id.
+
+    Of rows equal in doc_id and text, one stays; which one's other columns stay with it is not defined.
+    """
     spark = docs.sparkSession
     labels, own = near_labels(docs, threshold, **how)
     rows = own.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
