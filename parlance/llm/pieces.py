@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -90,7 +91,9 @@ class PieceEncoder:
             raise ValueError("pieces reach across spaces")
         order = sorted({-model.get_score(i) for i in plain})
         place = {s: k for k, s in enumerate(order)}
-        self.ties = len(order) < len(plain)
+        held = Counter(model.get_score(i) for i in plain if len(pieces[i]) > 1)
+        #: Whether several pieces have the score of a rank; the last entry stands for no piece.
+        self.tied = np.array([held[-s] > 1 for s in order] + [False])
         self.rank = {pieces[i]: place[-model.get_score(i)] for i in plain}
         self.ids = {pieces[i]: i for i in plain}
         byte_ids = {pieces[i]: i for i in range(size) if model.is_byte(i)}
@@ -177,9 +180,13 @@ class PieceEncoder:
         open_ = np.arange(len(state)) if self.limit else np.zeros(0, np.int64)
         limit = np.uint64(self.limit)
         while len(live):
-            # Of pieces of equal score the leftmost goes first, whatever its id (the lower half).
-            i = (best[live] >> 32 if self.ties else best[live]).argmin(axis=1)
+            i = best[live].argmin(axis=1)
             value = best[live, i]
+            # Of pieces of equal score the leftmost goes first, whatever its id (the lower half).
+            tied = np.flatnonzero(self.tied[np.minimum(value >> 32, len(self.tied) - 1)])
+            if len(tied):
+                i[tied] = (best[live[tied]] >> 32).argmin(axis=1)
+                value[tied] = best[live[tied], i[tied]]
             go = value < none
             live, i, value = live[go], i[go], value[go]
             if not len(live):
