@@ -79,7 +79,8 @@ def duration_text(t) -> Column:
 
 
 def megabytes(size) -> Column:
-    return F.format_string("%.1f MB", col(size).cast("double") / F.lit(1024.0 * 1024.0))
+    """``N.N MB``, half to even; the format alone would round half up."""
+    return F.format_string("%.1f MB", F.bround(col(size).cast("double") / F.lit(1024.0 * 1024.0), 1))
 
 
 def seconds_text(t) -> Column:

@@ -160,6 +160,13 @@ def test_clocks(spark):
         assert one(spark, X.parse_time(F.lit(s))) == v
 
 
+def test_megabytes_round_half_to_even(spark):
+    """Exact ties of the first decimal, as of .25 and .75, go to the even one."""
+    sizes = [int(x * 1048576) for x in (0.25, 0.75, 957.25, 13304.25, 3.5, 0)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long")
+    assert [r.m for r in df.orderBy("i").select(X.megabytes("n").alias("m")).collect()] == [f"{n / 1048576:.1f} MB" for n in sizes]
+
+
 def test_text_functions(spark):
     assert one(spark, X.safe_filename(F.lit(' .a/b:c?. '))) == "a_b_c_"
     assert one(spark, X.safe_filename(F.lit(" . "))) == "export"
