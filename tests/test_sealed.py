@@ -149,3 +149,10 @@ def test_levels_of_files(spark, tmp_path):
     assert all(s == 2.5 and abs(r - 0.5 * 32767 / math.sqrt(2)) < 20 for s, r in got) and len(got) == 2
     w = spark.createDataFrame([(1, bytearray(struct.pack("<3h", 3, -4, 0)))], "k int, b binary").select("k", office.wav_file(F.col("b")).alias("content"))
     assert abs(audio.levels(audio.samples(w, keys=("k",)), "k").first().rms - math.sqrt(25 / 3)) < 1e-3
+
+
+def test_audio_files_are_made_by_built_ins(spark):
+    data = [b"", b"\x01", b"\x01\x02", bytes(range(256)) * 300, None]
+    made = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, b binary").select("i", office.wav_file(F.col("b")).alias("w"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r.w and bytes(r.w) for r in made.orderBy("i").collect()] == [d if d is None else office.wav(d) for d in data]
