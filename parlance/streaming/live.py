@@ -3,8 +3,9 @@
 ``LiveState`` holds what a recording needs between chunks: its audio clock, utterance counter, speaker
 centroids in order of creation, the last words said, and the number of polish passes. The batch fold
 (``live_batch``) and the stream (``LiveProcessor`` under ``transformWithStateInPandas``) share its rules, so
-both give the same rows. The stream keeps clock and counters in a value state, centroids in a map state and
-words in a list state; a batch writes only the centroids that it has moved. A chunk with ``stop`` set ends the
+both give the same rows. The stream keeps clock and counters in a value state, centroids in a map state (blocks
+of ``BLOCK`` as bytes, since every entry costs a call) and words in a list state; a batch writes only the blocks
+that it has moved. A chunk with ``stop`` set ends the
 recording: it gives a row of its own and clears the state. State survives restarts with the checkpoint: a
 reconnect goes on where the recording stopped.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -23,6 +25,8 @@ from parlance.streaming.replay import ROCKSDB  # noqa: F401
 
 #: Gate, durations and thresholds; fixed values.
 SILENCE, SHORT, LEAST_AUDIO, SAME, KEEP, BUFFER, PROMPT = 500.0, 2.0, 1.0, 0.45, 0.7, 60, 30
+#: Centroids in an entry of the stream's state.
+BLOCK = 64
 
 OUTPUT = "recording long, arrival long, kind string, ord long, start_time double, end_time double, text string, speaker_label string, prompt string, clock double"
 INPUT = ["recording", "arrival", "seconds", "loudness", "start", "end", "text", "embedding"]
@@ -101,6 +105,33 @@ def _with_stop(chunks: DataFrame) -> DataFrame:
     return chunks.select(*INPUT, (F.coalesce("stop", F.lit(False)) if "stop" in chunks.columns else F.lit(False)).alias("stop"))
 
 
+def _vectors(column: pa.Array) -> list[np.ndarray | None]:
+    """A list column's vectors, as views of its values."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+
+
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The utterances of chunks sorted by recording and arrival; one recording's state is held at a time."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    columns = [c.split(" ") for c in OUTPUT.split(", ")]
+    state, of = LiveState(), ...  # no recording yet; a null one is a recording too
+    for batch in batches:
+        out = []
+        narrow = (batch.column(c).to_pylist() for c in ("recording", "arrival", "seconds", "stop", "voiced", "start", "end", "text"))
+        for recording, arrival, seconds, stop, voiced, start, end, text, vector in zip(*narrow, _vectors(batch.column("embedding")), strict=True):
+            if recording != of:
+                state, of = LiveState(), recording
+            at = state.clock
+            state.clock += seconds
+            if voiced:
+                out.append(state.said(recording, arrival, seconds, at, start, end, text, vector, state.clock))
+            if stop:
+                state = LiveState()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*out, strict=True), columns, strict=True)], names=[c for c, _ in columns])
+
+
 def polish_marks(heard: DataFrame) -> DataFrame:
     """Polish marks of ``heard(recording, part, arrival, clock)``: pass j comes with the first chunk that reaches its time, at most one a chunk.
 
@@ -118,29 +149,25 @@ def polish_marks(heard: DataFrame) -> DataFrame:
 def live_batch(chunks: DataFrame) -> DataFrame:
     """All recordings folded in arrival order, as the stream does it.
 
-    Clock, gate, marks and ends are columns; only what depends on all before it goes through Python: voiced
-    chunks for speakers and prompts. ``part`` counts the stops before a chunk.
+    Gate, marks and ends are columns; only what depends on all before it goes through Python: speakers and
+    prompts. Vectors are moved once, to the sorted chunks that the fold reads in batches; ``part`` counts the
+    stops before a chunk.
     """
+    chunks = _with_stop(chunks).where(F.col("stop") | (F.col("seconds").isNotNull() & ~F.isnan("seconds")))
+    chunks = chunks.withColumns({"seconds": F.when(~F.col("stop"), F.col("seconds")).otherwise(F.lit(0.0)), "text": F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")})
+    chunks = chunks.withColumn("voiced", _voiced(F.col("text"), F.col("loudness")) & ~F.col("stop"))
     w = Window.partitionBy("recording").orderBy("arrival")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    every = _with_stop(chunks).withColumn("part", F.coalesce(F.sum(F.col("stop").cast("long")).over(before), F.lit(0)))
-    heard = every.where(F.col("stop") | (F.col("seconds").isNotNull() & ~F.isnan("seconds"))).withColumn("seconds", F.when(~F.col("stop"), F.col("seconds")).otherwise(F.lit(0.0)))
+    heard = chunks.select("recording", "arrival", "seconds", "stop", "voiced").withColumn("part", F.coalesce(F.sum(F.col("stop").cast("long")).over(before), F.lit(0)))
     own = Window.partitionBy("recording", "part").orderBy("arrival")
     heard = heard.withColumn("clock", F.sum("seconds").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    heard = heard.withColumn("at", F.coalesce(F.lag("clock").over(own), F.lit(0.0))).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
-    voiced = _voiced(F.col("text"), F.col("loudness")) & ~F.col("stop")
-
-    def segments(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = LiveState(), []
-        for r in frame.sort_values("arrival").itertuples(index=False):
-            out.append(state.said(r.recording, r.arrival, r.seconds, r.at, r.start, r.end, r.text, r.embedding, r.clock))
-        return _frame(out)
-
     null = lambda kind: F.lit(None).cast(kind)
     row = lambda df, kind: df.select("recording", "arrival", F.lit(kind).alias("kind"), F.col("ord").cast("long").alias("ord"), *(null(t).alias(c) for c, t in (("start_time", "double"), ("end_time", "double"), ("text", "string"), ("speaker_label", "string"), ("prompt", "string"))), "clock")
-    spoken = heard.where(voiced).drop("loudness", "stop").groupBy("recording", "part").applyInPandas(segments, OUTPUT)
+    said = [F.when(F.col("voiced"), F.col(c)).alias(c) for c in ("start", "end", "text", "embedding")]
+    dealt = chunks.select("recording", "arrival", "seconds", "stop", "voiced", *said).repartition("recording").sortWithinPartitions("recording", "arrival")
+    spoken = dealt.mapInArrow(_spoken, OUTPUT)
     marks = polish_marks(heard.where(~F.col("stop")).select("recording", "part", "arrival", "clock"))
-    ends = heard.withColumn("ord", F.sum(voiced.cast("long")).over(own)).where("stop")
+    ends = heard.withColumn("ord", F.sum(F.col("voiced").cast("long")).over(own)).where("stop")
     return spoken.unionByName(row(marks, "polish")).unionByName(row(ends, "stopped"))
 
 
@@ -152,7 +179,7 @@ class LiveProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.book = handle.getValueState("book", "clock double, count long, polished int, speakers int", self.keep_ms)
-        self.centroids = handle.getMapState("centroids", "label int", "centroid array<double>", self.keep_ms)
+        self.centroids = handle.getMapState("centroids", "block int", "centroids binary", self.keep_ms)
         self.words = handle.getListState("words", "word string", self.keep_ms)
 
     def _load(self) -> LiveState:
@@ -160,7 +187,13 @@ class LiveProcessor(StatefulProcessor):
         if held is None:
             return LiveState()
         clock, count, polished, speakers = held
-        return LiveState(clock, count, polished, [w[0] for w in self.words.get()], [np.array(self.centroids.getValue((i,))[0]) for i in range(speakers)])
+        return LiveState(clock, count, polished, [w[0] for w in self.words.get()], self._centroids(speakers))
+
+    def _centroids(self, speakers: int) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(-(-speakers // BLOCK)):
+            out.extend(np.frombuffer(self.centroids.getValue((i,))[0]).reshape(min(BLOCK, speakers - i * BLOCK), -1))
+        return out
 
     def _clear(self) -> None:
         for state in (self.book, self.centroids, self.words):
@@ -168,23 +201,27 @@ class LiveProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         live, said, ended, out = self._load(), 0, False, []
-        for row in pd.concat(list(rows)).sort_values("arrival")[[*INPUT, "stop"]].itertuples(index=False):
-            if row.stop:
-                out.append(live.stopped(row.recording, row.arrival))
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = frame["arrival"].to_numpy().argsort(kind="stable")
+        for *row, stop in zip(*(frame[c].iloc[order].tolist() for c in (*INPUT, "stop")), strict=True):
+            if stop:
+                out.append(live.stopped(row[0], row[1]))
                 live, said, ended = LiveState(), 0, True
                 continue
             had = live.count
-            out += live.step(*row[:-1])
+            out += live.step(*row)
             said += live.count - had
         if ended:
             self._clear()
         if live.clock or not ended:
             self.book.update((live.clock, live.count, live.polished, len(live.centroids)))
-            for i in live.moved:
-                self.centroids.updateValue((i,), (live.centroids[i].tolist(),))
+            for i in {label // BLOCK for label in live.moved}:
+                self.centroids.updateValue((i,), (live.centroids[i * BLOCK : (i + 1) * BLOCK].tobytes(),))
             if said:
                 self.words.put([(w,) for w in live.words])
-        yield _frame(out)
+        if out:
+            yield _frame(out)
 
     def close(self) -> None:
         pass

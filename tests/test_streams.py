@@ -2,6 +2,8 @@
 
 import threading
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,51 @@ def test_state_of_silent_recordings_ends(spark, tmp_path):
 
     live.LiveProcessor(5000).init(Handle())
     assert asked == [("getValueState", 5000), ("getMapState", 5000), ("getListState", 5000)]
+
+
+def test_the_fold_takes_batches_of_many_recordings(spark):
+    """Recordings of a few chunks cost no call each, and a recording goes on over batches."""
+    chunks = spark.createDataFrame([r + (r[1] == 20,) for r in chunk_rows()], SCHEMA + ", stop boolean")
+    got = live.live_batch(chunks)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = got.collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(str, live.live_batch(chunks).collect())) == sorted(map(str, want)) and len(want) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_centroids_are_kept_in_blocks():
+    """130 voices are three entries of the state, and come back as they were; a batch writes the blocks it has moved."""
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*a):
+                calls.append((self.name, what))
+                if what in ("update", "put"):
+                    held[self.name] = a[0]
+                elif what == "updateValue":
+                    held[self.name, a[0]] = a[1]
+                return held.get((self.name, *a) if what == "getValue" else self.name)
+
+            return call
+
+    class Handle:
+        def __getattr__(self, _):
+            return lambda name, *a: State(name)
+
+    frame = lambda i: pd.DataFrame([(1, i, 4.0, 900.0, 0.0, 3.5, "some words", np.eye(130)[i % 130], False)], columns=[*live.INPUT, "stop"])
+    processor = live.LiveProcessor()
+    processor.init(Handle())
+    first = pd.concat([frame(i) for i in range(130)])
+    assert list(next(processor.handleInputRows((1,), iter([first]), None)).speaker_label)[-1] == "Speaker 130"
+    assert calls.count(("centroids", "updateValue")) == 3
+    calls.clear()
+    again = next(processor.handleInputRows((1,), iter([frame(195)]), None))
+    assert list(again.speaker_label) == ["Speaker 66"]
+    assert calls.count(("centroids", "getValue")) == 3 and calls.count(("centroids", "updateValue")) == 1
