@@ -101,10 +101,16 @@ MARKED = r"(\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*|[^*]+|\*)"
 
 def inline_runs(text) -> Column:
     """(text, bold, italic) runs: three, two or one star around a span; stars without a partner are text."""
-    tokens = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(MARKED), F.lit(0))
+    marked = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(MARKED), F.lit(0))
 
-    def run(t):
-        stars = F.when(t.rlike(r"(?s)^\*\*\*.*\*\*\*$"), 3).when(t.rlike(r"(?s)^\*\*.*\*\*$") | (t == "**"), 2).when(t.rlike(r"(?s)^\*.*\*$") & (F.length(t) > 1), 1).otherwise(0)
+    def starred(t):
+        """A token beside its stars a side; a token that ends with a star begins with one, or is that star."""
+        around = lambda n: t.startswith("*" * n) & t.endswith("*" * n) & (F.length(t) >= 2 * n)
+        stars = F.when(~t.startswith("*"), 0).when(around(3), 3).when(around(2) | (t == "**"), 2).when(around(1), 1).otherwise(0)
+        return F.struct(t.alias("t"), stars.alias("stars"))
+
+    def run(s):
+        t, stars = s["t"], s["stars"]
         return F.struct(F.substring(t, stars + 1, F.greatest(F.length(t) - 2 * stars, F.lit(0))).alias("text"), (stars >= 2).alias("bold"), stars.isin(1, 3).alias("italic"), (stars == 0).alias("plain"))
 
     def join(done, r):
@@ -113,10 +119,16 @@ def inline_runs(text) -> Column:
         return F.when((F.size(done) > 0) & F.get(done, F.size(done) - 1)["plain"] & r["plain"], F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), both)).otherwise(F.array_append(done, r))
 
     none = F.array().cast("array<struct<text:string,bold:boolean,italic:boolean,plain:boolean>>")
-    joined = F.aggregate(F.transform(tokens, run), none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(join(done, r)))
-    # Only a star without a partner leaves text beside text, so most texts need no fold.
-    runs = F.when(F.exists(tokens, lambda t: t == "*"), joined).otherwise(F.transform(tokens, run))
-    return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic")))
+    shown = lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"))
+
+    def runs(tokens):
+        known = F.transform(tokens, starred)
+        joined = F.aggregate(F.transform(known, run), none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(join(done, r)))
+        # Only a star without a partner leaves text beside text, so most texts need no fold.
+        return F.when(F.array_contains(tokens, "*"), F.transform(joined, shown)).otherwise(F.transform(known, lambda s: shown(run(s))))
+
+    # An array of one: its element is worked out once, however often the function names it.
+    return F.get(F.transform(F.array(marked), runs), 0)
 
 
 #: Kinds of a protocol's lines, the first that fits; fixed values.

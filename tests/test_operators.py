@@ -2,8 +2,9 @@
 
 import json
 import random
+import re
 from collections import Counter
-from itertools import accumulate, groupby
+from itertools import accumulate, groupby, product
 
 import pytest
 from pyspark.sql import Row
@@ -219,6 +220,26 @@ def test_protocol_blocks(spark):
     assert runs["a * b"] == [("a * b", False, False)] and runs[""] == []
 
 
+def test_runs_of_stars(spark):
+    """Every text of a few stars and letters against the rules by plain expressions; a text is taken apart once."""
+
+    def plain(text):
+        out = []
+        for t in re.findall(learned.MARKED, text):
+            n = 3 if re.search(r"(?s)^\*{3}.*\*{3}$", t) else 2 if re.search(r"(?s)^\*\*.*\*\*$", t) or t == "**" else 1 if re.search(r"(?s)^\*.*\*$", t) and len(t) > 1 else 0
+            if not n and out and out[-1][3]:
+                out[-1] = (out[-1][0] + t, False, False, True)
+            else:
+                out.append((t[n : max(len(t) - n, n)], n >= 2, n in (1, 3), not n))
+        return [r[:3] for r in out]
+
+    texts = ["".join(x) for n in range(8) for x in product("*a\n", repeat=n)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", learned.inline_runs("t").alias("r"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    for r in got.collect():
+        assert [tuple(x) for x in r.r] == plain(r.t), r.t
+
+
 def test_encryption(spark):
     key = learned.recording_key("pw", b"s" * 16, rounds=10)
     df = spark.createDataFrame([("a",), (None,), ("",)], "text string")
