@@ -1,8 +1,8 @@
 """Inverted index over utterances: postings by term with positions, postings by trigram, ranked search from them.
 
 The index is a folder of two Parquet tables, each partitioned by a bucket of its key (``BUCKETS``) and sorted by
-key within files: ``terms`` (term, meeting_id, ord, positions) and ``grams`` (gram, meeting_id, ord). Very common
-keys are spread over ``SPREAD`` files of their bucket. A search reads the buckets of its terms and trigrams only.
+key within files: ``terms`` (term, meeting_id, ord, positions) and ``grams`` (gram, meeting_id, block), where a block holds ``BLOCK``
+places of a recording, so that a trigram's posting is written once for all of them. Very common keys are spread over ``SPREAD`` files of their bucket. A search reads the buckets of its terms and trigrams only.
 
 Matching follows full-text search with a plain configuration: lower-cased words, positions from 1, all query words
 must be there; or the query is a substring (``%`` and ``_`` are wildcards). Rank follows the published formula of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import exprs as X
 
-BUCKETS, SPREAD = 64, 4
+BUCKETS, SPREAD, BLOCK = 64, 4, 16
 #: Fixed by the rank's definition: default weight, most positions of a word, farthest position, base distance weight.
 WEIGHT, MOST, FARTHEST = 0.1, 256, 16383
 ZETA = math.pi**2 / 6
@@ -36,7 +36,8 @@ def _bucket(key: str) -> Column:
 
 def term_postings(segments: DataFrame) -> DataFrame:
     """(term, meeting_id, ord, positions): where each word stands in an utterance."""
-    words = segments.select("meeting_id", "ord", F.posexplode(X.tokens("text")).alias("p", "term"))
+    # Dealt before the words are taken apart: texts are moved, not a row a word.
+    words = segments.repartition("meeting_id", "ord").select("meeting_id", "ord", F.posexplode(X.tokens("text")).alias("p", "term"))
     placed = words.select("meeting_id", "ord", "term", F.least(F.col("p") + 1, F.lit(FARTHEST)).alias("p"))
     return placed.groupBy("meeting_id", "ord", "term").agg(F.slice(F.array_sort(F.collect_list("p")), 1, MOST).alias("positions")).select("term", "meeting_id", "ord", "positions")
 
@@ -44,18 +45,25 @@ def term_postings(segments: DataFrame) -> DataFrame:
 def grams_of(text: str | Column) -> Column:
     """Distinct trigrams of the lower-cased text."""
     t = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    # One pass: three characters ahead of every place, then one step. A substring would be counted off from the start.
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?s)(?=(...))."), F.lit(1)))
+
+
+def _block(ord: str = "ord") -> Column:
+    return F.floor(F.col(ord) / BLOCK)
 
 
 def gram_postings(segments: DataFrame) -> DataFrame:
-    return segments.where("text is not null").select(F.explode(grams_of("text")).alias("gram"), "meeting_id", "ord")
+    """(gram, meeting_id, block): trigrams of the utterances of a block, set apart by a character between them."""
+    blocks = segments.where("text is not null").groupBy("meeting_id", _block().alias("block")).agg(F.array_join(F.collect_list("text"), "\0").alias("text"))
+    return blocks.select(F.explode(grams_of("text")).alias("gram"), "meeting_id", "block")
 
 
 def build(segments: DataFrame, folder: str) -> None:
     """Write the index of ``segments(meeting_id, ord, text)``."""
-    for key, postings in (("term", term_postings(segments)), ("gram", gram_postings(segments))):
-        dealt = postings.withColumns({"bucket": _bucket(key), "_s": F.pmod(F.xxhash64("meeting_id", "ord"), F.lit(SPREAD))})
-        dealt.repartition("bucket", "_s").drop("_s").sortWithinPartitions("bucket", key, "meeting_id", "ord").write.partitionBy("bucket").parquet(f"{folder}/{key}s")
+    for key, place, postings in (("term", "ord", term_postings(segments)), ("gram", "block", gram_postings(segments))):
+        dealt = postings.withColumns({"bucket": _bucket(key), "_s": F.pmod(F.xxhash64("meeting_id", place), F.lit(SPREAD))})
+        dealt.repartition("bucket", "_s").drop("_s").sortWithinPartitions("bucket", key, "meeting_id", place).write.partitionBy("bucket").parquet(f"{folder}/{key}s")
 
 
 def _keys(spark, keys: Column) -> list[tuple[str, int]]:
@@ -108,8 +116,8 @@ def matches(segments: DataFrame, folder: str, q: str) -> DataFrame:
     own = segments.select(*keys, "text")
     if runs:
         grams = _keys(spark, F.flatten(F.array(*(grams_of(F.lit(r)) for r in runs))))
-        near = _postings(spark, folder, "gram", grams).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(*keys)
-        own = own.join(near, keys, "left_semi")
+        near = _postings(spark, folder, "gram", grams).groupBy("meeting_id", "block").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+        own = own.withColumn("block", _block()).join(near, ["meeting_id", "block"], "left_semi")
     hits = own.where(F.col("text").ilike(f"%{q}%")).select(*keys, F.lit(0.0).alias("rank"))
     if terms:
         names = [f"p{i}" for i in range(len(terms))]  # each word's positions in a column of their own

@@ -103,3 +103,20 @@ def test_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "meeting_id long, ord long, text string")
     SI.build(spark.createDataFrame([(1, 1, "word")], none.schema), str(tmp_path / "one"))
     assert SI.matches(none, str(tmp_path / "one"), "other words").count() == 0
+
+
+def test_a_trigram_is_posted_once_a_block(spark, tmp_path):
+    """40 utterances of one recording lie in three blocks; words are counted by utterance all the same."""
+    df = spark.createDataFrame([(1, o, "Some words 𝄞x") for o in range(40)], "meeting_id long, ord long, text string")
+    SI.build(df, str(tmp_path / "i"))
+    grams = spark.read.parquet(f"{tmp_path}/i/grams").where("gram = 'wor'").collect()
+    assert sorted(r.block for r in grams) == [0, 1, 2]
+    assert spark.read.parquet(f"{tmp_path}/i/terms").where("term = 'words'").count() == 40
+    assert {(r.meeting_id, r.ord) for r in SI.matches(df, str(tmp_path / "i"), "ds 𝄞x").collect()} == {(1, o) for o in range(40)}
+
+
+def test_trigrams_count_characters(spark):
+    for text in ("ab", "", "abc", "ABCabc", "a𝄞b\nc", "ÅÄÖ x"):
+        got = spark.range(1).select(SI.grams_of(F.lit(text)).alias("g")).first().g
+        low = text.lower()
+        assert sorted(got) == sorted({low[i : i + 3] for i in range(len(low) - 2)})
